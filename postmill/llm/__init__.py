@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline, each in a module with its queries and SQL."""
 
-from . import secrets
+from . import licenses, secrets
 
-_MODULES = (secrets,)
+_MODULES = (licenses, secrets)
 
 
 def queries() -> dict:
