@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline, each in a module with its queries and SQL."""
 
-from . import licenses, secrets
+from . import licenses, secrets, simhash
 
-_MODULES = (licenses, secrets)
+_MODULES = (licenses, simhash, secrets)
 
 
 def queries() -> dict:

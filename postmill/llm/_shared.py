@@ -55,3 +55,10 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
     for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(top)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Texts can be long, so fewer of them go into an Arrow batch than by default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= most:
+        spark.conf.set(name, str(most))
