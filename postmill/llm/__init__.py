@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline, each in a module with its queries and SQL."""
 
-from . import licenses, secrets, simhash
+from . import decontamination, licenses, secrets, simhash
 
-_MODULES = (licenses, simhash, secrets)
+_MODULES = (licenses, decontamination, simhash, secrets)
 
 
 def queries() -> dict:
