@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline, each in a module with its queries and SQL."""
 
-from . import decontamination, licenses, mixing, secrets, simhash, toxicity
+from . import decontamination, licenses, mixing, quality, secrets, simhash, toxicity
 
-_MODULES = (licenses, decontamination, toxicity, mixing, simhash, secrets)
+_MODULES = (licenses, decontamination, toxicity, mixing, quality, simhash, secrets)
 
 
 def queries() -> dict:
