@@ -34,7 +34,7 @@ MIN_WORDS, REPEAT_PERCENT = 50, 50  #: Fixed values of the contract.
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SUPPORT, C_STEPS, MIN_GROUP = 0.75, 4, 50
 MEDIAN, CUTOFF = 4.351, 25.74  #: Fixed values: quantiles 0.5 and 0.9999 of chi-squared with five degrees of freedom.
-FLOORS = (0.1, 0.1, 0.15, 0.1, 0.1)  # least standard deviation of each transformed number
+FLOORS = (0.1, 0.1, 0.15, 0.2, 0.15)  # least standard deviation of each transformed number
 BINS = 16  # of distances, to a doubling
 
 
@@ -153,7 +153,10 @@ def _nearest(rows: DataFrame, share: float) -> DataFrame:
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """(grp, mean, inverse, spread) of each group of rows (grp, x0..x4); distances count as multiples of ``spread``."""
+    """(grp, mean, inverse, spread) of each group of rows (grp, x0..x4); distances count as multiples of ``spread``.
+
+    The nearest rows spread less than all rows do, so distances shrink until their median is that of chi-squared; they
+    never grow, as variances at their floor make the median small."""
     spark, p = rows.sparkSession, len(STATS)
     middle = rows.groupBy("grp").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(p)))
     sd = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(p)]
@@ -164,7 +167,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         near = written(spark, _nearest(binned(), SUPPORT), "near")
         now = written(spark, _estimate(_sums(binned().join(near, "grp").where("bin <= last_bin"))), "estimate")
     half = _nearest(binned(), 0.5)
-    return now.join(half, "grp").select("grp", "mean", "inverse", (F.pow(F.lit(2.0), (F.col("last_bin") + 1) / BINS) / MEDIAN).alias("spread"))
+    return now.join(half, "grp").select("grp", "mean", "inverse", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("last_bin") + 1) / BINS) / MEDIAN).alias("spread"))
 
 
 def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
