@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline, each in a module with its queries and SQL."""
 
-from . import decontamination, html_text, licenses, mixing, quality, secrets, simhash, toxicity
+from . import decontamination, html_text, licenses, mixing, quality, secrets, simhash, toxicity, url_filters, warc
 
-_MODULES = (licenses, decontamination, toxicity, mixing, html_text, quality, simhash, secrets)
+_MODULES = (licenses, decontamination, toxicity, mixing, url_filters, html_text, quality, warc, simhash, secrets)
 
 
 def queries() -> dict:
