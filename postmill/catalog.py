@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "message_detections"
-_MODULES: tuple = ()
+from .operators import relational
+
+FLAGSHIP = "a18_a19_reconcile"
+_MODULES: tuple = (relational,)
 
 
 def queries() -> dict:
