@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from ._shared import small_batches, table
 from ._words import ALNUM, BASE, Texts, mixed, slices
 
-TRAIN_ROWS = 2500
+TRAIN_ROWS = 1500
 BUCKETS, DIM = 1 << 16, 8
 GRAMS = (3, 4, 5, 6)
-EPOCHS, RATE, DECAY, SHARPNESS = 120, 0.05, 1e-4, 2.0
+EPOCHS, RATE, DECAY, SHARPNESS = 50, 0.05, 1e-4, 4.0
 THRESHOLD = 0.7  #: Fixed value of the contract.
 
 
@@ -75,7 +75,8 @@ def bag_logits(texts: Texts, model: Model) -> tuple[np.ndarray, np.ndarray]:
     total, count = np.zeros(len(words)), np.zeros(len(words), np.int64)
     for size in GRAMS:
         sums = np.concatenate([[0.0], np.cumsum(model.weight[_gram_buckets(data, size)])])
-        lo, hi = words.starts - 1, np.maximum(words.starts - 1, words.ends + 2 - size)
+        lo = np.minimum(words.starts - 1, len(sums) - 1)
+        hi = np.maximum(lo, words.ends + 2 - size)  # a short word has no gram of this size
         total += sums[hi] - sums[lo]
         count += hi - lo
     return total / np.maximum(count, 1) + model.bias, words.first
