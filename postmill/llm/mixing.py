@@ -55,6 +55,7 @@ def _running(rows: DataFrame, amount: Column) -> DataFrame:
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("amount").alias("sum"))
     before = F.sum("sum").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("sum")
     sums = sums.select("source_no", "bucket", before.alias("before"))
+    rows = rows.repartition("source_no", "bucket")  # else rows that lie by source stay so, as that satisfies the window
     own = F.sum("amount").over(Window.partitionBy("source_no", "bucket").orderBy("shuffle", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumn("own", own).join(sums, ["source_no", "bucket"]).withColumn("upto", F.col("before") + F.col("own")).drop("own", "before", "amount")
 
@@ -74,10 +75,10 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", sou
 
     fits = lambda upto: F.when(upto <= F.col("target") + 1e-6, 1).otherwise(0)
     queued = _running(rows, F.col("size"))
-    state = queued.withColumn("copies", fits(F.col("upto")) + fits(F.col("source_size") + F.col("upto"))).withColumn("finish", F.when(F.col("target") > 0, F.col("upto") / F.col("target"))).drop("upto")
+    state = queued.withColumn("copies", fits(F.col("upto")) + fits(F.col("source_size") + F.col("upto"))).withColumn("finish", F.when(F.col("target") > 0, F.col("upto") / F.col("target")).otherwise(0.0)).drop("upto")
     for _ in range(FILL_ROUNDS):
         state = written(spark, state, "queue")
-        lacking = state.groupBy("source_no").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("lack"))
+        lacking = written(spark, state.groupBy("source_no").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("lack")), "lack")
         state = state.join(lacking, "source_no")
         may = (F.col("copies") < MAX_COPIES) & (F.col("size") > 0) & (F.col("size") <= F.col("lack") + 1e-6)
         filled = _running(state, F.when(may, F.col("size")).otherwise(0))
@@ -88,7 +89,7 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", sou
 def mix_order(plan: DataFrame) -> DataFrame:
     """The mix itself: a row for each copy, range-sorted over all partitions by virtual finish time."""
     copy = plan.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    finish = F.col("finish") + (F.col("copy") - 1) * F.col("source_size") / F.col("target")
+    finish = F.col("finish") + F.when(F.col("target") > 0, (F.col("copy") - 1) * F.col("source_size") / F.col("target")).otherwise(0.0)
     return copy.withColumn("finish", finish).orderBy("finish", "shuffle", "copy").drop("shuffle", "copies")
 
 
