@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .functions import text
 from .operators import relational
 
-FLAGSHIP = "a18_a19_reconcile"
-_MODULES: tuple = (relational,)
+FLAGSHIP = "message_detections"
+_MODULES: tuple = (relational, text)
 
 
 def queries() -> dict:
