@@ -121,12 +121,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", text: str = "text", **options) -> DataFrame:
-    """``documents``: without contaminated rows. ``spans``: all rows, the words of hits taken out of their texts."""
-    found = find_contamination(docs, benchmark, text=text, **options)
+    """``documents``: without contaminated rows. ``spans``: all rows, the words of hits taken out of their texts. Columns stay as they are."""
+    own = {c: f"__own_{c}" for c in docs.columns if c in (*_NEW, "n_hit", "contaminated")}
+    found = find_contamination(docs.withColumnsRenamed(own), benchmark, text=own.get(text, text), **options)
+    columns = [F.col(own.get(c, c)).alias(c) for c in docs.columns]
     if mode == "documents":
-        return found.where(~F.col("contaminated")).select(*docs.columns)
+        return found.where(~F.col("contaminated")).select(columns)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    cut = found.select(*docs.columns, F.col("hit_spans").alias("__spans"))
+    cut = found.select(*columns, F.col("hit_spans").alias("__spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -46,6 +46,8 @@ class Model:
     middle: float
 
     def score(self, logit: np.ndarray) -> np.ndarray:
+        if np.isinf(self.middle):  # nothing was learned
+            return np.zeros(len(logit))
         z = self.scale * (logit - self.middle) + np.log(THRESHOLD / (1 - THRESHOLD))
         return np.where(np.isneginf(logit), 0.0, 1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
