@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .functions import text
-from .operators import relational
+from .operators import lines, relational
 
 FLAGSHIP = "message_detections"
-_MODULES: tuple = (relational, text)
+_MODULES: tuple = (relational, lines, text)
 
 
 def queries() -> dict:
