@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .functions import text
+from .functions import detect, text
 from .operators import lines, relational
 
 FLAGSHIP = "message_detections"
-_MODULES: tuple = (relational, lines, text)
+_MODULES: tuple = (relational, lines, text, detect)
 
 
 def queries() -> dict:

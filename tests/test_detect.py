@@ -1,0 +1,40 @@
+import hashlib
+import hmac
+
+from pyspark.sql import functions as F
+
+from postmill.functions import detect
+
+
+def test_amounts_dates_ids_phones(spark):
+    said = "Re $1,234.50 and 45,00 EUR- no, (EUR 12) and 1'234 CHF; call +49 30 1234567 or 12345. Order #A-77, tracking 1Z999AA10123456784. On 12/31/2023, 01/02/2024 and 3. März 2024, May 5, 2024, 31.02.2024"
+    df = spark.createDataFrame([(said,), (None,), ("",)], "t string")
+    rows = df.select(detect.amounts(F.col("t")).alias("a"), detect.dates(F.col("t")).alias("d"), detect.ids(F.col("t")).alias("i"), detect.phones(F.col("t")).alias("p")).collect()
+    assert [(a["value"], a["currency"]) for a in rows[0]["a"]] == [(1234.5, "USD"), (45.0, "EUR"), (-12.0, "EUR"), (1234.0, "CHF")]
+    assert [str(d["value"]) for d in rows[0]["d"]] == ["2023-12-31", "2024-01-02", "2024-03-03", "2024-05-05"]
+    assert {(i["kind"], i["value"]) for i in rows[0]["i"]} == {("order_number", "A-77"), ("tracking_number", "1Z999AA10123456784")}
+    assert rows[0]["p"] == ["+49 30 1234567"]
+    assert rows[2]["a"] == rows[2]["d"] == rows[2]["i"] == rows[2]["p"] == []
+
+
+def test_line_items_and_their_anchor(spark):
+    text = "Pens 2 x  EUR 4,00\nInk EUR 6,00\nStray EUR 1,50\nTotal EUR 10,00"
+    df = spark.createDataFrame([(text,)], "t string").select(detect.line_items(F.col("t")).alias("items"))
+    row = df.select("items", detect.anchored_run(F.col("items"), F.array(F.lit(10.0))).alias("run")).first()
+    assert [(i["description"], i["qty"], i["amount"]) for i in row["items"]] == [("Pens", 2, 4.0), ("Ink", None, 6.0), ("Stray", None, 1.5)]
+    assert [i["description"] for i in row["run"]] == ["Pens", "Ink"]
+
+
+def test_signature_ids_forwarding(spark):
+    df = spark.createDataFrame([("m", "forwarding-noreply@google.com", "Confirm forwarding. Confirmation code: 12345678")], "m string, s string, t string")
+    for secret in ("k", "x" * 100):
+        assert df.select(detect.hmac_sha256(secret, F.col("m"))).first()[0] == hmac.new(secret.encode(), b"m", hashlib.sha256).hexdigest()
+    assert tuple(df.select(detect.forwarding(F.col("s"), F.col("t"))).first()[0]) == ("gmail", "12345678")
+    ids = [r[0] for r in spark.range(3).select(detect.sortable_id(F.timestamp_seconds(F.col("id") * 1000), F.col("id"))).collect()]
+    assert ids == sorted(ids) and all(len(i) == 26 for i in ids)
+
+
+def test_detection_of_a_reply(spark):
+    df = spark.createDataFrame([("Re: Invoice no. R-1", "about invoice no. R-2, see https://x.org/9")], "s string, t string")
+    found = df.select(detect.detect(F.col("s"), F.col("t")).alias("d")).first()["d"]
+    assert [i["value"] for i in found["ids"]] == ["R-2", "R-1"] and found["urls"] == ["https://x.org/9"] and found["type"] == "invoice"
