@@ -6,6 +6,7 @@ them to whole tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +57,11 @@ SPAM_PHRASES = (
 SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
@@ -75,11 +81,13 @@ def escape_html(text: Column) -> Column:
 def language(text: Column) -> Column:
     """The language whose function words are the largest share of the words; null for short or unclear texts."""
     plain = F.regexp_replace(F.lower(text), r"[^\p{L}\s]", " ")
-    words = split_words(plain)
-    count = lambda lang: F.size(F.filter(words, lambda w: w.isin(MARKERS[lang].split())))
-    best = F.array_max(F.array(*(F.struct(count(lang).alias("n"), F.lit(-k).alias("order"), F.lit(lang).alias("lang")) for k, lang in enumerate(MARKERS))))
-    enough = (F.length(F.trim(plain)) >= LEAST_CHARS) & (F.size(words) >= LEAST_WORDS) & (best["n"] > 0) & (best["n"] / F.size(words) >= LEAST_SCORE)
-    return F.when(enough, best["lang"])
+    count = lambda words, lang: F.size(F.filter(words, lambda w: w.isin(MARKERS[lang].split())))
+
+    def best(words: Column) -> Column:
+        top = F.array_max(F.array(*(F.struct(count(words, lang).alias("n"), F.lit(-k).alias("order"), F.lit(lang).alias("lang")) for k, lang in enumerate(MARKERS))))
+        return let(top, lambda t: F.when((F.size(words) >= LEAST_WORDS) & (t["n"] > 0) & (t["n"] / F.size(words) >= LEAST_SCORE), t["lang"]))
+
+    return let(plain, lambda p: F.when(F.length(F.trim(p)) >= LEAST_CHARS, let(split_words(p), best)))
 
 
 def domain_lowered(address: Column) -> Column:
@@ -88,7 +96,8 @@ def domain_lowered(address: Column) -> Column:
 
 
 def emails(text: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda e: domain_lowered(F.regexp_replace(e, r"^[.]+|[.]+$", "")))
+    some = F.when(F.contains(text, F.lit("@")), text).otherwise(F.lit(""))  # most texts have none, and the pattern is slow
+    found = F.transform(F.regexp_extract_all(some, F.lit(EMAIL), F.lit(0)), lambda e: domain_lowered(F.regexp_replace(e, r"^[.]+|[.]+$", "")))
     return F.array_distinct(F.filter(found, lambda e: e.rlike(r"\.[A-Za-z]{2,}$") & (F.length(e) < 254)))
 
 
@@ -104,10 +113,14 @@ def links(html: Column) -> Column:
 
 def document_type(text: Column) -> Column:
     """The type whose phrases weigh most, at least 3; the first-listed of ties."""
-    low = F.lower(text)
-    score = lambda phrases: reduce(lambda a, b: a + b, (F.least(F.regexp_count(low, F.lit(rf"\b{p}\b")), F.lit(3)) * w for p, w in phrases.items()))
-    best = F.array_max(F.array(*(F.struct(score(p).alias("n"), F.lit(-k).alias("order"), F.lit(t).alias("type")) for k, (t, p) in enumerate(TYPE_PHRASES.items()))))
-    return F.when(best["n"] >= 3, best["type"]).otherwise("generic")
+    count = lambda low, p: F.when(F.contains(low, F.lit(p)), F.least(F.regexp_count(low, F.lit(rf"\b{p}\b")), F.lit(3))).otherwise(0)
+
+    def best(low: Column) -> Column:
+        score = lambda phrases: reduce(lambda a, b: a + b, (count(low, p) * w for p, w in phrases.items()))
+        top = F.array_max(F.array(*(F.struct(score(p).alias("n"), F.lit(-k).alias("order"), F.lit(t).alias("type")) for k, (t, p) in enumerate(TYPE_PHRASES.items()))))
+        return let(top, lambda t: F.when(t["n"] >= 3, t["type"]).otherwise("generic"))
+
+    return F.coalesce(let(F.lower(text), best), F.lit("generic"))
 
 
 def parse_number(raw: Column) -> Column:
@@ -357,15 +370,17 @@ def j19_org_domain(spark: SparkSession, d: str) -> DataFrame:
 
 def s23_s25_delimiter(spark: SparkSession, d: str) -> DataFrame:
     """The delimiter that splits the lines of a text most evenly: ten times the lines like the median, and the median."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-
-    def judged(sep: str) -> Column:
+    def judged(lines: Column, sep: str) -> Column:
         counts = F.array_sort(F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(sep), F.lit("")))))
-        median = F.element_at(counts, F.floor(F.size(counts) / 2).cast("int") + 1)
-        return F.when(median > 0, F.size(F.filter(counts, lambda c: c == median)) * 10 + median).otherwise(0)
+        score = lambda c, median: F.when(median > 0, F.size(F.filter(c, lambda n: n == median)) * 10 + median).otherwise(0)
+        return let(counts, lambda c: let(F.get(c, F.floor(F.size(c) / 2).cast("int")), lambda m: score(c, m)))
 
-    best = F.array_max(F.array(*(F.struct(judged(s).alias("n"), F.lit(-k).alias("order"), F.lit(s).alias("sep")) for k, s in enumerate((",", ";", "|")))))
-    return _docs(spark, d).where("text <> ''").select("doc_id", F.when(best["n"] > 0, best["sep"]).alias("delimiter"))
+    def best(lines: Column) -> Column:
+        top = F.array_max(F.array(*(F.struct(judged(lines, s).alias("n"), F.lit(-k).alias("order"), F.lit(s).alias("sep")) for k, s in enumerate((",", ";", "|")))))
+        return let(top, lambda t: F.when(t["n"] > 0, t["sep"]))
+
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    return _docs(spark, d).where("text <> ''").select("doc_id", let(lines, best).alias("delimiter"))
 
 
 def s38_html_to_text(spark: SparkSession, d: str) -> DataFrame:
