@@ -94,8 +94,8 @@ def text_logits(texts: Texts, model: Model) -> np.ndarray:
     return out
 
 
-def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of labelled texts: (n-gram buckets, their word, word of each occurrence, text of each occurrence)."""
+def _bags(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, int]:
+    """Distinct words of labelled texts: (buckets and their word for each size of n-gram, word and text of each occurrence, words)."""
     known: dict[bytes, int] = {}
     of_word, of_text = [], []
     for i, text in enumerate(texts):
@@ -103,7 +103,7 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         words = sorted(set(low.translate(bytes(b if ok else 32 for b, ok in enumerate(ALNUM))).split()))
         of_word += [known.setdefault(w, len(known)) for w in words]
         of_text += [i] * len(words)
-    buckets, owner = [], []
+    grams = []
     joined = np.frombuffer(b" " + b" ".join(known) + b" ", np.uint8)
     lengths = np.fromiter(map(len, known), np.int64, len(known))
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if len(known) else np.empty(0, np.int64)
@@ -111,9 +111,8 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         at = _gram_buckets(joined, size)
         n = np.maximum(0, lengths + 3 - size)
         first = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        buckets.append(at[first])
-        owner.append(np.repeat(np.arange(len(known)), n))
-    return np.concatenate(buckets), np.concatenate(owner), np.array(of_word), np.array(of_text)
+        grams.append((at[first].astype(np.uint16), np.repeat(np.arange(len(known), dtype=np.int32), n)))
+    return grams, np.array(of_word, np.int32), np.array(of_text, np.int32), len(known)
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
@@ -121,11 +120,10 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     empty = Model(np.zeros(BUCKETS), 0.0, 0.0, np.inf)
     if not 0 < y.sum() < len(y):
         return empty
-    bucket, owner, of_word, of_text = _bags(texts)
-    n_words = int(owner.max()) + 1 if len(owner) else 0
+    bags, of_word, of_text, n_words = _bags(texts)
     if not n_words:
         return empty
-    grams = np.maximum(np.bincount(owner, minlength=n_words), 1)
+    grams = np.maximum(sum(np.bincount(owner, minlength=n_words) for _, owner in bags), 1)
     rng = np.random.default_rng(seed)
     tuning = rng.permutation(len(y)) < len(y) // 5  # not trained on: sets scale and middle
     share = np.where(y == 1, 0.5 / max(1, (y * ~tuning).sum()), 0.5 / max(1, ((1 - y) * ~tuning).sum())) * ~tuning
@@ -135,7 +133,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
 
     def logits() -> np.ndarray:
         weight = params["E"] @ (params["w"][:, 1] - params["w"][:, 0])
-        return np.bincount(owner, weight[bucket], n_words) / grams + params["b"][1] - params["b"][0]
+        return sum(np.bincount(owner, weight[bucket], n_words) for bucket, owner in bags) / grams + params["b"][1] - params["b"][0]
 
     def pooled(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each text's smooth maximum, and each occurrence's part in it."""
@@ -149,7 +147,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         z, part = pooled(logits())
         off = share * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
         per_word = np.bincount(of_word, off[of_text] * part, n_words)
-        per_bucket = np.bincount(bucket, (per_word / grams)[owner], BUCKETS)
+        share_of = per_word / grams
+        per_bucket = sum(np.bincount(bucket, share_of[owner], BUCKETS) for bucket, owner in bags)
         toward = params["w"][:, 1] - params["w"][:, 0]
         g_w = params["E"].T @ per_bucket
         grads = {"E": per_bucket[:, None] * toward + DECAY / BUCKETS * params["E"], "w": np.stack([-g_w, g_w], axis=1), "b": np.array([-1.0, 1.0]) * off.sum()}
