@@ -354,7 +354,7 @@ def t58_id_hash(spark: SparkSession, d: str) -> DataFrame:
 
 def t60_numeric_cells(spark: SparkSession, d: str) -> DataFrame:
     """Lines of pipe tables: how many cells are numbers, and whether the line is a total."""
-    cells = F.transform(F.split("line", r"\|"), F.trim)
+    cells = F.transform(F.split("line", r"\|"), lambda c: F.trim(c))
     lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.contains("line", F.lit("|")))
     return lines.select("doc_id", "no", F.size(cells).cast("long").alias("cells"), F.size(F.filter(cells, lambda c: c.rlike(r"^[-+]?[0-9][0-9.,]*$"))).cast("long").alias("numeric"), F.exists(cells, lambda c: F.lower(c).rlike(r"^(sub)?(total|summe|gesamt)")).alias("totals"))
 
