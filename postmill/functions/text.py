@@ -289,7 +289,7 @@ def t30_t62_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Does a cited passage stand in the document that it is cited from?"""
     cited = F.concat_ws(" ", F.slice(F.split("text", " "), 3, F.col("doc_id") % 4 + 1))
     cited = F.when(F.col("doc_id") % 5 == 0, F.concat(cited, F.lit(" never said"))).otherwise(cited)
-    return _docs(spark, d).where("length(text) > 60").select("doc_id", supported(F.upper(cited), F.upper("text")).alias("ok"))
+    return _docs(spark, d).where("length(text) > 60").select("doc_id", supported(cited, F.col("text")).alias("ok"))
 
 
 def t32_t44_evidence_window(spark: SparkSession, d: str) -> DataFrame:
@@ -488,7 +488,7 @@ ORACLE_SQL = {
     "t23_currency": "SELECT c_custkey, ['USD', 'EUR', 'EUR', 'CNY', NULL, 'USD'][c_custkey % 6 + 1] AS currency FROM customer",
     "t25_t28_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders",
     "t27_locale_hint": f"SELECT page_id, CASE WHEN t IN ('de', 'fr', 'es', 'it', 'nl', 'uk', 'at', 'ch') THEN 'dmy' WHEN t IN ('us', 'com') THEN NULL ELSE 'other' END AS hint FROM (SELECT page_id, regexp_extract(lower({_DOMAIN}), '\\.([a-z]{{2,}})$', 1) AS t FROM pages)",
-    "t30_t62_evidence": """WITH c AS (SELECT doc_id, upper(text) AS t, upper(array_to_string(string_split(text, ' ')[3 : 3 + doc_id % 4], ' ') || CASE WHEN doc_id % 5 = 0 THEN ' never said' ELSE '' END) AS e FROM documents WHERE length(text) > 60)
+    "t30_t62_evidence": """WITH c AS (SELECT doc_id, text AS t, array_to_string(string_split(text, ' ')[3 : 3 + doc_id % 4], ' ') || CASE WHEN doc_id % 5 = 0 THEN ' never said' ELSE '' END AS e FROM documents WHERE length(text) > 60)
         SELECT doc_id, length(trim(e)) >= 4 AND contains(lower(trim(regexp_replace(t, '[\\s ]+', ' ', 'g'))), lower(trim(regexp_replace(e, '[\\s ]+', ' ', 'g')))) AS ok FROM c""",
     "t32_t44_evidence_window": "SELECT doc_id, substring(text, greatest(p - 20, 1), least(p - 1, 20) + 8 + 20) AS window FROM (SELECT doc_id, text, instr(text, 'token = ') AS p FROM documents) WHERE p > 0",
     "t33_norm": "SELECT item_id, lower(trim(regexp_replace(text, '[\\s ]+', ' ', 'g'))) AS norm FROM benchmark",

@@ -285,7 +285,7 @@ def a09_a10_rollup_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def a11_mean_confidence(spark: SparkSession, d: str) -> DataFrame:
     present = F.when(F.col("value") > 10, F.floor(F.col("value")).cast("long"))
-    return table(spark, d, "events").groupBy("user_id").agg(F.round(F.sum(present) / F.count(present) / 100, 4).alias("confidence"))
+    return table(spark, d, "events").groupBy("user_id").agg((F.floor((F.sum(present) * 200 + F.count(present)) / (F.count(present) * 2)) / 10000).alias("confidence"))
 
 
 def a12_calibration(spark: SparkSession, d: str) -> DataFrame:
@@ -564,7 +564,7 @@ ORACLE_SQL = {
     "a07_capped_count": "SELECT least(count(*), 5000) AS n FROM orders WHERE o_orderstatus = 'F'",
     "a08_too_old": "SELECT count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS oldest FROM events WHERE event_type = 'click'",
     "a09_a10_rollup_merge": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS path, count(*) AS views FROM events GROUP BY 1, 2",
-    "a11_mean_confidence": "SELECT user_id, round(sum(v) / count(v) / 100, 4) AS confidence FROM (SELECT user_id, CASE WHEN value > 10 THEN CAST(floor(value) AS BIGINT) END AS v FROM events) GROUP BY user_id",
+    "a11_mean_confidence": "SELECT user_id, ((sum(v) * 200 + count(v)) // nullif(count(v) * 2, 0)) / 10000 AS confidence FROM (SELECT user_id, CASE WHEN value > 10 THEN CAST(floor(value) AS BIGINT) END AS v FROM events) GROUP BY user_id",
     "a12_calibration": """SELECT CASE WHEN c >= 0.9 THEN '0.9' WHEN c >= 0.7 THEN '0.7' WHEN c >= 0.5 THEN '0.5' ELSE 'below' END AS bucket, count(*) AS n, count(*) FILTER (quality = 1) AS "right", count(*) FILTER (quality = 1 AND toxic = 1) AS fp
         FROM (SELECT least(1.0, n_chars / 4000) AS c, quality, toxic FROM documents JOIN labels USING (doc_id)) GROUP BY 1""",
     "a13_percentiles": f"""WITH s AS (SELECT o_orderpriority, list_sort(list({_CENTS('o_totalprice')})) AS l FROM orders GROUP BY 1)
