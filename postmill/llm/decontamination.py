@@ -5,8 +5,8 @@ window. Each task hashes its texts' windows, looks them up in the broadcast set,
 hit by the words themselves, so that a hash can't make a hit. Rows never move between tasks.
 
 What is broadcast grows with the benchmark, so its size is checked first: beyond ``max_bytes`` of
-text the items are dealt to several sets by hash, and the documents pass one set after another in
-the same stage, each adding its hits. One set at a time is gathered from the items.
+text the items are dealt to several sets by hash, and the documents pass one set after another,
+each adding its hits, with a table written in between, so that no task holds two sets.
 
 Defined results: a null text has no words and isn't contaminated; an item without words hits
 nothing; items that repeat count once by id, and items without an id mark words but aren't listed;
@@ -16,7 +16,6 @@ of ``docs`` of the same name; all others are kept.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, table
-from ._words import ALNUM, slices, window_hashes
+from ._shared import small_batches, table, written
+from ._words import ALNUM, Words, slices, window_hashes
 
 WINDOW = 13  #: Fixed value of the contract.
 MIN_SHARE = 20  #: Fixed value of the contract: contaminated from a 20th of the words on.
-MAX_BROADCAST_BYTES = 32 << 20
+MAX_BROADCAST_BYTES = 8 << 20  # of text; a set takes about seven times as much in memory
 
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
 _NEW = {"n_words": pa.int64(), "hit_spans": _SPANS, "hit_items": pa.list_(pa.string())}
@@ -38,33 +37,48 @@ _DDL = "n_words bigint, hit_spans array<struct<first:int,after:int>>, hit_items
 
 
 class WindowSet:
-    """The windows of some items: by size, their hashes, and by hash the words and ids."""
+    """The windows of some items in flat arrays: by size, the sorted hashes and the words they start at."""
 
     def __init__(self, items: list[tuple], size: int):
-        self.by_size: dict[int, tuple[np.ndarray, dict[int, dict[bytes, set]]]] = {}
-        column = pa.array([text for _, text in items], pa.string())
-        words = defaultdict(lambda: defaultdict(set))
-        for lo, _, texts in slices(column, lower=True):
+        self.ids = [i for i, _ in items]
+        self.seen: dict[tuple[int, int], dict[bytes, set]] = {}  # windows that texts have hit, by size and hash
+        parts, base = [], 0
+        for lo, _, texts in slices(pa.array([text for _, text in items], pa.string()), lower=True):
             w = texts.words(ALNUM)
-            for i, n in enumerate(w.counts.tolist()):
-                if n:
-                    own = [w.bytes_of(k) for k in range(w.first[i], w.first[i + 1])]
-                    k = min(size, n)
-                    for at, h in enumerate(window_hashes(w.hashes()[w.first[i] : w.first[i + 1]], k).tolist()):
-                        words[k, h][b" ".join(own[at : at + k])].add(items[lo + i][0])
-        for k in {k for k, _ in words}:
-            found = {h: x for (kk, h), x in words.items() if kk == k}
-            quick = np.zeros(1 << 20, bool)  # passes a hash in a hundred that isn't there
-            quick[np.fromiter(found, np.uint64, len(found)) & np.uint64((1 << 20) - 1)] = True
-            self.by_size[k] = (quick, found)
-
-    def hits(self, w) -> list[tuple[int, int, set]]:
+            parts.append((texts.data, w.starts + base, w.ends + base, w.text_of() + lo, w.hashes(), w.counts))
+            base += len(texts.data)
+        none = (np.empty(0, np.uint8), *(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint64), np.empty(0, np.int64))
+        self.data, self.starts, self.ends, self.owner, hashes, counts = (np.concatenate(x) for x in zip(none, *parts, strict=True))
+        last, own = np.repeat(np.cumsum(counts), counts), np.minimum(np.repeat(counts, counts), size)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in np.unique(own).tolist():
+            at = window_hashes(hashes, k)
+            place = np.flatnonzero((np.arange(len(at)) + k <= last[: len(at)]) & (own[: len(at)] == k))
+            place = place[np.argsort(at[place], kind="stable")]
+            quick = np.zeros(1 << 20, bool)  # lets few hashes pass that aren't there
+            quick[at[place] & np.uint64((1 << 20) - 1)] = True
+            self.by_size[k] = (quick, at[place], place)
+
+    def _windows(self, k: int, h: int, places: np.ndarray) -> dict[bytes, set]:
+        """The word sequences behind a hash, with the ids of their items."""
+        if (k, h) not in self.seen:
+            found = defaultdict(set)
+            for at in places.tolist():
+                words = (self.data[self.starts[j] : self.ends[j]].tobytes() for j in range(at, at + k))
+                found[b" ".join(words)].add(self.ids[self.owner[at]])
+            self.seen[k, h] = found
+        return self.seen[k, h]
+
+    def hits(self, w: Words) -> list[tuple[int, int, set]]:
         """(first word, size, ids) of every window of the texts that is in the set."""
         out, hashes, last = [], w.hashes(), np.repeat(w.first[1:], w.counts)
-        for k, (quick, found) in sorted(self.by_size.items()):
+        for k, (quick, known, place) in sorted(self.by_size.items()):
             at = window_hashes(hashes, k)
-            for i in np.flatnonzero(quick[at & np.uint64((1 << 20) - 1)] & (np.arange(len(at)) + k <= last[: len(at)])).tolist():
-                if (same := found.get(int(at[i]))) and (ids := same.get(b" ".join(w.bytes_of(j) for j in range(i, i + k)))) is not None:
+            maybe = np.flatnonzero(quick[at & np.uint64((1 << 20) - 1)] & (np.arange(len(at)) + k <= last[: len(at)]))
+            lo, hi = np.searchsorted(known, at[maybe], "left"), np.searchsorted(known, at[maybe], "right")
+            for i, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                ids = self._windows(k, int(at[i]), place[a:b]).get(b" ".join(w.bytes_of(j) for j in range(i, i + k)))
+                if ids is not None:
                     out.append((i, k, ids))
         return out
 
@@ -114,6 +128,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
         shared = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in part.collect()], size))
         plain = [f for f in out.schema if f.name in kept]
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain) + ", " + _DDL
+        out = written(spark, out, "decontamination") if k else out
         out = out.mapInArrow(lambda batches, shared=shared: (_scan(b, shared.value, text) for b in batches), ddl)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["after"] - s["first"])
     out = out.withColumn("n_hit", n_hit).withColumn("hit_items", F.array_compact("hit_items"))
