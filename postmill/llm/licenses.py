@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ALNUM_WORD, ASCII_LOWER, ASCII_UPPER, table
+from ._shared import ALNUM_WORD, ASCII_LOWER, ASCII_UPPER, ascii_lower, table
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ TEMPLATES = (
 
 
 def word_array(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(ALNUM_WORD), F.lit(0))
+    return F.regexp_extract_all(ascii_lower(text), F.lit(ALNUM_WORD), F.lit(0))
 
 
 def frequency_ranks(docs: DataFrame, templates: tuple[Template, ...], text: str) -> dict[str, int]:

@@ -36,6 +36,15 @@ def test_phrases_across_block_edges(spark):
         assert {p for f in r["found"] for p in f["places"]} == {r["doc_id"]}
 
 
+def test_only_ascii_letters_are_lowered(spark):
+    """The Kelvin sign's lower case is an ASCII k, but the sign is a word character of its own."""
+    notice = next(t for t in licenses.TEMPLATES if t.label == "notice-gpl-3.0").text.replace("version 3", "version x y z")
+    plain, kelvin = licenses.license_blocks(spark.createDataFrame([(1, notice.upper()), (2, notice.upper().replace("K", "\u212a"))], "doc_id int, text string")).orderBy("doc_id").collect()
+    assert plain["n_words"] == kelvin["n_words"]
+    top = [max(f["score"] for f in r["found"] if f["label"] == "notice-gpl-3.0") if any(f["label"] == "notice-gpl-3.0" for f in r["found"]) else 0 for r in (plain, kelvin)]
+    assert top[0] > top[1]
+
+
 def test_containment_is_exact(spark):
     t = next(t for t in licenses.TEMPLATES if t.label == "notice-apache-2.0")
     words = t.words
