@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ALNUM_WORD, ASCII_LOWER, ASCII_UPPER, ascii_lower, table
+from ._shared import ALNUM_WORD, ASCII_LOWER, ASCII_UPPER, table
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,7 @@ class Template:
 
 
 BLOCK, STRIDE = 64, 32
+_NO_WORD = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 #: The phrases and labels of the contract, then notices of common licenses.
 TEMPLATES = (
     Template("mit", "mit license", phrase=True),
@@ -68,7 +69,9 @@ TEMPLATES = (
 
 
 def word_array(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(ALNUM_WORD), F.lit(0))
+    """Words with A-Z in lower case. All other ASCII signs become blanks first, since ``split`` takes a tenth of ``regexp_extract_all``'s time."""
+    apart = F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER + _NO_WORD, ASCII_LOWER + " " * len(_NO_WORD))
+    return F.array_remove(F.split(apart, " "), "")
 
 
 def frequency_ranks(docs: DataFrame, templates: tuple[Template, ...], text: str) -> dict[str, int]:
