@@ -113,17 +113,41 @@ def read_docx(content: bytes) -> tuple[str, list[dict]]:
     return "\n".join(paragraphs), [make_table("docx", i, g) for i, g in enumerate(g for g in grids if g)]
 
 
+#: Elements without an end, and elements whose text isn't shown.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+UNSHOWN = frozenset("script style head title template noscript".split())
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|mso-hide\s*:\s*all|(?:font-size|max-height|opacity)\s*:\s*0(?:px|pt|em)?\s*(?:;|$)", re.I)
+
+
+def is_hidden(tag: str, attrs: dict[str, str | None]) -> bool:
+    """Elements that a reader doesn't see: preheaders, hidden blocks, scripts."""
+    return tag in UNSHOWN or "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style") or "") is not None
+
+
+def is_pixel(attrs: dict[str, str | None]) -> bool:
+    """An image of one pixel or none, which only counts views."""
+    return any((attrs.get(side) or "").strip().removesuffix("px") in ("0", "1") for side in ("width", "height"))
+
+
 class _Html(HTMLParser):
-    """Text with one line for each block, and the grids of innermost tables."""
+    """Text with one line for each block, and the grids of innermost tables; hidden elements are left out."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.text, self.grids, self.stack, self.cell, self.raw = [], [], [], None, 0
+        self.text, self.grids, self.stack, self.cell = [], [], [], None
+        self.open: list[tuple[str, bool]] = []  # open elements, and whether they are hidden
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("script", "style"):
-            self.raw += 1
-        elif tag == "table":
+        named = dict(attrs)
+        if tag == "img" and named.get("alt") and not is_pixel(named) and not is_hidden(tag, named):
+            self.handle_data(named["alt"])
+        if tag in ("p", "li", "tr", "td", "th") and self.open and self.open[-1][0] == tag:
+            self.open.pop()  # its end tag may be left out
+        if tag not in VOID:
+            self.open.append((tag, bool(self.open) and self.open[-1][1] or is_hidden(tag, named)))
+        if self.open and self.open[-1][1]:
+            return
+        if tag == "table":
             self.stack.append([])
         elif tag == "tr" and self.stack:
             self.stack[-1].append([])
@@ -134,9 +158,13 @@ class _Html(HTMLParser):
             self.text.append("\n- " if tag == "li" else "\n")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self.raw = max(0, self.raw - 1)
-        elif tag in ("td", "th"):
+        hidden = bool(self.open) and self.open[-1][1]
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+        if hidden:
+            return
+        if tag in ("td", "th"):
             self.cell = None
             self.text.append("\t")
         elif tag == "table" and self.stack:
@@ -145,7 +173,7 @@ class _Html(HTMLParser):
                 self.grids.append(grid)
 
     def handle_data(self, data: str) -> None:
-        if not self.raw:
+        if not (self.open and self.open[-1][1]):
             self.text.append(data)
             if self.cell is not None:
                 self.cell[-1] += data
