@@ -138,9 +138,9 @@ def p04_review_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j12_exists_in_json(spark: SparkSession, d: str) -> DataFrame:
-    """Parts with a word of their type, kept as a JSON array, that holds the text "ee"."""
-    said = F.to_json(F.split("p_type", " "))
-    return table(spark, d, "part").where(F.exists(F.from_json(said, "array<string>"), lambda x: F.contains(F.lower(x), F.lit("ee")))).select("p_partkey", "p_type")
+    """Parts with a word of their name, kept as a JSON array, that holds the text "an"."""
+    said = F.to_json(F.split("p_name", " "))
+    return table(spark, d, "part").where(F.exists(F.from_json(said, "array<string>"), lambda x: F.contains(F.lower(x), F.lit("an")))).select("p_partkey", "p_name")
 
 
 def j17_uncovered(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +182,7 @@ QUERIES = {f.__name__: f for f in (p04_review_rows, j12_exists_in_json, j17_unco
 ORACLE_SQL = {
     "p04_review_rows": """WITH f AS (SELECT event_id, value, event_type, unnest(list_filter([CASE WHEN value < 20 THEN 'low_confidence:' || event_type END, CASE WHEN value > 80 THEN 'arithmetic_mismatch:total' END, CASE WHEN user_id % 10 = 0 THEN 'parse_failed' END], lambda x: x IS NOT NULL)) AS flag FROM events)
         SELECT event_id, flag, CASE WHEN contains(flag, ':') THEN split_part(flag, ':', 2) END AS field, round(CASE WHEN flag = 'arithmetic_mismatch:total' THEN value WHEN contains(flag, ':') THEN value / 2 END, 6) AS found FROM f""",
-    "j12_exists_in_json": "SELECT p_partkey, p_type FROM part WHERE EXISTS (SELECT 1 FROM unnest(string_split(p_type, ' ')) u(x) WHERE contains(lower(x), 'ee'))",
+    "j12_exists_in_json": "SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM unnest(string_split(p_name, ' ')) u(x) WHERE contains(lower(x), 'an'))",
     "j17_uncovered": """WITH h AS (SELECT DISTINCT l_orderkey, CAST(l_linenumber * 10 AS BIGINT) AS first, CAST(l_linenumber * 10 + l_quantity AS BIGINT) AS after FROM lineitem)
         SELECT l_orderkey, first, after FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.l_orderkey = a.l_orderkey AND b.first <= a.first AND b.after >= a.after AND b.after - b.first > a.after - a.first)""",
     "t26_datetimes": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events",

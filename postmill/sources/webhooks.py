@@ -16,7 +16,6 @@ from ..functions.detect import hmac_sha256
 from . import mailbox
 
 MAX_SKEW_S = 300
-SHAPE = "struct<from:string,to:array<string>,raw:binary>"
 
 
 def _header(name: str) -> Column:
