@@ -1,13 +1,16 @@
 """Main text of web pages by deduction of each host's template from equivalence classes of tokens.
 
-Tokens are a page's tags, with class and id, and its text blocks. A token's occurrence vector says how
-often it stands on each page of the host. Tokens with equal vectors are an equivalence class; a
+Tokens are a page's tags, with class and id, and its text blocks, each told apart by the names of the
+tags around it. A token's occurrence vector says how often it stands on each page of the host. Tokens with equal vectors are an equivalence class; a
 class is valid if it is large (``CLASS_SIZE`` tokens) and frequent (``SUPPORT`` of the host's pages, at
-least ``MIN_PAGES``). Valid classes, nested by the tags of their tokens, are the host's template: its
-containers, and its constant texts. The text that remains lies in the slots. Extraction keeps the
-slots of the article container where the template (or, for a host with no template, the page) has
-one, else all slots, without those that lie in containers of menus, adverts, forms, comments and the like, and
-without constant texts.
+least ``MIN_PAGES``). Valid classes, nested by the tags around their tokens, are the host's template: its
+containers, and its constant texts. The text that remains lies in the slots, on every page.
+Extraction leaves out slots in containers of the template whose class, id or role names menus, adverts,
+comments and the like, and keeps those in the template's article container, where it has one.
+
+Fallbacks, by HTML alone: a page without an article container of the template keeps what lies in its own
+article, if it has one; tags whose names say that they lie beside the article (``AWAY``) and hidden tags are
+left out everywhere; on hosts with no template the words of class, id and role count on any tag.
 
 No host meets in one task: vectors are sums of hashes over (host, token), and a host's template is
 as large as a page's frequent tokens, however many pages it has. Templates join pages as rows; AQE
@@ -24,6 +27,7 @@ import html as html_entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -86,22 +90,27 @@ def _marks(attributes: str) -> tuple[str, bool]:
     return marks, hidden
 
 
-def _away(name: str, marks: str, hidden: bool, in_main: bool) -> bool:
-    if hidden or name in AWAY and not (name == "header" and in_main):
-        return True
-    return name not in ("html", "body") and name not in MAIN and any(w in AWAY_WORDS for w in re.split(r"[^a-z]+", marks))
+class Tag(NamedTuple):
+    """An open tag: its key within the names of the tags around it, and what its name and its marks say."""
+
+    name: str
+    path: str
+    key: int
+    main: bool  # it is an article
+    away: bool  # its name says that it lies beside the article, or it is hidden
+    worded: bool  # its class, id or role says so
 
 
-def blocks(page: str) -> list[tuple[str, tuple[int, ...], bool, bool]]:
-    """Each text block in page order: (text, keys of the tags around it, lies in an article, lies beside it)."""
+def blocks(page: str) -> list[tuple[str, int, tuple[Tag, ...]]]:
+    """Each text block in page order: (text, its key within the names of the tags around it, those tags)."""
     out, pieces = [], []
-    stack: list[tuple[str, int, bool, bool]] = []  # name, key, in an article, beside it
+    stack: list[Tag] = []
 
     def flush() -> None:
         text = " ".join(html_entities.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            out.append((text, tuple(k for _, k, _, _ in stack), bool(stack) and stack[-1][2], bool(stack) and stack[-1][3]))
+            out.append((text, token_key(f"{stack[-1].path if stack else ''}>{text}"), tuple(stack)))
 
     for kind, name, value in events(page):
         if kind == "text":
@@ -111,16 +120,17 @@ def blocks(page: str) -> list[tuple[str, tuple[int, ...], bool, bool]]:
         else:
             flush()
             if kind == "close":
-                if any(n == name for n, *_ in stack):
-                    while stack.pop()[0] != name:
+                if any(t.name == name for t in stack):
+                    while stack.pop().name != name:
                         pass
             elif name not in VOID:
-                while stack and stack[-1][0] in CLOSES.get(name, ()):
+                while stack and stack[-1].name in CLOSES.get(name, ()):
                     stack.pop()
                 marks, hidden = _marks(value)
-                _, _, in_main, beside = stack[-1] if stack else ("", 0, False, False)
-                beside = beside or _away(name, marks, hidden, in_main)
-                stack.append((name, token_key(f"<{name} {marks}"), in_main or name in MAIN or "articlebody" in marks, beside))
+                path = f"{stack[-1].path}/{name}" if stack else name
+                away = hidden or name in AWAY and not (name == "header" and any(t.main for t in stack))
+                worded = name not in ("html", "body") and name not in MAIN and any(w in AWAY_WORDS for w in re.split(r"[^a-z]+", marks))
+                stack.append(Tag(name, path, token_key(f"{path}<{marks}"), name in MAIN or "articlebody" in marks, away, worded))
     flush()
     return out
 
@@ -132,22 +142,25 @@ def token_key(token: str) -> int:
 def page_tokens(page: str) -> Counter:
     """Keys of the page's tags and text blocks with their counts; tags are those around text."""
     found: Counter = Counter()
-    last: tuple[int, ...] = ()
-    for text, path, _, _ in blocks(page):
-        shared = next((i for i, (a, b) in enumerate(zip(path, last, strict=False)) if a != b), min(len(path), len(last)))
-        found.update(path[shared:])
-        found[token_key(text)] += 1
+    last: tuple[Tag, ...] = ()
+    for _, key, path in blocks(page):
+        shared = next((i for i, (a, b) in enumerate(zip(path, last, strict=False)) if a is not b), min(len(path), len(last)))
+        found.update(t.key for t in path[shared:])
+        found[key] += 1
         last = path
     return found
 
 
 def main_text(page: str, template: frozenset[int]) -> str:
     """The slots' text. ``template``: keys of the tokens in valid classes, empty if the host has none."""
-    found = blocks(page)
-    slots = [(text, path) for text, path, in_main, beside in found if in_main and not beside]
-    if not slots:
-        slots = [(text, path) for text, path, _, beside in found if not beside and token_key(text) not in template]
-    return " ".join(text for text, _ in slots)
+    beside = lambda t: t.away or t.worded and (not template or t.key in template)
+    found = [(text, key, path) for text, key, path in blocks(page) if not any(map(beside, path))]
+    for inside in (lambda t: t.main and t.key in template, lambda t: t.main):
+        article = [b for b in found if any(map(inside, b[2]))]
+        if article:
+            found = article
+            break
+    return " ".join(text for text, key, _ in found if key not in template)
 
 
 def host(url: Column) -> Column:

@@ -219,3 +219,19 @@ def test_pages_equal_brute_force(spark):
     for r in html_text.extract(pages).collect():
         body = re.search(r"<article>(.*?)(</article>|$)", r["html"], re.S)[1]
         assert r["text"] == " ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", body))).split())
+
+
+def test_template_holds_inside_the_article_too(spark):
+    """Constant texts go, and words of a class or id count only where the tag is in a valid class."""
+    page = lambda i: f"<html><body><div class=menu{i}>m{i}</div><article><h2 id='social-{i}'>Head {i}</h2><p>Read this first</p><p>story {i}</p><div class=share>sent {i} times</div></article></body></html>"
+    df = spark.createDataFrame([(i, "http://h.org/x", page(i)) for i in range(12)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got == {i: f"Head {i} story {i}" for i in range(12)}
+
+
+def test_tokens_differ_by_the_tags_around_them(spark):
+    """A text that is constant in the foot of each page is a page's own text elsewhere."""
+    page = lambda i: f"<html><body><div class=b><p>story {i}</p>{'<p>Call us</p>' if i == 3 else ''}</div><ul class=c><li>Call us</li></ul></body></html>"
+    df = spark.createDataFrame([(i, "http://h.org/x", page(i)) for i in range(12)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got == {i: f"story {i}" + (" Call us" if i == 3 else "") for i in range(12)}
