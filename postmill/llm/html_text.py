@@ -1,7 +1,8 @@
 """Main text of web pages by deduction of each host's template from equivalence classes of tokens.
 
 Tokens are a page's tags, with class and id, and its text blocks, each told apart by the names of the
-tags around it. A token's occurrence vector says how often it stands on each page of the host. Tokens with equal vectors are an equivalence class; a
+tags around it. A token's occurrence vector says how often it stands on each page of the host; copies
+of a page count as one page. Tokens with equal vectors are an equivalence class; a
 class is valid if it is large (``CLASS_SIZE`` tokens) and frequent (``SUPPORT`` of the host's pages, at
 least ``MIN_PAGES``). Valid classes, nested by the tags around their tokens, are the host's template: its
 containers, and its constant texts. The text that remains lies in the slots, on every page.
@@ -172,21 +173,30 @@ def templates(pages: DataFrame, *, url: str = "url", html: str = "html") -> Data
     """(host, template): the keys of each host's tokens in valid classes."""
     spark = pages.sparkSession
     small_batches(spark, 500)
-    rows = pages.select(host(F.col(url)).alias("host"), F.monotonically_increasing_id().alias("page"), F.col(html).alias("html"))
+    rows = pages.select(host(F.col(url)).alias("host"), F.coalesce(html, F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, bytes]] = set()
         for b in batches:
             hosts, pages_of, keys, counts = [], [], [], []
-            for h, page, text in zip(b["host"].to_pylist(), b["page"].to_pylist(), b["html"].to_pylist(), strict=True):
-                tokens = page_tokens(text or "")
+            for h, text in zip(b["host"].to_pylist(), b["html"].to_pylist(), strict=True):
+                page = xxhash.xxh128_digest(text)
+                if (h, page) in seen:
+                    continue
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen.add((h, page))
+                tokens = page_tokens(text)
                 tokens[0] = 1  # stands for the page
-                hosts += [h] * len(tokens)
-                pages_of += [page] * len(tokens)
-                keys += tokens.keys()
-                counts += tokens.values()
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages_of, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.int32())], names=["host", "page", "token", "n"])
-
-    tokens = rows.mapInArrow(run, "host string, page bigint, token bigint, n int")
+                hosts.append(h)
+                pages_of.append(page)
+                keys.append(list(tokens.keys()))
+                counts.append(list(tokens.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages_of, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["host", "page", "tokens", "counts"])
+
+    found = rows.mapInArrow(run, "host string, page binary, tokens array<bigint>, counts array<int>")
+    once = found.groupBy("host", "page").agg(F.first(F.arrays_zip("tokens", "counts")).alias("tokens"))  # copies of a page are one page
+    tokens = once.select("host", "page", F.inline("tokens").alias("token", "n"))
     vectors = tokens.groupBy("host", "token").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
     vectors = written(spark, vectors.where(F.col("pages") >= MIN_PAGES), "vectors")
     totals = vectors.where("token = 0").select("host", F.col("pages").alias("all_pages"))

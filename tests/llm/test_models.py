@@ -235,3 +235,10 @@ def test_tokens_differ_by_the_tags_around_them(spark):
     df = spark.createDataFrame([(i, "http://h.org/x", page(i)) for i in range(12)], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
     assert got == {i: f"story {i}" + (" Call us" if i == 3 else "") for i in range(12)}
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    mirror = "<html><body><div class=a><h1>A story</h1><p>of some length</p></div><div class=b><p>and its end</p></div></body></html>"
+    df = spark.createDataFrame([(i, "http://h.org/x", mirror) for i in range(8)] + [(9, "http://h.org/y", "<p>other</p>")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got == dict.fromkeys(range(8), "A story of some length and its end") | {9: "other"}
