@@ -7,13 +7,14 @@ each document.
 
 Defined results: nulls, empty texts, repeated rows and empty tables are treated as the operators
 in ``postmill.llm`` state; of near-duplicate rows that share the least id, one stays.
+Texts that aren't near-duplicates all stay, whether or not they share an id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import decontamination, mixing, secrets, simhash, toxicity
@@ -30,15 +31,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component of near-duplicates; rows with a null id all stay."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()  # sorting the texts for a merge join would spill
-    kept = docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti")
+    """A document with the least id of each component of near-duplicates; rows with a null id all stay.
+
+    Where ids repeat, rows are told apart by id and fingerprint, so unrelated texts under one id each count."""
+    groups = simhash.grouped(docs.select("doc_id", "text"))
+    others = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id"))
     repeated = written(spark, docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    again = kept.join(repeated, "doc_id", "left_semi").withColumn("__no", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(again.where("__no = 1").drop("__no")).select(*docs.columns)
+        return docs.join(others.distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)  # sorting the texts for a merge join would spill
+    single = docs.join(others.union(repeated).distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    again = docs.join(repeated.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("__text", F.col("text").cast("string").cast("binary"))
+    first = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id"), "fp", "root").distinct()
+    own = simhash.with_fingerprint(again, *docs.columns).join(first.hint("shuffle_hash"), ["doc_id", "fp"])
+    row = F.struct(*docs.columns)
+    order = F.struct(F.xxhash64("text"), F.xxhash64(F.to_json(row)))
+    return single.unionByName(own.groupBy("root").agg(F.min_by(row, order).alias("row")).select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,15 +54,19 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """id and fp, a signed 64-bit integer, of every row."""
+    return with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").cast("binary").alias("__text")), "id", size=size)
+
+
+def with_fingerprint(rows: DataFrame, *kept: str, size: int = SHINGLE) -> DataFrame:
+    """The columns ``kept`` and fp of every row; its text is the binary column __text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", size) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
+            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", size) for t in b["__text"]]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(np.array(fps, np.uint64).view(np.int64))], names=[*kept, "fp"])
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", fp bigint")
 
 
 def masks(radius: int, parts: int) -> list[int]:
@@ -185,16 +189,22 @@ def components(edges: DataFrame) -> DataFrame:
         remove(spark, before)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Per row of ``docs``: id, fingerprint (16 hex digits) and component_id, the least id that links reach."""
+def grouped(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Per row of ``docs``: id, fp, root, which names the row's component, and component_id, the least id that links reach."""
     spark = docs.sparkSession
     prints = written(spark, fingerprints(docs, id_col=id_col, text=text, size=size), "prints")
     nodes = written(spark, prints.groupBy("fp").agg(F.min("id").alias("least_id")), "nodes")
     roots = components(links(nodes.select("fp"), nodes.count(), radius))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = named.join(ids, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = named.join(ids, "root").select("fp", "root", "component_id")
+    return prints.join(of, "fp").select("id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Per row of ``docs``: id, fingerprint (16 hex digits) and component_id, the least id that links reach."""
+    groups = grouped(docs, id_col=id_col, text=text, size=size, radius=radius)
+    return groups.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

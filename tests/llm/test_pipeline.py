@@ -47,3 +47,12 @@ def test_stages_over_odd_and_empty_tables(spark, odd_docs, no_docs):
             assert n <= before.count()
     single = corpus_pipeline.keep_one_of_near_copies(spark, odd_docs, SF)
     assert sorted((r["doc_id"] or -1) for r in single.collect()) == [-1, 1, 2, 5, 7, 8, 9]
+
+
+def test_unrelated_texts_under_one_id_all_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(3, text(0)), (7, text(0)), (7, text(1)), (8, text(2)), (8, text(3)), (8, text(3)), (9, text(3)), (10, text(4)), (None, text(4)), (None, text(0))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.keep_one_of_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got.collect()) == sorted([(3, text(0)), (7, text(1)), (8, text(2)), (8, text(3)), (10, text(4)), (-1, text(4)), (-1, text(0))])
