@@ -1,7 +1,8 @@
 """License scans as an exact set-similarity join of text blocks with license templates.
 
 A block is ``BLOCK`` consecutive words of a text, one every ``STRIDE`` words, so that a template of
-up to ``STRIDE`` + 1 words lies whole in some block wherever it stands. A block meets a template if
+up to ``STRIDE`` + 1 words lies whole in some block wherever it stands; for longer templates, such as
+whole license texts, both grow. A block meets a template if
 it holds at least ``least`` of the template's distinct words. The join is exact:
 
 * words are ordered by their count in the whole corpus, the rarest first;
@@ -97,19 +98,20 @@ def license_blocks(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
 
     ``start`` is the word at which the block starts, ``places`` the words at which a phrase starts.
     """
-    assert all(len(t.words) <= STRIDE + 1 for t in templates), "a template must fit into a block wherever it stands"
+    stride = max([STRIDE, *(len(t.words) - 1 for t in templates)])  # a template must fit into a block wherever it stands
+    block = BLOCK // STRIDE * stride
     ranks = frequency_ranks(docs, templates, text)
     prefixes = _prefixes(docs.sparkSession, templates, ranks)
     rare = sorted({w for t in templates for w in sorted(set(t.words), key=ranks.get)[: len(set(t.words)) - t.least + 1]})
 
     words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), word_array(F.col(text)).alias("words"))
     hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
-    own_block = lambda i: (i - i % STRIDE)
-    starts = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.array(own_block(i), F.greatest(own_block(i) - STRIDE, F.lit(0))))))
+    own_block = lambda i: (i - i % stride)
+    starts = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.array(own_block(i), F.greatest(own_block(i) - stride, F.lit(0))))))
     with_starts = words.select("row", "id", "words", starts.alias("starts"))
     blocks = with_starts.select(
         "row", "id", F.size("words").cast("long").alias("n_words"),
-        F.explode_outer(F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("words", s + 1, F.lit(BLOCK)).alias("tokens")))).alias("block"),
+        F.explode_outer(F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("words", s + 1, F.lit(block)).alias("tokens")))).alias("block"),
     )
     rank_of = F.create_map(*(F.lit(x) for pair in ranks.items() for x in pair))
     b_ranks = F.array_sort(F.array_distinct(F.filter(F.transform("block.tokens", lambda w: rank_of[w]), lambda r: r.isNotNull())))

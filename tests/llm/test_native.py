@@ -166,3 +166,10 @@ def test_revisits(spark):
 
 def test_sha_of_no_spans():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_whole_license_texts_as_templates(spark):
+    long = licenses.Template("long", " ".join(f"term{i}" for i in range(160)))
+    rows = [(at, "x " * at + long.text + " y" * 300) for at in (0, 1, 100, 158, 159, 160, 333)] + [(1000, long.text[:600])]
+    found = {r["doc_id"]: {f["label"]: f["score"] for f in sorted(r["found"], key=lambda f: f["score"])} for r in licenses.license_blocks(spark.createDataFrame(rows, "doc_id int, text string"), templates=(*licenses.TEMPLATES, long)).collect()}
+    assert found == {at: {"long": 1.0} for at, _ in rows[:-1]} | {1000: {}}
