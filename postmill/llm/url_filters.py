@@ -39,9 +39,11 @@ _REST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, policy, pattern, since, before): when each entry is active; ``before`` is null while it still is."""
     order = Window.partitionBy("list", "policy", "pattern").orderBy("dated", "action")  # add before remove
+    host = F.lower(F.regexp_extract("pattern", "^[^/]*", 0))  # paths are told apart by case, as in lookup_keys
+    entries = entries.withColumn("pattern", F.concat(host, F.regexp_extract("pattern", "(?s)^[^/]*(.*)", 1)))
     dated = entries.where("pattern IS NOT NULL AND dated IS NOT NULL").withColumn("before", F.lead("dated").over(order))
     active = dated.where((F.col("action") == "add") & (F.col("before").isNull() | (F.col("before") > F.col("dated"))))
-    return active.select("list", "policy", F.lower("pattern").alias("pattern"), F.col("dated").alias("since"), "before")
+    return active.select("list", "policy", "pattern", F.col("dated").alias("since"), "before")
 
 
 def lookup_keys(url: Column) -> Column:

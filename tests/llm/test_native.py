@@ -173,3 +173,10 @@ def test_whole_license_texts_as_templates(spark):
     rows = [(at, "x " * at + long.text + " y" * 300) for at in (0, 1, 100, 158, 159, 160, 333)] + [(1000, long.text[:600])]
     found = {r["doc_id"]: {f["label"]: f["score"] for f in sorted(r["found"], key=lambda f: f["score"])} for r in licenses.license_blocks(spark.createDataFrame(rows, "doc_id int, text string"), templates=(*licenses.TEMPLATES, long)).collect()}
     assert found == {at: {"long": 1.0} for at, _ in rows[:-1]} | {1000: {}}
+
+
+def test_case_of_listed_hosts_and_paths(spark):
+    entries = spark.createDataFrame([("l", "block", "Example.net/Spam", "add", 0), ("l", "block", "Bad.org", "add", 0), ("l", "block", "bad.org", "remove", 10)], url_filters.ENTRIES)
+    rows = [("http://EXAMPLE.net/Spam/x", 20), ("http://example.net/spam/x", 20), ("http://bad.ORG/", 5), ("http://bad.org/", 20)]
+    got = url_filters.filter_captures(spark.createDataFrame(rows, "url string, fetched_at bigint"), entries).collect()
+    assert {(r["url"], r["fetched_at"]) for r in got if r["blocked"]} == {rows[0], rows[2]}
