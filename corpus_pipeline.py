@@ -6,8 +6,8 @@ documents go, secrets in texts are masked, and the last stage says how many word
 each document.
 
 Defined results: nulls, empty texts, repeated rows and empty tables are treated as the operators
-in ``postmill.llm`` state; of near-duplicate rows that share the least id, one stays.
-Texts that aren't near-duplicates all stay, whether or not they share an id.
+in ``postmill.llm`` state. Texts that aren't near-duplicates all stay, whether or not they share an id.
+A stage's intermediate tables and its input go once its output is written.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import decontamination, mixing, secrets, simhash, toxicity
-from postmill.llm._shared import fresh_path, table, written
+from postmill.llm._shared import fresh_path, mark, sweep, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,21 +31,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document with the least id of each component of near-duplicates; rows with a null id all stay.
-
-    Where ids repeat, rows are told apart by id and fingerprint, so unrelated texts under one id each count."""
-    groups = simhash.grouped(docs.select("doc_id", "text"))
-    others = groups.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id"))
-    repeated = written(spark, docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return docs.join(others.distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)  # sorting the texts for a merge join would spill
-    single = docs.join(others.union(repeated).distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    again = docs.join(repeated.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("__text", F.col("text").cast("string").cast("binary"))
-    first = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id"), "fp", "root").distinct()
-    own = simhash.with_fingerprint(again, *docs.columns).join(first.hint("shuffle_hash"), ["doc_id", "fp"])
-    row = F.struct(*docs.columns)
-    order = F.struct(F.xxhash64("text"), F.xxhash64(F.to_json(row)))
-    return single.unionByName(own.groupBy("root").agg(F.min_by(row, order).alias("row")).select("row.*"))
+    """The document of the least id (null last) of each group of texts that are similar on five-word shingles.
+
+    Rows are told apart by id and text, so unrelated texts under one id each count; of equal ones, one stays."""
+    row = F.struct(F.col("id").isNull().alias("null"), "id", "text_hash")
+    groups = written(spark, simhash.similar_groups(docs), "groups")
+    first = groups.groupBy("root").agg(F.min(row).alias("first"), F.count("*").alias("n"))
+    first = first.select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash"), F.col("n").alias("__n"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    kept = docs.join(first.hint("shuffle_hash"), same)  # sorting the texts for a merge join would spill
+    twice = written(spark, groups.groupBy("id", "text_hash").count().where("count > 1"), "repeated")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    equal = F.struct(*docs.columns)
+    again = kept.where("__n > 1").groupBy("__id", "__hash").agg(F.min_by(equal, F.to_json(equal)).alias("row"))
+    return kept.where("__n = 1").select(*docs.columns).unionByName(again.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: the words that the mix takes of it, repeats counted."""
-    return mixing.taken_words(mixing.mix_plan(docs))
+    return mixing.taken_words(docs.select("doc_id", "text", "source"))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -85,9 +85,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = written(spark, docs, f"stage{n + 1}")
+            sweep(spark, since, keep=docs)
     return docs

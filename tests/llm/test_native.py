@@ -1,6 +1,7 @@
 """License and secret scans."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -94,15 +95,56 @@ def test_redaction(spark):
 
 
 def test_mix_over_odd_rows(odd_docs, no_docs):
-    rows = mixing.mix_plan(odd_docs).collect()
-    assert len(rows) == 11 and all(0 <= r["copies"] <= 2 for r in rows)
+    plan, mix = mixing.mix_plan(odd_docs)
+    rows = plan.collect()
+    assert len(rows) == 11 and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
     size = {r["doc_id"]: r["size"] for r in rows}
     assert size[2] == size[3] == size[4] == 0 and size[7] == 30005
     assert {r["target"] for r in rows if r["source"] is None} == {0.0}
-    assert sum(r["size"] * r["copies"] for r in rows) <= 1.5 * sum(r["size"] for r in rows) + 1e-6
-    assert mixing.mix_plan(no_docs).count() == 0
-    ordered = [r["finish"] for r in mixing.mix_order(mixing.mix_plan(odd_docs)).collect()]
-    assert ordered == sorted(ordered)
+    assert sum(r["taken"] for r in rows) == int(1.5 * sum(r["size"] for r in rows)) == sum(r["words"] for r in mix.collect())
+    plan, mix = mixing.mix_plan(no_docs)
+    assert plan.count() == mix.count() == 0
+
+
+def mix_by_hand(docs):
+    """The words taken of each (id, text, source): the queues of all sources as one sorted stream, cut at the budget."""
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sources = sorted({d[2] for d in docs}, key=lambda x: (x is None, x or ""))
+    size_of = [sum(words(t) for _, t, s in docs if s == x) for x in sources]
+    stream, taken = [], [0] * len(docs)
+    for x, goal, total in zip(sources, targets_by_hand(size_of), size_of, strict=True):
+        own = sorted((md5(f"mix-1:{'-' if i is None else i}:{md5(t or '')}")[:16], n) for n, (i, t, s) in enumerate(docs) if s == x)
+        for copy in range(2):
+            at = 0
+            for key, n in own:
+                size = words(docs[n][1])
+                start = at + copy * total
+                near = goal and start / goal < 1.1 and (start + size) / goal > 0.9
+                step = 32 if near else max(size, 1)
+                stream += [((start + min(b + step, size)) / goal, key, copy, b, n, min(step, size - b)) for b in range(0, size, step) if goal]
+                at += size
+    left = int(1.5 * sum(size_of))
+    for *_, n, k in sorted(stream):
+        taken[n] += min(k, left)
+        left -= min(k, left)
+    return taken
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_taken_words_follow_the_sorted_stream(spark, parts):
+    rng = random.Random(parts)
+    docs = [(i, " ".join("w" for _ in range(int(2 ** rng.uniform(0, 11)))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(150)] + [(3, "one two", "a"), (None, "", "a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(parts)
+    plan, mix = mixing.mix_plan(df)
+    by_hand = mix_by_hand(docs)
+    got = plan.collect()
+    assert sorted(((r["doc_id"] is None, r["doc_id"]), r["size"], r["taken"]) for r in got) == sorted(((i is None, i), len((t or "").split()), k) for (i, t, _), k in zip(docs, by_hand, strict=True))
+    for source in ("a", "b", "c", None):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 40
+    finishes = [r["finish"] for r in mix.orderBy("part", "finish").collect()]
+    assert finishes == sorted(finishes)
 
 
 def targets_by_hand(sizes):
@@ -122,8 +164,9 @@ def targets_by_hand(sizes):
 @pytest.mark.parametrize("sizes", [[10, 10, 10], [1, 100, 1000, 5], [0, 7, 0, 9], [1000, 1, 1, 1, 1, 1]])
 def test_targets(spark, sizes):
     df = spark.createDataFrame([(chr(97 + i), s) for i, s in enumerate(sizes)], "source string, source_size long")
-    got = [r["target"] for r in mixing.targets(df).orderBy("source_no").collect()]
-    assert got == pytest.approx(targets_by_hand(sizes))
+    rows = mixing.targets(df).orderBy("source_no").collect()
+    assert [r["target"] for r in rows] == pytest.approx(targets_by_hand(sizes))
+    assert [r["before"] for r in rows] == [sum(sizes[:i]) for i in range(len(sizes))]
 
 
 def test_urls_against_dated_lists(spark):
