@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import sys
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Task functions travel by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules["postmill"])
@@ -88,6 +91,21 @@ def _at_exit() -> None:
         sweep(spark)
 
 
+def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: str, *, dropped: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` through ``run``, which takes and returns Arrow batches: all columns but ``dropped``, whatever their names, then those of ``added``."""
+    names, kept = rows.columns, [c for c in rows.columns if c not in dropped]
+    plain = {c: f"c{i}" for i, c in enumerate(names)}
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    new = StructType.fromDDL(added).fieldNames()
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(x.rename_columns(names) for x in batches):
+            yield b.rename_columns([plain[c] for c in kept] + new)
+
+    ddl = ", ".join([f"{plain[c]} {kinds[c]}" for c in kept] + [added])
+    return rows.toDF(*plain.values()).mapInArrow(inner, ddl).toDF(*kept, *new)
+
+
 def running_totals(rows: DataFrame, order: list[Column], tag: str, **amounts: str) -> DataFrame:
     """``rows`` with a running total up to and with each row, in a range-sorted order, for each name of ``amounts``.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, table, written
+from ._shared import mapped, small_batches, table, written
 from ._words import NOT_SPACE, Texts, mixed, per_text_sum, slices, span_hashes, window_hashes
 
 SYMBOLS = b"#*$%&|<>"  #: Fixed value of the contract.
@@ -84,7 +84,6 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the five statistics."""
     small_batches(docs.sparkSession)
     rows = docs.drop(*STATS)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", {s} bigint" for s in STATS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,7 +91,7 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
             own = [np.concatenate([*(p[k] for p in parts), np.empty(0, np.int64)]).astype(np.int64) for k in range(len(STATS))]
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, own)], names=[*b.schema.names, *STATS])
 
-    return rows.mapInArrow(run, ddl)
+    return mapped(rows, run, ", ".join(f"{s} bigint" for s in STATS))
 
 
 def _vector() -> list[Column]:

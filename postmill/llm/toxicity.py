@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, table
+from ._shared import mapped, small_batches, table
 from ._words import ALNUM, BASE, Texts, mixed, slices
 
 TRAIN_ROWS = 1500
@@ -196,7 +196,6 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "scor
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.drop(out)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` double"
 
     def run(batches):
         for b in batches:
@@ -204,7 +203,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "scor
             scores = [shared.value.score(text_logits(t, shared.value)) for _, _, t in slices(column, lower=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([*scores, np.empty(0)]))], names=[*b.schema.names, out])
 
-    return rows.mapInArrow(run, ddl)
+    return mapped(rows, run, f"`{out}` double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
