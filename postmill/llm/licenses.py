@@ -11,7 +11,8 @@ it holds at least ``least`` of the template's distinct words. The join is exact:
 * length filter: the block holds at least ``least`` words of any template;
 * positional filter: from the first common word on, both have enough words left.
 
-What passes is verified by the size of the intersection. Base phrases are templates that must be
+What passes is verified by the size of the intersection, and by the words that tell a template from
+its siblings, such as a version. Base phrases are templates that must be
 met whole, and whose words must then stand consecutively. Words of no template can't be in an
 intersection, so they get no place in the order.
 
@@ -40,6 +41,7 @@ class Template:
     text: str
     phrase: bool = False
     containment: float = 0.8
+    telling: tuple[str, ...] = ()  # words that tell it from its siblings, so they must be there
 
     @property
     def words(self) -> list[str]:
@@ -59,10 +61,11 @@ TEMPLATES = (
     Template("apache", "apache license", phrase=True),
     Template("gpl", "general public license", phrase=True),
     Template("notice-mit", "Released under the MIT License"),
-    Template("notice-apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    Template("notice-gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    Template("notice-cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    Template("notice-cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    Template("notice-apache-2.0", "Licensed under the Apache License, Version 2.0", telling=("2", "0")),
+    Template("notice-gpl-2.0", "This work is licensed under the GNU General Public License, version 2", telling=("2",)),
+    Template("notice-gpl-3.0", "This work is licensed under the GNU General Public License, version 3", telling=("3",)),
+    Template("notice-cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", telling=("nc",)),
+    Template("notice-cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", telling=("sa",)),
     Template("grant-mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction"),
     Template("terms-bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     Template("rights-reserved", "Copyright all rights reserved"),
@@ -89,8 +92,8 @@ def _prefixes(spark: SparkSession, templates: tuple[Template, ...], ranks: dict[
     for t in templates:
         order = sorted({ranks[w] for w in t.words})
         prefix = order[: len(order) - t.least + 1]
-        rows += [(rank, at, t.label, t.phrase, t.words, order, prefix, t.least) for at, rank in enumerate(prefix)]
-    return spark.createDataFrame(rows, "rank int, t_at int, label string, phrase boolean, t_words array<string>, t_ranks array<int>, t_prefix array<int>, least int")
+        rows += [(rank, at, t.label, t.phrase, t.words, order, prefix, t.least, list(t.telling)) for at, rank in enumerate(prefix)]
+    return spark.createDataFrame(rows, "rank int, t_at int, label string, phrase boolean, t_words array<string>, t_ranks array<int>, t_prefix array<int>, least int, telling array<string>")
 
 
 def license_blocks(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -127,7 +130,7 @@ def license_blocks(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
     places = F.filter(at, lambda k: F.slice("block.tokens", k + 1, F.size("t_words")) == F.col("t_words"))
     places = F.when(F.col("phrase"), F.transform(places, lambda k: k + F.col("block.start")))
     met = F.when(
-        F.col("label").isNotNull() & (overlap >= F.col("least")),
+        F.col("label").isNotNull() & (overlap >= F.col("least")) & (F.size(F.array_except("telling", "block.tokens")) == 0),
         F.struct("label", "phrase", (overlap / F.size("t_ranks")).alias("score"), F.col("block.start").alias("start"), places.alias("places")),
     )
     met_pairs = pairs.select("row", "id", "n_words", met.alias("met"))
@@ -163,8 +166,9 @@ def _sql() -> str:
             places.append(f"SELECT doc, '{t.label}' AS label, i - 1 AS place FROM p WHERE {test}")
         else:
             distinct = ", ".join(f"'{x}'" for x in sorted(set(w)))
+            told = "".join(f" AND list_contains(tokens, '{x}')" for x in t.telling)
             n = f"len(list_intersect(tokens, [{distinct}]))"
-            meets.append(f"SELECT doc, '{t.label}' AS label, {n} / {len(set(w))} AS score FROM b WHERE {n} >= {t.least}")
+            meets.append(f"SELECT doc, '{t.label}' AS label, {n} / {len(set(w))} AS score FROM b WHERE {n} >= {t.least}{told}")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '{ALNUM_WORD}') AS words FROM documents),
 p AS (SELECT doc, words, unnest(range(1, len(words) + 1)) AS i FROM d),

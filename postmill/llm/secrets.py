@@ -13,12 +13,14 @@ equal rows give equal rows; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, table
+from ..functions.text import let
+from ._shared import fresh_path, table, written
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,7 @@ RULES = BASE_RULES + OWN_RULES
 RULE_VERSION = "2026-1"
 
 SPAN = "struct<start:int,kind_no:int,end:int>"
+CHUNK, FEW = 256, 64
 LEDGER = f"blob string, rule_version string, spans array<{SPAN}>"
 
 
@@ -63,19 +66,32 @@ def rule_spans(text: Column, no: int, rule: Rule) -> Column:
     tested = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
     gaps = F.split(text, _narrowed(rule), -1)
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["gap"])
-        end = start + F.length(m["found"])
-        span = F.struct(start.alias("start"), F.lit(no).alias("kind_no"), end.alias("end"))
-        return F.struct(
-            end.alias("at"),
-            F.when(F.length(m["tested"]) >= rule.least, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
-
+    none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
     matches = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("found"), tested.alias("tested")), lambda m: m["found"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), f"array<{SPAN}>").alias("spans"))
-    spans = F.aggregate(matches, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.hint), spans).otherwise(F.from_json(F.lit("[]"), f"array<{SPAN}>"))
+    sized = F.transform(matches, lambda m: F.struct(F.length(m["gap"]).alias("gap"), F.length(m["found"]).alias("long"), F.length(m["tested"]).alias("tested")))
+
+    def spans(ms: Column) -> Column:
+        ends = so_far(F.transform(ms, lambda m: m["gap"] + m["long"]), lambda x, y: x + y)
+        span = lambda m, before: F.struct((before + m["gap"]).alias("start"), F.lit(no).alias("kind_no"), (before + m["gap"] + m["long"]).alias("end"))
+        return F.filter(F.zip_with(ms, ends, lambda m, before: F.when(m["tested"] >= rule.least, span(m, before))), lambda x: x.isNotNull())
+
+    return F.when(text.rlike(rule.hint), let(sized, spans)).otherwise(none)
+
+
+def so_far(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each place of an array of numbers, ``op`` over the values before it, from 0 on.
+
+    Chunks come first, then the values of a place's own chunk, so that long arrays aren't gone through again for each place."""
+    over = lambda part: F.aggregate(part, F.lit(0), op)
+
+    def chunked(vs: Column) -> Column:
+        count = F.ceil(F.size(vs) / CHUNK).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda c: over(F.slice(vs, c * CHUNK + 1, F.lit(CHUNK))))
+        heads = let(chunks, lambda cs: F.transform(cs, lambda _, c: over(F.slice(cs, F.lit(1), c))))
+        own = lambda i: over(F.slice(vs, i - i % CHUNK + 1, i % CHUNK))
+        return F.when(F.size(vs) > 0, let(heads, lambda hs: F.transform(vs, lambda _, i: op(F.get(hs, F.floor(i / CHUNK).cast("int")), own(i))))).otherwise(vs)
+
+    return let(values, chunked)
 
 
 def all_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -83,32 +99,35 @@ def all_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_sort(F.concat(*(rule_spans(text, no, rule) for no, rule in enumerate(rules))))
 
 
-def _ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger's rows; none where nothing has been written yet."""
+def _ledger(spark: SparkSession, path: str, rule_version: str) -> DataFrame:
+    """blob and spans of each blob that was scanned by the rules, once, however often it was appended; none where nothing has been written yet."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.read.schema(LEDGER).parquet(path)
-    return spark.createDataFrame([], LEDGER)
+    exists = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    rows = spark.read.schema(LEDGER).parquet(path) if exists else spark.createDataFrame([], LEDGER)
+    return rows.where(F.col("rule_version") == rule_version).select("blob", "spans").dropDuplicates(["blob"])
 
 
 def scan_versions(versions: DataFrame, ledger_path: str, *, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
     """Scans the versions that the ledger at ``ledger_path`` lacks, then returns path, blob and spans of every version.
 
     ``versions`` has a row for each historical version of a path. The whole text moves once, dealt by
-    (blob, path), so that a content with many copies isn't dealt to one task. A run that dies
-    before its append leaves the ledger as it was.
+    (blob, path), so that a content with many copies isn't dealt to one task; where rows repeat in both,
+    they become one row before they move. A run that dies before its append leaves the ledger as it was,
+    and what two runs append twice is read once.
     """
     spark = versions.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    named = versions.select(F.col(path).alias("path"), F.sha2(body, 256).alias("blob"))
-    known = _ledger(spark, ledger_path).where(F.col("rule_version") == rule_version).select("blob")
+    named = written(spark, versions.select(F.col(path).alias("path"), F.sha2(body, 256).alias("blob")), "versions")
+    pairs = named.groupBy("blob", "path").count()
+    known = _ledger(spark, ledger_path, rule_version).select("blob")
     unseen = named.groupBy("blob").agg(F.min("path").alias("first_path")).join(known, "blob", "left_anti")
     texts = versions.select(F.col(path).alias("path"), F.sha2(body, 256).alias("of_blob"), body.alias("body"))
+    if not pairs.where("count > 1").isEmpty():
+        texts = texts.groupBy("path", "of_blob").agg(F.first("body").alias("body"))
     todo = texts.join(unseen.hint("shuffle_hash"), (F.col("of_blob") == F.col("blob")) & F.col("path").eqNullSafe(F.col("first_path")))
     found = todo.select("blob", F.lit(rule_version).alias("rule_version"), all_spans(F.col("body"), rules).alias("spans"))
-    found.dropDuplicates(["blob"]).write.mode("append").parquet(ledger_path)
-    findings = _ledger(spark, ledger_path).where(F.col("rule_version") == rule_version).select("blob", "spans")
-    return named.join(findings, "blob")
+    found.write.mode("append").parquet(ledger_path)
+    return named.join(_ledger(spark, ledger_path, rule_version), "blob")
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -120,16 +139,17 @@ def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each span, and each run of overlapping spans, replaced by ``mark``."""
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    def joined(ends: Column, cut: Callable[[Column, Column], Column]) -> Column:
+        pieces = F.zip_with(spans, ends, lambda s, at: F.when(s["start"] >= at, F.concat(cut(at, s["start"]), F.lit(mark))).otherwise(F.lit("")))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), cut(last, F.length(text)))
+
+    by_place = lambda lo, hi: F.substring(text, lo + 1, hi - lo)
+    ends = so_far(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    few = let(ends, lambda at: joined(at, by_place))
+    # substring counts from the text's start each time, so texts with many spans are cut from an array of their characters
+    many = let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda cs: let(ends, lambda at: joined(at, lambda lo, hi: F.array_join(F.slice(cs, lo + 1, hi - lo), ""))))
+    return F.when(F.size(spans) > FEW, many).when(F.size(spans) > 0, few).otherwise(text)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ same list, policy and pattern. Every capture is looked up under its host, the ho
 prefixes, and an as-of join keeps entries that were active when the capture was fetched. An active
 entry of an allow list wins over block lists.
 
+No key is longer or deeper than the list's longest and deepest pattern, so long paths give few keys.
+
 Lists are broadcast only up to ``MAX_BROADCAST_ROWS`` intervals, counted first; beyond it they join by
 shuffle, where AQE splits hot patterns. A capture's keys lie in one task, so its matches are reduced
 there before anything moves.
@@ -25,13 +27,13 @@ from ._shared import table
 MAX_BROADCAST_ROWS = 200_000
 ENTRIES = "list string, policy string, pattern string, action string, dated bigint"
 START, STEP = 1_704_067_200, 3600
-#: List entries for the query; dates in hours after START.
+#: List entries for the query; dates in hours after START. Entries of ``page_entries`` come on top.
 LIST = (
-    ("spam", "block", "spam-farm.example.org", "add", 24), ("spam", "block", "spam-farm.example.org", "remove", 4000), ("spam", "block", "spam-farm.example.org", "add", 9000),
+    ("spam", "block", "spam-farm.example.org", "add", 24), ("spam", "block", "Spam-Farm.example.org", "remove", 4000), ("spam", "block", "spam-farm.example.org", "add", 9000),
     ("pharmacy", "block", "cheap-pills.example.com", "add", 0), ("pharmacy", "block", "www.cheap-pills.example.com", "remove", 10),
     ("gambling", "block", "casino-win.example.com", "add", 100), ("gambling", "block", "casino-win.example.com", "add", 200), ("gambling", "block", "casino-win.example.com", "remove", 1500),
     ("review", "block", "example.net/de", "add", 50), ("review", "block", "blog.tionsh.example.net/en", "add", 12), ("review", "block", "blog.tionsh.example.net/en", "remove", 600),
-    ("trusted", "allow", "tionsh.example.net/fr", "add", 0), ("trusted", "allow", "m.example.com", "add", 0), ("trusted", "allow", "cheap-pills.example.com/es", "add", 300),
+    ("trusted", "allow", "tionsh.example.net/fr", "add", 0), ("trusted", "allow", "M.Example.com", "add", 0), ("trusted", "allow", "cheap-pills.example.com/es", "add", 300),
 )
 _REST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)"
 
@@ -46,15 +48,19 @@ def intervals(entries: DataFrame) -> DataFrame:
     return active.select("list", "policy", "pattern", F.col("dated").alias("since"), "before")
 
 
-def lookup_keys(url: Column) -> Column:
-    """The host and its parents, each alone and with every prefix of the path, by whole segments."""
+def lookup_keys(url: Column, labels_most: int, depth: int, longest: int) -> Column:
+    """The host and its parents, each alone and with every prefix of the path, by whole segments: those of at most
+    ``labels_most`` labels, ``depth`` segments and ``longest`` characters."""
     host = F.lower(F.regexp_extract(url, _REST, 1))
-    path = F.split(F.regexp_replace(F.regexp_extract(url, _REST, 2), "^/+|/+$", ""), "/+")
+    path = F.slice(F.split(F.regexp_replace(F.regexp_extract(url, _REST, 2), "^/+|/+$", ""), "/+"), 1, max(1, depth))
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(path)), lambda n: F.when(n == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice(path, 1, n), "/"))))
+    first = F.greatest(F.lit(1), F.size(labels) - labels_most + 1)
+    domains = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    segment = lambda n: F.array_join(F.slice(path, F.lit(1), n), "/")
+    short = lambda n: F.when(n == 0, "").otherwise(F.concat(F.lit("/"), segment(n)))
+    prefixes = F.filter(F.transform(F.sequence(F.lit(0), F.least(F.size(path), F.lit(depth))), short), lambda p: F.length(p) <= longest)
     keys = F.flatten(F.transform(domains, lambda d: F.transform(prefixes, lambda p: F.concat(d, p))))
-    return F.when(host != "", F.array_distinct(keys))
+    return F.when(host != "", F.array_distinct(F.filter(keys, lambda k: F.length(k) <= longest)))
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, *, url: str = "url", fetched_at: str = "fetched_at", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -62,9 +68,14 @@ def filter_captures(captures: DataFrame, entries: DataFrame, *, url: str = "url"
     new = ("n_active", "blocked", "lists", "patterns")
     rows = captures.drop(*new)
     lists = intervals(entries)
-    if lists.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+    dots = F.regexp_count(F.regexp_extract("pattern", "^[^/]*", 0), F.lit(r"\."))
+    slashes = F.regexp_count("pattern", F.lit("/"))
+    n, labels_most, depth, longest = lists.agg(F.count("*"), F.max(dots) + 1, F.max(slashes), F.max(F.length("pattern"))).first()
+    if n <= max_broadcast_rows:
         lists = F.broadcast(lists)
-    keyed = rows.select(F.struct(*rows.columns).alias("capture"), F.monotonically_increasing_id().alias("row"), lookup_keys(F.col(url)).alias("keys"))
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in rows.columns]
+    keys = lookup_keys(F.col(url), labels_most or 0, depth or 0, longest or 0)
+    keyed = rows.select(F.struct(*columns).alias("capture"), F.monotonically_increasing_id().alias("row"), keys.alias("keys"))
     keyed = keyed.select("capture", "row", F.explode_outer("keys").alias("key"))
     at = F.col(f"capture.{fetched_at}")
     active = (F.col("key") == F.col("pattern")) & (at >= F.col("since")) & (F.col("before").isNull() | (at < F.col("before")))
@@ -79,17 +90,28 @@ def filter_captures(captures: DataFrame, entries: DataFrame, *, url: str = "url"
     return per_row.select("capture.*", *new)
 
 
+def page_entries(pages: DataFrame) -> DataFrame:
+    """Entries that grow with the pages: of every tenth page, its host in capitals with the path's first segment, listed and taken off in turns."""
+    pattern = F.concat(F.upper(F.regexp_extract("url", _REST, 1)), F.lit("/"), F.regexp_extract(F.regexp_extract("url", _REST, 2), "^/*([^/]*)", 1))
+    action = F.when(F.col("page_id") % 20 == 0, "add").otherwise("remove")
+    return pages.where("page_id % 10 = 0").select(F.lit("review").alias("list"), F.lit("block").alias("policy"), pattern.alias("pattern"), action.alias("action"), (START + F.col("page_id") * STEP).alias("dated"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages, one fetched each hour after START in the order of their ids, against LIST."""
-    entries = spark.createDataFrame([(*e[:4], START + e[4] * STEP) for e in LIST], ENTRIES)
-    captures = table(spark, sf_dir, "pages").select("page_id", "url", (START + F.col("page_id") * STEP).alias("fetched_at"))
+    """The pages, one fetched each hour after START in the order of their ids, against LIST and ``page_entries``."""
+    pages = table(spark, sf_dir, "pages")
+    entries = spark.createDataFrame([(*e[:4], START + e[4] * STEP) for e in LIST], ENTRIES).unionByName(page_entries(pages))
+    captures = pages.select("page_id", "url", (START + F.col("page_id") * STEP).alias("fetched_at"))
     return filter_captures(captures, entries)
 
 
 def _sql() -> str:
     values = ", ".join(f"('{a}', '{b}', '{c}', '{d}', {START + e * STEP})" for a, b, c, d, e in LIST)
     return f"""
-WITH e(list, policy, pattern, action, dated) AS (VALUES {values}),
+WITH l(list, policy, pattern, action, dated) AS (VALUES {values} UNION ALL
+  SELECT 'review', 'block', upper(regexp_extract(url, '{_REST}', 1)) || '/' || regexp_extract(regexp_extract(url, '{_REST}', 2), '^/*([^/]*)', 1),
+    CASE WHEN page_id % 20 = 0 THEN 'add' ELSE 'remove' END, {START} + page_id * {STEP} FROM pages WHERE page_id % 10 = 0),
+e AS (SELECT list, policy, lower(regexp_extract(pattern, '^[^/]*')) || regexp_extract(pattern, '^[^/]*(.*)', 1) AS pattern, action, dated FROM l),
 v AS (SELECT *, lead(dated) OVER (PARTITION BY list, policy, pattern ORDER BY dated, action) AS before FROM e),
 i AS (SELECT * FROM v WHERE action = 'add' AND (before IS NULL OR before > dated)),
 p AS (SELECT row_number() OVER () AS row, page_id, url, {START} + page_id * {STEP} AS fetched_at, lower(regexp_extract(url, '{_REST}', 1)) AS host,
