@@ -4,9 +4,10 @@ A window is ``WINDOW`` consecutive words of an item; an item of fewer words, but
 window. Each task hashes its texts' windows, looks them up in the broadcast set, and verifies every
 hit by the words themselves, so that a hash can't make a hit. Rows never move between tasks.
 
-What is broadcast grows with the benchmark, so its size is checked first: beyond ``max_bytes`` of
-text the items are dealt to several sets by hash, and the documents pass one set after another,
-each adding its hits, with a table written in between, so that no task holds two sets.
+What is broadcast grows with the benchmark, so its size is checked first. Items are cut into pieces of
+at most ``PIECE`` windows, repeated pieces of an item count once, and pieces are dealt to as many sets
+as it takes for each to hold at most ``max_bytes``, as counted. The documents pass one set after
+another, each adding its hits, with a table written in between, so that no task holds two sets.
 
 Defined results: a null text has no words and isn't contaminated; an item without words hits
 nothing; items that repeat count once by id, and items without an id mark words but aren't listed;
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, table, written
+from ._shared import ASCII_LOWER, ASCII_UPPER, mapped, small_batches, table, written
 from ._words import ALNUM, Words, slices, window_hashes
 
+PIECE = 4096
 WINDOW = 13  #: Fixed value of the contract.
 MIN_SHARE = 20  #: Fixed value of the contract: contaminated from a 20th of the words on.
 MAX_BROADCAST_BYTES = 8 << 20  # of text; a set takes about seven times as much in memory
 
+NO_WORD = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
 _NEW = {"n_words": pa.int64(), "hit_spans": _SPANS, "hit_items": pa.list_(pa.string())}
 _DDL = "n_words bigint, hit_spans array<struct<first:int,after:int>>, hit_items array<string>"
@@ -114,22 +117,32 @@ def _scan(batch: pa.RecordBatch, windows: WindowSet, text: str) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(v, _NEW[k]) for k, v in new.items()], names=[n for n, _ in kept] + list(new))
 
 
+def item_pieces(benchmark: DataFrame, item_id: str, item_text: str, size: int) -> DataFrame:
+    """(id, text, bytes) of the items' pieces, each once: PIECE windows, so pieces overlap by all words of a window but one."""
+    lower = F.translate(F.coalesce(F.col(item_text).cast("string"), F.lit("")), ASCII_UPPER + NO_WORD, ASCII_LOWER + " " * len(NO_WORD))
+    words = benchmark.select(F.col(item_id).cast("string").alias("id"), F.array_remove(F.split(lower, " "), "").alias("words")).where(F.size("words") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)), F.lit(PIECE))
+    cut = words.select("id", F.explode(F.transform(starts, lambda s: F.array_join(F.slice("words", s + 1, F.lit(PIECE + size - 1)), " "))).alias("text"))
+    return cut.distinct().withColumn("bytes", F.octet_length("text") + F.coalesce(F.octet_length("id"), F.lit(0)) + 16)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, hit_spans (words, from 0, the end exclusive), hit_items and contaminated."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
-    n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sets = 1 + n_bytes // max_bytes
+    pieces = written(spark, item_pieces(benchmark, item_id, item_text, size), "pieces")
+    total = pieces.agg(F.sum("bytes")).first()[0] or 0
+    sets = 1 + total // max_bytes
+    dealt = lambda: pieces.withColumn("set", F.pmod(F.xxhash64("id", "text"), F.lit(sets)))
+    while sets > 1 and (dealt().groupBy("set").agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).agg(F.max(F.when(F.col("n") > 1, F.col("b")))).first()[0] or 0) > max_bytes:
+        sets *= 2
     out = docs.drop(*_NEW, "n_hit", "contaminated")
-    kept = out.columns
     for k in range(sets):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(sets)) == k) if sets > 1 else items
-        shared = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in part.collect()], size))
-        plain = [f for f in out.schema if f.name in kept]
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain) + ", " + _DDL
+        shared = spark.sparkContext.broadcast(WindowSet([(r["id"], r["text"]) for r in dealt().where(F.col("set") == k).collect()], size))
+        plain = out.drop(*_NEW)
+        added = _DDL
         out = written(spark, out, "decontamination") if k else out
-        out = out.mapInArrow(lambda batches, shared=shared: (_scan(b, shared.value, text) for b in batches), ddl)
+        out = mapped(out, lambda batches, shared=shared: (_scan(b, shared.value, text) for b in batches), added, dropped=tuple(c for c in out.columns if c not in plain.columns))
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["after"] - s["first"])
     out = out.withColumn("n_hit", n_hit).withColumn("hit_items", F.array_compact("hit_items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (MIN_SHARE * F.col("n_hit") >= F.col("n_words")))
@@ -137,12 +150,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", text: str = "text", **options) -> DataFrame:
     """``documents``: without contaminated rows. ``spans``: all rows, the words of hits taken out of their texts. Columns stay as they are."""
-    own = {c: f"__own_{c}" for c in docs.columns if c in (*_NEW, "n_hit", "contaminated")}
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in (*_NEW, "n_hit", "contaminated")}
     found = find_contamination(docs.withColumnsRenamed(own), benchmark, text=own.get(text, text), **options)
-    columns = [F.col(own.get(c, c)).alias(c) for c in docs.columns]
+    columns = [F.col("`" + own.get(c, c).replace("`", "``") + "`").alias(c) for c in docs.columns]
     if mode == "documents":
         return found.where(~F.col("contaminated")).select(columns)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     cut = found.select(*columns, F.col("hit_spans").alias("__spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +169,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documen
                         out.append(raw[done : w.starts[w.first[i - lo] + s["first"]] - begin])
                         done = w.ends[w.first[i - lo] + s["after"] - 1] - begin
                     texts.append((b"".join(out) + raw[done:]).decode() if whole.is_valid else None)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(b.num_columns - 1)], names=b.schema.names[:-1])
+            kept = [n for n in b.schema.names if n not in (text, "__spans")]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(texts, pa.string())], names=[*kept, text])
 
-    return cut.mapInArrow(run, ddl)
+    done = mapped(cut, run, "__text string", dropped=(text, "__spans"))
+    return done.select(*(F.col("__text").alias(c) if c == text else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,20 @@
 """Quality rules as robust multivariate outliers.
 
 Statistics of every text become five transformed numbers. For each language and source a minimum
-covariance determinant estimate says where they lie: starting at medians and quartiles, C-steps
-keep the ``SUPPORT`` share of rows that is nearest by Mahalanobis distance and estimate mean and
-covariance from it again. A text is rejected beyond the chi-squared quantile ``CUTOFF``.
-
-Estimates cover all rows and no group meets in one task: a C-step is a histogram of distances per
-group, whose counts give the distance to keep, and sums of products per group. Groups with fewer
-than ``MIN_GROUP`` rows are pooled by language, then over all languages; where even that is too
-small, no text is an outlier. Statistics that hardly vary in a group get a floor of variance, else
-any other value would be an outlier.
+covariance determinant estimate says where they lie. C-steps start from ``STARTS`` deterministic
+estimates: medians and quartiles, and the same with the correlations of squashed values or of
+directions. A step keeps the ``SUPPORT`` share of rows that is nearest by Mahalanobis distance and
+estimates mean and covariance from it again, widened by the factor that makes it consistent for normal
+data. After two steps the start with the least determinant goes on, until no group's determinant changes
+by more than ``CONVERGED`` of itself. Distances shrink further where their median is beyond that of
+chi-squared. A text is rejected beyond the chi-squared quantile ``CUTOFF``.
+
+Estimates cover all rows and no group meets in one task: a C-step is one pass that sums counts and
+products by (group, start, bin of distance), and the sums of the bins that are near enough are the new
+estimate. Bins are narrow (``BINS`` to a doubling), and a bin is kept whole. Groups with fewer than
+``MIN_GROUP`` rows are pooled by language, then over all languages; where even that is too small, no
+text is an outlier. A statistic that varies less in a group than its own sampling error does
+(``FLOORS``) counts as varying so much, else any other value would be an outlier.
 
 Defined results: a null text has no words, so it fails the base rule; null languages and sources are
 groups of their own; equal rows give equal rows; an empty table gives an empty result. New columns
@@ -18,7 +23,7 @@ replace columns of ``docs`` of the same name; all others are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -26,16 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import mapped, small_batches, table, written
+from ..functions.text import let
+from ._shared import mapped, remove, small_batches, table, written
 from ._words import NOT_SPACE, Texts, mixed, per_text_sum, slices, span_hashes, window_hashes
 
 SYMBOLS = b"#*$%&|<>"  #: Fixed value of the contract.
 MIN_WORDS, REPEAT_PERCENT = 50, 50  #: Fixed values of the contract.
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SUPPORT, C_STEPS, MIN_GROUP = 0.75, 4, 50
-MEDIAN, CUTOFF = 4.351, 25.74  #: Fixed values: quantiles 0.5 and 0.9999 of chi-squared with five degrees of freedom.
+SUPPORT, MIN_GROUP, STARTS = 0.75, 50, 3
+CONVERGED, MOST_STEPS = 0.02, 20
+CONSISTENCY, MEDIAN, CUTOFF = 1.4121, 4.3515, 30.856  #: Fixed values: of chi-squared with five degrees of freedom, the factor at 0.75 and the quantiles 0.5 and 0.99999.
 FLOORS = (0.1, 0.1, 0.15, 0.2, 0.15)  # least standard deviation of each transformed number
-BINS = 16  # of distances, to a doubling
+BINS = 32  # of distances, to a doubling
 
 
 def text_stats(texts: Texts) -> list[np.ndarray]:
@@ -106,67 +113,111 @@ def _vector() -> list[Column]:
     ]
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance of x1..x5 from the group's mean."""
+def _distance(mean: Column, inverse: Column) -> Column:
+    """Squared Mahalanobis distance of x0..x4."""
     p = len(STATS)
-    off = [F.col(f"x{i}") - F.col("mean")[i] for i in range(p)]
-    return reduce(lambda a, b: a + b, (off[i] * off[j] * F.col("inverse")[i * p + j] * (1 if i == j else 2) for i in range(p) for j in range(i, p)))
+    off = [F.col(f"x{i}") - mean[i] for i in range(p)]
+    return reduce(lambda a, b: a + b, (off[i] * off[j] * inverse[i * p + j] * (1 if i == j else 2) for i in range(p) for j in range(i, p)))
 
 
-def _estimate(sums: DataFrame) -> DataFrame:
-    """One row of sums for each group to its mean and inverse covariance."""
-    p = len(STATS)
+def floored(cov: np.ndarray) -> np.ndarray:
+    """The covariance with each variance at its floor at least."""
+    out = cov.copy()
+    out[np.diag_indices(len(STATS))] = np.maximum(cov.diagonal(), np.array(FLOORS) ** 2)
+    return out
+
+
+def _full(q: np.ndarray) -> np.ndarray:
+    """A symmetric matrix from its upper triangle, row by row."""
+    out = np.zeros((len(STATS), len(STATS)))
+    out[np.triu_indices(len(STATS))] = q
+    return out + np.triu(out, 1).T
+
+
+def nearest(bins: list[dict], share: float) -> list[dict]:
+    """The bins, nearest first, with which ``share`` of the rows are reached."""
+    bins = sorted(bins, key=lambda b: b["bin"])
+    upto = np.cumsum([b["n"] for b in bins])
+    return bins[: int(np.searchsorted(upto, np.ceil(share * upto[-1]))) + 1]
+
+
+def started(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance to start from: a correlation of rows about ``mid``, with the scales ``sd``; start 0 has none."""
+    cov = _full(np.array(row["q"]) / row["n"])
+    if row["start"] == 0:
+        cov = np.diag(cov.diagonal())
+    scale = np.sqrt(np.maximum(cov.diagonal(), 1e-12))
+    return np.array(row["mid"]), floored(cov / np.outer(scale, scale) * np.outer(row["sd"], row["sd"]))
+
+
+def stepped(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of a group's nearest rows, widened so that it is consistent."""
+    near = nearest(row["bins"], SUPPORT)
+    n = sum(b["n"] for b in near)
+    mean = np.sum([b["s"] for b in near], axis=0) / n
+    return mean, floored(CONSISTENCY * (_full(np.sum([b["q"] for b in near], axis=0) / n) - np.outer(mean, mean)))
+
+
+def _estimate(rows: DataFrame, of: Callable[[dict], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Rows of sums to each group's and start's mean, inverse covariance and determinant, and whether that still fell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            means, inverses = [], []
-            for n, s, q in zip(b["n"].to_pylist(), b["s"].to_pylist(), b["q"].to_pylist(), strict=True):
-                mean = np.array(s) / max(n, 1)
-                cov = np.zeros((p, p))
-                cov[np.triu_indices(p)] = np.array(q) / max(n, 1)
-                cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-                cov[np.diag_indices(p)] = np.maximum(cov.diagonal(), 0) + np.array(FLOORS) ** 2
-                means.append(mean.tolist())
-                inverses.append(np.linalg.inv(cov).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([b["grp"], pa.array(means, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], names=["grp", "mean", "inverse"])
+            out = []
+            for r in b.to_pylist():
+                mean, cov = of(r)
+                logdet = float(np.linalg.slogdet(cov)[1])
+                out.append({"grp": r["grp"], "start": r["start"], "mean": mean.tolist(), "inverse": np.linalg.inv(cov).ravel().tolist(), "logdet": logdet, "fell": abs(r.get("was", np.inf) - logdet) > CONVERGED})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("grp", pa.string()), ("start", pa.int32()), ("mean", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64())), ("logdet", pa.float64()), ("fell", pa.bool_())]))
 
-    return sums.mapInArrow(run, "grp string, mean array<double>, inverse array<double>")
+    return rows.mapInArrow(run, "grp string, start int, mean array<double>, inverse array<double>, logdet double, fell boolean")
 
 
-def _sums(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame) -> DataFrame:
+    """The estimates that C-steps start from: no correlation, and those of squashed values and of directions."""
     p = len(STATS)
-    x = [F.col(f"x{i}") for i in range(p)]
-    return rows.groupBy("grp").agg(
-        F.count("*").alias("n"),
-        F.array(*(F.sum(c) for c in x)).alias("s"),
-        F.array(*(F.sum(x[i] * x[j]) for i in range(p) for j in range(i, p))).alias("q"),
-    )
-
-
-def _nearest(rows: DataFrame, share: float) -> DataFrame:
-    """For each group, the bin of distances up to which ``share`` of its rows lie."""
-    counts = rows.groupBy("grp", "bin").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("grp").orderBy("bin"))
-    total = F.sum("c").over(Window.partitionBy("grp"))
-    return counts.withColumn("far", upto >= F.ceil(share * total)).where("far").groupBy("grp").agg(F.min("bin").alias("last_bin"))
+    middle = rows.groupBy("grp").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(p)))
+    sd = F.array(*(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(p)))
+    middle = written(rows.sparkSession, middle.select("grp", F.array(*(F.col(f"q{i}")[1] for i in range(p))).alias("mid"), sd.alias("sd")), "middle")
+    z = F.array(*((F.col(f"x{i}") - F.col("mid")[i]) / F.col("sd")[i] for i in range(p)))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, c: a + c * c))
+    direction = lambda v: let(length(v), lambda n: F.transform(v, lambda c: F.when(n > 0, c / n).otherwise(0.0)))
+    kinds = let(z, lambda v: F.array(v, F.transform(v, F.tanh), direction(v)))
+    each = rows.join(middle, "grp").select("grp", "mid", "sd", F.posexplode(kinds).alias("start", "v"))
+    products = F.array(*(F.sum(F.col("v")[i] * F.col("v")[j]) for i in range(p) for j in range(i, p)))
+    return _estimate(each.groupBy("grp", "start").agg(F.first("mid").alias("mid"), F.first("sd").alias("sd"), F.count("*").alias("n"), products.alias("q")), started)
+
+
+def _binned(rows: DataFrame, now: DataFrame, *sums: Column) -> DataFrame:
+    """A row for each group and start: ``was`` and ``bins``, the counts and ``sums`` of its rows by bin of their distance."""
+    own = now.groupBy("grp").agg(F.collect_list(F.struct("start", "mean", "inverse", "logdet")).alias("own"))
+    bin_of = lambda e: F.struct(e["start"].alias("start"), e["logdet"].alias("was"), F.floor(F.log2(_distance(e["mean"], e["inverse"]) + 1e-6) * BINS).alias("bin"))
+    each = rows.join(own, "grp").select("grp", *(f"x{i}" for i in range(len(STATS))), F.inline(F.transform("own", bin_of)))
+    counted = each.groupBy("grp", "start", "was", "bin").agg(F.count("*").alias("n"), *sums)
+    return counted.groupBy("grp", "start", "was").agg(F.collect_list(F.struct(*counted.columns[3:])).alias("bins"))  # as many as there are bins
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """(grp, mean, inverse, spread) of each group of rows (grp, x0..x4); distances count as multiples of ``spread``.
-
-    The nearest rows spread less than all rows do, so distances shrink until their median is that of chi-squared; they
-    never grow, as variances at their floor make the median small."""
+    """(grp, mean, inverse, spread) of each group of rows (grp, x0..x4); distances count as multiples of ``spread``."""
     spark, p = rows.sparkSession, len(STATS)
-    middle = rows.groupBy("grp").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(p)))
-    sd = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(p)]
-    inverse = F.array(*(1 / (sd[i] * sd[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p)))
-    now = written(spark, middle.select("grp", F.array(*(F.col(f"q{i}")[1] for i in range(p))).alias("mean"), inverse.alias("inverse")), "start")
-    binned = lambda: rows.join(now, "grp").withColumn("d", _distance()).withColumn("bin", F.floor(F.log2(F.col("d") + 1e-6) * BINS))
-    for _ in range(C_STEPS):
-        near = written(spark, _nearest(binned(), SUPPORT), "near")
-        now = written(spark, _estimate(_sums(binned().join(near, "grp").where("bin <= last_bin"))), "estimate")
-    half = _nearest(binned(), 0.5)
-    return now.join(half, "grp").select("grp", "mean", "inverse", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("last_bin") + 1) / BINS) / MEDIAN).alias("spread"))
+    x = [F.col(f"x{i}") for i in range(p)]
+    sums = F.array(*(F.sum(c) for c in x)).alias("s"), F.array(*(F.sum(x[i] * x[j]) for i in range(p) for j in range(i, p))).alias("q")
+    now = written(spark, _starts(rows), "start")
+    for k in range(MOST_STEPS):
+        step = _estimate(_binned(rows, now, *sums), stepped)
+        if k == 1:  # of two steps on, the start with the least determinant goes on alone
+            step = step.groupBy("grp").agg(F.min(F.struct("logdet", "start", "mean", "inverse", "fell")).alias("best")).select("grp", "best.*")
+        last, now = now, written(spark, step, "estimate")
+        remove(spark, last)
+        if k and now.where("fell").isEmpty():
+            break
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            medians = [2 ** ((nearest(bins, 0.5)[-1]["bin"] + 0.5) / BINS) for bins in b["bins"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["grp"], pa.array([max(1.0, m / MEDIAN) for m in medians], pa.float64())], names=["grp", "spread"])
+
+    return now.select("grp", "mean", "inverse").join(_binned(rows, now).select("grp", "bins").mapInArrow(spread, "grp string, spread double"), "grp")
 
 
 def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -186,7 +237,7 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     own = estimates(placed.where(~F.col("base_failed")).select("grp", *(f"x{i}" for i in range(len(STATS)))))
     enough = placed.where(~F.col("base_failed")).groupBy("grp").count().where(F.col("count") >= MIN_GROUP).select("grp")
     own = written(spark, own.join(enough, "grp"), "estimates")
-    judged = placed.join(own, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("spread")))
+    judged = placed.join(own, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(F.col("mean"), F.col("inverse")) / F.col("spread")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
     return judged.withColumn("kept", kept).drop("grp", "mean", "inverse", "spread", *(f"x{i}" for i in range(len(STATS))))
 

@@ -3,12 +3,15 @@
 Each word is the bag of its character n-grams (bytes of the lower-cased word with its edges). An
 n-gram's hash names a row of the embedding table, the rows of a bag are averaged, and a linear
 softmax reads the average; table and softmax are trained together. A misspelling that was never
-seen shares most n-grams with the word it comes from. A text has many bags and a few toxic words
-among thousands must count, so the text's logit is a smooth maximum over its bags: its gradient
-goes to the bags that decide.
+seen shares most n-grams with the word it comes from. A text has many bags, and its logit is a smooth
+maximum of theirs, in training as in scoring, so that the gradient goes to the bags that decide: averaged
+over the whole text, a few toxic words among hundreds don't show (held-out AUC 0.87 to 0.92 on the given
+tables against 1.00, see README).
 
 Training is on the driver, on at most ``TRAIN_ROWS`` labelled rows of each class, chosen by a hash
-of the id; a fifth of them sets the scale and the threshold, none of the held-out third is used.
+of the id, of texts of up to ``TRAIN_BYTES`` bytes; a fifth of them sets the scale and the threshold, none
+of the held-out third is used. An id with several labels is toxic if one of them says so, and of rows
+with one id the text with the least hash counts.
 Softmax of an average of rows is an average of each row's score, so what tasks get is one number
 per hash bucket (a quarter of a MB), and scoring is numpy over Arrow batches without a shuffle.
 
@@ -19,6 +22,7 @@ give empty results. New columns replace columns of ``docs`` of the same name; al
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import mapped, small_batches, table
+from ._shared import mapped, remove, small_batches, table, written
 from ._words import ALNUM, BASE, Texts, mixed, slices
 
-TRAIN_ROWS = 1500
+TRAIN_ROWS, TRAIN_BYTES = 1500, 1 << 16
 BUCKETS, DIM = 1 << 16, 8
 GRAMS = (3, 4, 5, 6)
+MIN_TEXTS = 3
 EPOCHS, RATE, DECAY, SHARPNESS = 50, 0.05, 1e-4, 4.0
 THRESHOLD = 0.7  #: Fixed value of the contract.
 
@@ -84,25 +89,32 @@ def bag_logits(texts: Texts, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return total / np.maximum(count, 1) + model.bias, words.first
 
 
+def smooth_maximum(logits: np.ndarray, weight: np.ndarray, of_text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's smooth maximum of its bags' logits (minus infinity without any), and each bag's part in it. ``weight``: how often a bag occurs."""
+    top = np.full(n, -np.inf)
+    np.maximum.at(top, of_text, logits)
+    e = weight * np.exp(SHARPNESS * (logits - top[of_text]))
+    total = np.bincount(of_text, e, n)
+    return top + np.log(np.maximum(total, 1)) / SHARPNESS, e / total[of_text]
+
+
 def text_logits(texts: Texts, model: Model) -> np.ndarray:
-    """The greatest logit of each text's bags; minus infinity where a text has no word."""
     logits, first = bag_logits(texts, model)
-    out = np.full(len(first) - 1, -np.inf)
-    some = np.flatnonzero(np.diff(first))
-    if len(some):
-        out[some] = np.maximum.reduceat(logits, first[some])
-    return out
+    return smooth_maximum(logits, np.ones(len(logits)), np.repeat(np.arange(len(first) - 1), np.diff(first)), len(first) - 1)[0]
 
 
-def _bags(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, int]:
-    """Distinct words of labelled texts: (buckets and their word for each size of n-gram, word and text of each occurrence, words)."""
+def _bags(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray, int]:
+    """Distinct words of labelled texts, but those of fewer than ``MIN_TEXTS``, which would only be learned by heart: (buckets and their word for each size of n-gram, word, text and count of each, words)."""
     known: dict[bytes, int] = {}
-    of_word, of_text = [], []
-    for i, text in enumerate(texts):
-        low = (text or "").encode().lower()  # ASCII letters only
-        words = sorted(set(low.translate(bytes(b if ok else 32 for b, ok in enumerate(ALNUM))).split()))
-        of_word += [known.setdefault(w, len(known)) for w in words]
+    of_word, of_text, counts = [], [], []
+    plain = bytes(b if ok else 32 for b, ok in enumerate(ALNUM))
+    found = [Counter((text or "").encode().lower().translate(plain).split()) for text in texts]  # ASCII letters only
+    seen = Counter(w for own in found for w in own)
+    for i, own in enumerate(found):
+        words = sorted((w, n) for w, n in own.items() if seen[w] >= MIN_TEXTS)
+        of_word += [known.setdefault(w, len(known)) for w, _ in words]
         of_text += [i] * len(words)
+        counts += [n for _, n in words]
     grams = []
     joined = np.frombuffer(b" " + b" ".join(known) + b" ", np.uint8)
     lengths = np.fromiter(map(len, known), np.int64, len(known))
@@ -112,15 +124,16 @@ def _bags(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nda
         n = np.maximum(0, lengths + 3 - size)
         first = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         grams.append((at[first].astype(np.uint16), np.repeat(np.arange(len(known), dtype=np.int32), n)))
-    return grams, np.array(of_word, np.int32), np.array(of_text, np.int32), len(known)
+    return grams, np.array(of_word, np.int32), np.array(of_text, np.int32), np.array(counts, float), len(known)
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
+def train(texts: list[str], toxic: list[int], seed: int = 7, rest: float = 1.0) -> Model:
+    """``rest``: how many clean texts there are for each of the sample, against toxic ones, which sets what a false alarm costs."""
     y = np.array(toxic, float)
     empty = Model(np.zeros(BUCKETS), 0.0, 0.0, np.inf)
     if not 0 < y.sum() < len(y):
         return empty
-    bags, of_word, of_text, n_words = _bags(texts)
+    bags, of_word, of_text, counts, n_words = _bags(texts)
     if not n_words:
         return empty
     grams = np.maximum(sum(np.bincount(owner, minlength=n_words) for _, owner in bags), 1)
@@ -135,16 +148,9 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         weight = params["E"] @ (params["w"][:, 1] - params["w"][:, 0])
         return sum(np.bincount(owner, weight[bucket], n_words) for bucket, owner in bags) / grams + params["b"][1] - params["b"][0]
 
-    def pooled(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's smooth maximum, and each occurrence's part in it."""
-        top = np.full(len(y), -np.inf)
-        np.maximum.at(top, of_text, word[of_word])
-        e = np.exp(SHARPNESS * (word[of_word] - top[of_text]))
-        total = np.bincount(of_text, e, len(y))
-        return np.where(total > 0, top, 0) + np.log(np.maximum(total, 1)) / SHARPNESS, e / total[of_text]
-
     for epoch in range(1, EPOCHS + 1):
-        z, part = pooled(logits())
+        z, part = smooth_maximum(logits()[of_word], counts, of_text, len(y))
+        z = np.where(np.isfinite(z), z, 0.0)
         off = share * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
         per_word = np.bincount(of_word, off[of_text] * part, n_words)
         share_of = per_word / grams
@@ -159,18 +165,17 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
             params[k] -= RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-6)
 
     weight = params["E"] @ (params["w"][:, 1] - params["w"][:, 0])
-    word, top = logits(), np.full(len(y), -np.inf)
-    np.maximum.at(top, of_text, word[of_word])
+    top = smooth_maximum(logits()[of_word], counts, of_text, len(y))[0]
     held = tuning & np.isfinite(top) if (tuning & np.isfinite(top)).any() else np.isfinite(top)
-    scale, middle = _calibrated(top[held], y[held])
+    scale, middle = _calibrated(top[held], y[held], rest)
     return Model(weight, float(params["b"][1] - params["b"][0]), scale, middle)
 
 
-def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _calibrated(z: np.ndarray, y: np.ndarray, rest: float) -> tuple[float, float]:
     """The middle of the gap at which F1 is best, and a scale by the spread of the logits."""
     order = np.argsort(-z)
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + max(1, y.sum()))
+    hits, alarms = np.cumsum(y[order]), np.cumsum(1 - y[order])
+    f1 = 2 * hits / (hits + rest * alarms + max(1, y.sum()))
     best = int(np.argmax(f1))
     after = z[order][min(best + 1, len(z) - 1)]
     return 4.0 / max(float(z.std()), 1e-3), float((z[order][best] + after) / 2)
@@ -182,12 +187,19 @@ def fold(id_col: str = "doc_id") -> Column:
 
 def train_on(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model of at most TRAIN_ROWS rows of either class outside the held-out fold."""
-    own = labels.where((fold(id_col) != 1) & F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("toxic"))
+    spark = docs.sparkSession
+    own = labels.where((fold(id_col) != 1) & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.where(F.octet_length(body) <= TRAIN_BYTES).select(F.col(id_col).alias("id"), body.alias("text"), F.xxhash64(body).alias("hash"))
     chosen = [own.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS) for k in (0, 1)]
-    sample = F.broadcast(chosen[0].union(chosen[1]).dropDuplicates(["id"]))  # at most 2 * TRAIN_ROWS rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(sample, "id").limit(4 * TRAIN_ROWS).collect()
-    rows = sorted(rows, key=lambda r: (r["id"], r["text"] or ""))
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    sample = written(spark, chosen[0].union(chosen[1]), "sample")  # at most 2 * TRAIN_ROWS rows
+    found = texts.join(F.broadcast(sample), "id").groupBy("id", "toxic").agg(F.min_by("text", "hash").alias("text"))
+    rows = sorted(found.collect(), key=lambda r: r["id"])
+    remove(spark, sample)
+    toxic = [r["toxic"] for r in rows]
+    n, some = own.agg(F.count("*"), F.sum("toxic")).first()
+    rest = (n - some) / max(1, len(toxic) - sum(toxic)) / (some / max(1, sum(toxic))) if some and sum(toxic) else 1.0
+    return train([r["text"] for r in rows], toxic, rest=rest)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "score") -> DataFrame:

@@ -194,6 +194,56 @@ def test_toxicity_of_misspellings_and_odd_rows(spark, odd_docs, no_docs):
     assert [r["score"] for r in toxicity.score(odd_docs, one_class).collect()] == [0.0] * 11
 
 
+def distances_by_hand(stats):
+    """Robust distances of the rows of one group, the subsets taken from sorted distances; and that of the best of the starts."""
+    n, *_ = counts = np.array(stats, float).T
+    x = np.stack([np.log1p(n), 2 * np.log(np.maximum(counts[1], 1) / n), np.sqrt(np.minimum(counts[2] / n, 4)), np.sqrt(np.log1p(counts[3])) / 2, np.sqrt(counts[4] / n)], axis=1)
+    floors = np.array(quality.FLOORS)
+
+    def floored(cov):
+        return cov - np.diag(cov.diagonal()) + np.diag(np.maximum(cov.diagonal(), floors**2))
+
+    def distance(mean, cov):
+        return np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
+
+    def step(mean, cov):
+        near = x[np.argsort(distance(mean, cov), kind="stable")[: int(np.ceil(0.75 * len(x)))]]
+        return near.mean(axis=0), floored(1.4121 * np.cov(near.T, bias=True))
+
+    quartile = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+    sd = np.maximum((quartile[2] - quartile[0]) / 1.349, floors)
+    z = (x - quartile[1]) / sd
+    found = []
+    for v in (None, np.tanh(z), z / np.maximum(np.linalg.norm(z, axis=1), 1e-300)[:, None]):
+        like = np.eye(5) if v is None else v.T @ v
+        scale = np.sqrt(np.maximum(like.diagonal(), 1e-12))
+        state = quartile[1], floored(like / np.outer(scale, scale) * np.outer(sd, sd))
+        for _ in range(40):
+            state = step(*state)
+        found.append((np.linalg.slogdet(state[1])[1], distance(*state)))
+    best = min(found, key=lambda f: f[0])[1]
+    return best / max(1.0, np.quantile(best, 0.5, method="inverted_cdf") / 4.3515)
+
+
+def test_robust_distances_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+
+    def text(k):
+        n = int(rng.integers(60, 500))
+        words = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9)))) + ("#" if rng.random() < 0.02 * (k % 7 == 0) else "") for _ in range(n)]
+        lines = [" ".join(words[i : i + 12]) for i in range(0, n, 12)]
+        return "\n".join(lines + lines[: int(rng.integers(0, 3))] * (k % 5 == 0) + [" ".join(w + "%%%###" for w in words[:150])] * (k % 10 >= 8))
+
+    rows = [(k, text(k), "en", "ab"[k % 2]) for k in range(300)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    for source in "ab":
+        own = [got[k] for k, _, _, s in rows if s == source and not got[k]["base_failed"]]
+        hand = distances_by_hand([[r[c] for c in quality.STATS] for r in own])
+        assert np.allclose([r["distance"] for r in own], hand, rtol=0.15, atol=0.1)
+        clear = np.abs(np.log(hand / quality.CUTOFF)) > 0.15
+        assert [r["kept"] for r, c in zip(own, clear, strict=True) if c] == (hand <= quality.CUTOFF)[clear].tolist() and (hand > quality.CUTOFF).sum() >= 10
+
+
 PAGE = """<html><head><title>T</title></head><body><header>Top</header><nav><ul><li>m</ul></nav><div class="cookie-notice">We use</div>
 <article><h1>One &amp; two</h1><p>three <b>fo</b>ur<br>five<!-- no --><p>six<script>var a="</p>";</script><aside>side</aside></article>
 <section id="comments">first!</section><form>q<input></form><footer>&copy; f</footer></body></html>"""
