@@ -48,13 +48,25 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
 TRUE_WORDS = ("true", "yes", "y", "ja", "oui", "si", "1", "on", "paid", "confirmed", "x")
 FALSE_WORDS = ("false", "no", "n", "nein", "non", "0", "off", "unpaid", "none")
 #: Two-label public suffixes.
-SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "example.com", "example.net")
-#: Body phrases that raise or lower a spam score.
+SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.za", "co.in", "co.kr", "com.mx", "com.tr", "com.cn", "gov.uk", "net.au", "org.au")
+#: Phrases of subject or body that raise or lower a spam score, top-level domains that do, and hosts that shorten addresses.
 SPAM_PHRASES = (
-    ("pharma", r"\b(viagra|cialis|pills)\b", 1.5), ("lottery", r"\b(you (have )?won|winner|lottery|prize claim)\b", 1.2), ("wire", r"\b(wire transfer|western union)\b", 1.0),
-    ("phish", r"\b(verify your account|confirm your password)\b", 1.2), ("urgency", r"\b(act now|limited time offer|risk[- ]free)\b", 0.6), ("has-unsubscribe", r"\b(unsubscribe|opt[- ]out)\b", -0.3),
-)
-SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd")
+    ("pharma", r"\bviagra\b|\bcialis\b", 1.5),
+    ("crypto", r"\bcrypto|bitcoin|usdt|binance\b", 0.4),
+    ("lottery", r"\b(you (have )?won|winner|lottery|prize claim)\b", 1.2),
+    ("wire", r"\b(wire transfer|western union|bank transfer urgent)\b", 1.0),
+    ("advance-fee", r"\b(nigerian?|inheritance|next of kin|beneficiary fund)\b", 1.0),
+    ("phish", r"\b(verify your account|confirm your password|account (will be )?suspended)\b", 1.2),
+    ("urgency", r"\b(click here (now|immediately)|act now|limited time offer|risk[- ]free)\b", 0.6),
+    ("marketing", r"\b(no obligation|money[- ]back guarantee|100% (free|satisfied))\b", 0.5),
+    ("has-unsubscribe", r"\b(unsubscribe|opt[- ]out)\b", -0.3),
+)
+SPAM_TLDS = ("zip", "mov", "top", "xyz", "click", "link", "work", "gq", "cf", "tk", "ml", "buzz", "rest", "cam", "quest", "monster", "sbs", "cfd", "bond")
+SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd", "buff.ly", "cutt.ly", "rb.gy")
+SPAM_URL = r"https?://[^\s\"'<>)]+"
+SPAM_HOST = r"^https?://(?:[^/?#@]*@)?([^/?#:]*)"
+BARE_IP = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
+HIDDEN_STYLE = r"style=[\"'][^\"']*(display\s*:\s*none|visibility\s*:\s*hidden)"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -192,18 +204,24 @@ def org_domain(domain: Column) -> Column:
 
 
 #: Ceilings of confidence by how a value was found.
-CEILINGS = {"header": 0.99, "rule": 0.85, "both": 0.95, "cited_and_seen": 0.93, "cited": 0.85, "seen": 0.75, "bare": 0.55, "invented": 0.3, "disagreement": 0.65, "unanchored": 0.6}
+CEILINGS = {"header": 0.95, "rule": 0.88, "both": 0.97, "cited_and_seen": 0.93, "cited": 0.85, "seen": 0.8, "bare": 0.55, "invented": 0.25, "disagreement": 0.5, "unanchored": 0.85, "nonsense": 0.55, "sums": 0.98}
 
 
-def confidence(source: Column, given: Column, ok: Column, seen: Column, disagree: Column, sums: Column, anchored: Column) -> Column:
-    """A value's confidence: the ceiling of its source, then what evidence, agreement and arithmetic allow."""
+def confidence(source: Column, given: Column, ok: Column, seen: Column, disagree: Column, sums: Column, anchored: Column, sound: Column | None = None, stated: Column | None = None) -> Column:
+    """A value's confidence: the ceiling of its source, then what evidence, agreement and arithmetic allow.
+
+    ``sound``: false where a set of rows is nonsense. ``stated``: what the second extractor says of itself, which can only lower the result."""
     c = {k: F.lit(v) for k, v in CEILINGS.items()}
     second = F.when(given & ~ok, c["invented"]).when(ok & seen, c["cited_and_seen"]).when(ok, c["cited"]).when(seen, c["seen"]).otherwise(c["bare"])
     top = F.when(source == "header", c["header"]).when(source == "rule", c["rule"]).when(source == "both", c["both"]).otherwise(second)
     top = F.when((source != "second") & given & ~ok, F.least(top * 0.5, c["invented"])).otherwise(top)
     top = F.when(disagree, F.least(top, c["disagreement"])).otherwise(top)
-    top = F.when(sums.isNull(), top).when(sums, F.least(F.lit(0.98), top + 0.03)).otherwise(top * 0.8)
+    top = F.when(sums.isNull(), top).when(sums, F.least(c["sums"], top + 0.03)).otherwise(top * 0.8)
+    if sound is not None:
+        top = F.when(~sound, F.least(top * 0.6, c["nonsense"])).otherwise(top)
     top = F.when(~anchored & (source != "header"), F.least(top, c["unanchored"])).otherwise(top)
+    if stated is not None:
+        top = F.least(top, F.greatest(F.lit(0.0), F.least(F.lit(1.0), stated)))  # a null is passed over
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), top)), 3)
 
 
@@ -312,7 +330,7 @@ def t36_confidence(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
     source = F.get(F.array(*map(F.lit, ("header", "rule", "both", "second"))), (e % 4).cast("int"))
     sums = F.when(e % 3 == 0, F.lit(True)).when(e % 3 == 1, F.lit(False))
-    score = confidence(source, e % 2 == 0, e % 5 < 3, e % 7 < 3, e % 11 == 0, sums, e % 13 != 0)
+    score = confidence(source, e % 2 == 0, e % 5 < 3, e % 7 < 3, e % 11 == 0, sums, e % 13 != 0, e % 17 != 0, F.when(e % 19 < 5, (e % 100) / 100))
     return table(spark, d, "events").select("event_id", score.alias("confidence"))
 
 
@@ -400,7 +418,7 @@ def p03_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p06_flatten_pivot(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_orderkey <= 2000")
+    rows = table(spark, d, "lineitem")
     return rows.groupBy("l_orderkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.count(F.lit(1)))
 
 
@@ -416,14 +434,40 @@ def p15_redact(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.to_json(entries).alias("log"))
 
 
+def body_spam(text: Column) -> Column:
+    """The rules about a body that hold, as structs of rule and points; a null text has none."""
+
+    def rules(low: Column, found: Column) -> Column:
+        hosts = F.transform(F.slice(found, 1, 200), lambda u: F.regexp_extract(u, SPAM_HOST, 1))
+        several = lambda test, each, most: let(F.size(F.filter(hosts, test)), lambda n: F.least(F.lit(most), n * F.lit(each)))
+        visible = F.trim(F.regexp_replace(F.regexp_replace(low, "<[^>]*>", " "), r"\s+", " "))
+        points = {f"body:{name}": F.when(low.rlike(pattern), F.lit(w)) for name, pattern, w in SPAM_PHRASES} | {
+            "many-urls": F.when(F.size(found) > 40, F.lit(0.6)),
+            "url-shorteners": several(lambda h: h.isin(*SHORTENERS), 0.4, 1.0),
+            "bare-ip-urls": several(lambda h: h.rlike(BARE_IP), 0.8, 1.5),
+            "suspicious-tld-urls": several(lambda h: F.substring_index(h, ".", -1).isin(*SPAM_TLDS), 0.4, 1.2),
+            "script-in-body": F.when(low.rlike("<script|onerror=|onload="), F.lit(1.2)),
+            "hidden-text": F.when(low.rlike(HIDDEN_STYLE), F.lit(0.6)),
+            "image-or-link-only": F.when((F.length(visible) < 15) & ((F.size(found) > 0) | F.contains(low, F.lit("<img"))), F.lit(0.8)),
+        }
+        return F.filter(F.array(*(F.struct(F.lit(rule).alias("rule"), p.alias("points")) for rule, p in points.items())), lambda r: r["points"] != 0)
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: let(F.regexp_extract_all(low, F.lit(SPAM_URL), F.lit(0)), lambda found: rules(low, found)))
+
+
+def spam_score(reasons: Column) -> Column:
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.aggregate(reasons, F.lit(0.0), lambda a, r: a + r["points"]))), 2)
+
+
+def spam_sample() -> Column:
+    """Texts of the documents, with endings that meet the rules."""
+    ends = ("You have won! Act now", "unsubscribe", "see https://bit.ly/a and http://10.1.2.3/b or http://x.example.top/?q", "<p style='display: none'>x</p><script>y</script>", "bitcoin, no obligation: verify your account")
+    return F.concat_ws(" ", F.when(F.col("doc_id") % 7 != 6, F.col("text")), F.get(F.array(*map(F.lit, ends), F.lit("<img src=x>")), (F.col("doc_id") % 7).cast("int")))
+
+
 def v07_spam_score(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("text")
-    points = [F.when(low.rlike(pattern), F.lit(w)).otherwise(0.0) for _, pattern, w in SPAM_PHRASES]
-    n_urls = F.size(F.regexp_extract_all("text", F.lit(URL), F.lit(0)))
-    points += [F.when(n_urls > 40, 0.6).otherwise(0.0), F.when(F.contains(low, F.lit("<script")), 1.2).otherwise(0.0), F.when(F.length(F.trim("text")) < 15, 0.8).otherwise(0.0)]
-    body = F.concat_ws(" ", "text", F.when(F.col("doc_id") % 5 == 0, "You have won! Act now").when(F.col("doc_id") % 5 == 1, "unsubscribe"))
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), reduce(lambda a, b: a + b, points))), 2)
-    return _docs(spark, d).withColumn("text", body).select("doc_id", score.alias("score"))
+    rows = _docs(spark, d).select("doc_id", body_spam(spam_sample()).alias("reasons"))
+    return rows.select("doc_id", spam_score(F.col("reasons")).alias("score"), F.array_join(F.transform("reasons", lambda r: r["rule"]), ",").alias("reasons"))
 
 
 def message_detections(spark: SparkSession, d: str) -> DataFrame:
@@ -494,10 +538,11 @@ ORACLE_SQL = {
     "t33_norm": "SELECT item_id, lower(trim(regexp_replace(text, '[\\s ]+', ' ', 'g'))) AS norm FROM benchmark",
     "t34_t35_corroborates": """WITH i AS (SELECT l_orderkey, list_sort(list(l_extendedprice)) AS a FROM lineitem GROUP BY 1), v AS (SELECT o_orderkey, a, a[1] + CASE WHEN o_orderkey % 2 = 0 THEN 0.004 ELSE 0.02 END AS v FROM orders JOIN i ON o_orderkey = l_orderkey)
         SELECT o_orderkey, len(list_filter(a, lambda x: abs(x - v) < 0.005)) > 0 AS seen FROM v""",
-    "t36_confidence": f"""WITH e AS (SELECT event_id, event_id % 4 AS s, event_id % 2 = 0 AS given, event_id % 5 < 3 AS ok, event_id % 7 < 3 AS seen, event_id % 11 = 0 AS dis, event_id % 3 AS ar, event_id % 13 <> 0 AS anchored FROM events),
+    "t36_confidence": f"""WITH e AS (SELECT event_id, event_id % 4 AS s, event_id % 2 = 0 AS given, event_id % 5 < 3 AS ok, event_id % 7 < 3 AS seen, event_id % 11 = 0 AS dis, event_id % 3 AS ar, event_id % 13 <> 0 AS anchored, event_id % 17 <> 0 AS sound, CASE WHEN event_id % 19 < 5 THEN (event_id % 100) / 100 END AS stated FROM events),
         a AS (SELECT *, CAST(CASE s WHEN 0 THEN {_C['header']} WHEN 1 THEN {_C['rule']} WHEN 2 THEN {_C['both']} ELSE CASE WHEN given AND NOT ok THEN {_C['invented']} WHEN ok AND seen THEN {_C['cited_and_seen']} WHEN ok THEN {_C['cited']} WHEN seen THEN {_C['seen']} ELSE {_C['bare']} END END AS DOUBLE) AS t FROM e),
         b AS (SELECT *, CASE WHEN s <> 3 AND given AND NOT ok THEN least(t * 0.5, {_C['invented']}) ELSE t END AS t2 FROM a), c AS (SELECT *, CASE WHEN dis THEN least(t2, {_C['disagreement']}) ELSE t2 END AS t3 FROM b),
-        d AS (SELECT *, CASE ar WHEN 0 THEN least(0.98, t3 + 0.03) WHEN 1 THEN t3 * 0.8 ELSE t3 END AS t4 FROM c), f AS (SELECT *, CASE WHEN NOT anchored AND s <> 0 THEN least(t4, {_C['unanchored']}) ELSE t4 END AS t5 FROM d)
+        d AS (SELECT *, CASE ar WHEN 0 THEN least(0.98, t3 + 0.03) WHEN 1 THEN t3 * 0.8 ELSE t3 END AS t4 FROM c), g AS (SELECT *, CASE WHEN sound THEN t4 ELSE least(t4 * 0.6, {_C['nonsense']}) END AS t6 FROM d),
+        f AS (SELECT *, least(CASE WHEN NOT anchored AND s <> 0 THEN least(t6, {_C['unanchored']}) ELSE t6 END, coalesce(stated, 1.0)) AS t5 FROM g)
         SELECT event_id, round(greatest(0.0, least(1.0, t5)), 3) AS confidence FROM f""",
     "t47_quantity_tail": """WITH l AS (SELECT p_partkey, concat_ws(' ', p_name, CASE WHEN p_size % 2 = 0 THEN p_size || ' x' END) AS line FROM part)
         SELECT p_partkey, try_cast(nullif(regexp_extract(line, '([0-9]+) ?x$', 1), '') AS INT) AS qty, trim(regexp_replace(line, '[0-9]+ ?x$', '')) AS description FROM l""",
@@ -519,13 +564,23 @@ ORACLE_SQL = {
     "s38_html_to_text": f"""SELECT page_id, md5(trim(regexp_replace({_replaced("regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')", ENTITIES)}, '[ \\t\\n\\r]+', ' ', 'g'), ' ')) AS digest FROM pages""",
     "p02_preview": "SELECT doc_id, left(text, 40) AS preview, length(text) AS text_length, length(text) > 40 AS text_truncated FROM documents",
     "p03_summary": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || ';' || c_mktsegment ELSE c_name END AS recipients FROM customer",
-    "p06_flatten_pivot": """SELECT l_orderkey, nullif(count(*) FILTER (l_returnflag = 'A'), 0) AS "A", nullif(count(*) FILTER (l_returnflag = 'N'), 0) AS "N", nullif(count(*) FILTER (l_returnflag = 'R'), 0) AS "R" FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1""",
+    "p06_flatten_pivot": """SELECT l_orderkey, nullif(count(*) FILTER (l_returnflag = 'A'), 0) AS "A", nullif(count(*) FILTER (l_returnflag = 'N'), 0) AS "N", nullif(count(*) FILTER (l_returnflag = 'R'), 0) AS "R" FROM lineitem GROUP BY 1""",
     "p07_p09_fan_out": """WITH i AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_quantity > 40)
         SELECT o_orderkey, coalesce(n, 0) AS row_count, CAST(k AS INT) AS row_index, l_linenumber AS line FROM orders LEFT JOIN i ON o_orderkey = l_orderkey""",
     "p15_redact": """SELECT c_custkey, '{"user":"' || c_name || '","API_key":"[redacted]","note":"' || CASE WHEN length(repeat(c_mktsegment, 30)) > 200 THEN left(repeat(c_mktsegment, 30), 200) || '…' ELSE repeat(c_mktsegment, 30) END || '"}' AS log FROM customer""",
-    "v07_spam_score": f"""WITH b AS (SELECT doc_id, concat_ws(' ', text, CASE doc_id % 5 WHEN 0 THEN 'You have won! Act now' WHEN 1 THEN 'unsubscribe' END) AS t FROM documents)
-        SELECT doc_id, round(greatest(0.0, least(10.0, {' + '.join(f"CASE WHEN regexp_matches(lower(t), {_q(p)}) THEN CAST({w} AS DOUBLE) ELSE 0 END" for _, p, w in SPAM_PHRASES)} + CASE WHEN len(regexp_extract_all(t, {_q(URL)})) > 40 THEN 0.6 ELSE 0 END
-        + CASE WHEN contains(lower(t), '<script') THEN 1.2 ELSE 0 END + CASE WHEN length(trim(t)) < 15 THEN 0.8 ELSE 0 END)), 2) AS score FROM b""",
+    "v07_spam_score": f"""WITH b AS (SELECT doc_id, lower(concat_ws(' ', CASE WHEN doc_id % 7 <> 6 THEN text END, ['You have won! Act now', 'unsubscribe', 'see https://bit.ly/a and http://10.1.2.3/b or http://x.example.top/?q',
+          '<p style=''display: none''>x</p><script>y</script>', 'bitcoin, no obligation: verify your account', '<img src=x>'][doc_id % 7 + 1])) AS low FROM documents),
+        u AS (SELECT *, regexp_extract_all(low, {_q(SPAM_URL)}) AS urls FROM b),
+        h AS (SELECT *, list_transform(urls[1:200], lambda x: regexp_extract(x, {_q(SPAM_HOST)}, 1)) AS hosts, trim(regexp_replace(regexp_replace(low, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS visible FROM u),
+        r AS (SELECT doc_id, list_filter([{', '.join(f"{{'rule': 'body:{n}', 'points': CASE WHEN regexp_matches(low, {_q(p)}) THEN CAST({w} AS DOUBLE) ELSE 0 END}}" for n, p, w in SPAM_PHRASES)},
+          {{'rule': 'many-urls', 'points': CASE WHEN len(urls) > 40 THEN 0.6 ELSE 0 END}},
+          {{'rule': 'url-shorteners', 'points': least(1.0, 0.4 * len(list_filter(hosts, lambda x: x IN ({', '.join(map(_q, SHORTENERS))}))))}},
+          {{'rule': 'bare-ip-urls', 'points': least(1.5, 0.8 * len(list_filter(hosts, lambda x: regexp_matches(x, {_q(BARE_IP)}))))}},
+          {{'rule': 'suspicious-tld-urls', 'points': least(1.2, 0.4 * len(list_filter(hosts, lambda x: string_split(x, '.')[-1] IN ({', '.join(map(_q, SPAM_TLDS))}))))}},
+          {{'rule': 'script-in-body', 'points': CASE WHEN regexp_matches(low, '<script|onerror=|onload=') THEN 1.2 ELSE 0 END}},
+          {{'rule': 'hidden-text', 'points': CASE WHEN regexp_matches(low, {_q(HIDDEN_STYLE)}) THEN 0.6 ELSE 0 END}},
+          {{'rule': 'image-or-link-only', 'points': CASE WHEN length(visible) < 15 AND (len(urls) > 0 OR contains(low, '<img')) THEN 0.8 ELSE 0 END}}], lambda x: x.points <> 0) AS reasons FROM h)
+        SELECT doc_id, round(greatest(0.0, least(10.0, coalesce(list_sum(list_transform(reasons, lambda x: x.points)), 0))), 2) AS score, array_to_string(list_transform(reasons, lambda x: x.rule), ',') AS reasons FROM r""",
 }
 ORACLE_SQL["message_detections"] = f"""SELECT doc_id, type, language, CAST(len(string_split(emails, ' ')) - CASE WHEN emails = '' THEN 1 ELSE 0 END AS BIGINT) AS n_emails, CAST(len(string_split(urls, ' ')) - 1 AS BIGINT) AS n_urls
     FROM ({_type_sql('text')}) JOIN ({ORACLE_SQL['t13_language']}) USING (doc_id) JOIN ({ORACLE_SQL['t14_emails']}) USING (doc_id) JOIN ({ORACLE_SQL['t15_urls']}) USING (doc_id)"""
