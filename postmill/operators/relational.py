@@ -519,7 +519,47 @@ def r20_first_conversion(spark: SparkSession, d: str) -> DataFrame:
     return first.select("user_id", "first.event_id", F.date_format("first.ts", "yyyy-MM-dd HH:mm:ss").alias("first_at"))
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if n[:3].rstrip("0123456789") in ("f", "j", "a", "w", "l", "u", "k", "r") and n[1:3].isdigit()}
+def j07_credentials(spark: SparkSession, d: str) -> DataFrame:
+    """Keys and sessions that are still good, each with its account."""
+    accounts = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("account"))
+    keys = table(spark, d, "supplier").where("s_acctbal > 0").select(F.lit("key").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("of"))
+    sessions = table(spark, d, "customer").where("c_acctbal > 0").select(F.lit("session").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("of"))
+    return keys.unionByName(sessions).join(accounts, F.col("of") == F.col("n_nationkey")).select("kind", "id", "account")
+
+
+def j15_identified(spark: SparkSession, d: str) -> DataFrame:
+    """Listed items with what their headers say; an item without headers stays as it is."""
+    headers = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("uid"), F.col("c_name").alias("sender"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("subject"))
+    items = table(spark, d, "orders").join(headers, F.col("o_custkey") == F.col("uid"), "left")
+    met = F.col("uid").isNotNull()
+    return items.select("o_orderkey", F.when(met, F.col("sender")).otherwise("unknown").alias("sender"), F.when(met, F.col("subject")).otherwise(F.col("o_orderpriority")).alias("subject"))
+
+
+def a21_lag(spark: SparkSession, d: str) -> DataFrame:
+    """Lag between a user's deliveries: samples, mean in whole milliseconds (null without samples) and most."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    lags = table(spark, d, "events").select("user_id", F.floor((micros - F.lag(micros).over(w)) / 1000).alias("lag"))
+    return lags.groupBy("user_id").agg(F.count("lag").alias("samples"), F.floor(F.sum("lag") / F.count("lag") + 0.5).cast("long").alias("mean_ms"), F.max("lag").cast("long").alias("most_ms"))
+
+
+def p10_attachment_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What is shown of an attachment: no bytes, and a default for what is missing."""
+    named = F.when(F.col("l_linenumber") % 4 != 0, F.concat(F.lit("part-"), F.col("l_partkey").cast("string"), F.lit(".pdf")))
+    inline = F.coalesce(F.when(F.col("l_linenumber") % 3 != 0, F.col("l_returnflag") == "R"), F.lit(False))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", named.alias("filename"), F.lower("l_linestatus").alias("content_type"), F.col("l_quantity").cast("long").alias("size"), inline.alias("inline"))
+
+
+def p17_public_mailbox(spark: SparkSession, d: str) -> DataFrame:
+    """A mailbox as its owner sees it: addresses are built, secrets stay out, and the first endpoint stands for the old single one."""
+    hooks = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.min_by("s_name", "s_suppkey").alias("webhook_url"), F.count("*").alias("webhooks"), F.count_if(F.col("s_acctbal") > 0).alias("active"))
+    slug = F.lower(F.replace("c_name", F.lit("#"), F.lit("-")))
+    rows = table(spark, d, "customer").join(hooks, F.col("c_nationkey") == F.col("s_nationkey"), "left")
+    shown = F.concat(F.lit("m"), F.col("c_custkey").cast("string"), F.lit("@in.example.org"))
+    return rows.select("c_custkey", shown.alias("address"), F.concat(slug, F.lit("@in.example.org")).alias("alias"), "webhook_url", F.coalesce("webhooks", F.lit(0)).alias("webhooks"), F.coalesce("active", F.lit(0)).alias("active"))
+
+
+QUERIES = {n: f for n, f in list(globals().items()) if n[:3].rstrip("0123456789") in ("f", "j", "a", "w", "l", "u", "k", "r", "p") and n[1:3].isdigit()}
 
 _CENTS = lambda x: f"CAST(round({x} * 100) AS BIGINT)"
 _REVIEW = "len(list_filter(flags, lambda f: (string_split(f, ':')[1] IN ({}) AND contains(f, ':')) OR f IN ({}))) > 0".format(", ".join(f"'{x}'" for x in REVIEW_FAMILIES), ", ".join(f"'{x}'" for x in REVIEW_FLAGS))
@@ -616,6 +656,17 @@ ORACLE_SQL = {
     "r14_ttl": "SELECT count(*) AS kept FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1997-07-02'",
     "r17_backoff": "SELECT DISTINCT l_orderkey, l_linenumber, CAST(least(60000, 500 * pow(2, l_linenumber - 1)) AS BIGINT) AS delay_ms FROM lineitem",
     "r19_latest_version": "SELECT o_custkey, max(o_orderkey) AS version, max_by(o_orderpriority, o_orderkey) AS schema FROM orders GROUP BY 1",
+    "j07_credentials": """SELECT 'key' AS kind, s_suppkey AS id, n_name AS account FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0
+        UNION ALL SELECT 'session', c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0""",
+    "j15_identified": """SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'unknown' ELSE c_name END AS sender, CASE WHEN c_custkey IS NULL THEN o_orderpriority WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS subject
+        FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey""",
+    "a21_lag": """WITH l AS (SELECT user_id, CAST(floor((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000) AS BIGINT) AS lag FROM events)
+        SELECT user_id, count(lag) AS samples, CAST(floor(sum(lag) / count(lag) + 0.5) AS BIGINT) AS mean_ms, max(lag) AS most_ms FROM l GROUP BY 1""",
+    "p10_attachment_summary": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 <> 0 THEN 'part-' || l_partkey || '.pdf' END AS filename, lower(l_linestatus) AS content_type, CAST(l_quantity AS BIGINT) AS size,
+        l_linenumber % 3 <> 0 AND l_returnflag = 'R' AS inline FROM lineitem""",
+    "p17_public_mailbox": """WITH h AS (SELECT s_nationkey, min_by(s_name, s_suppkey) AS webhook_url, count(*) AS webhooks, count(*) FILTER (s_acctbal > 0) AS active FROM supplier GROUP BY 1)
+        SELECT c_custkey, 'm' || c_custkey || '@in.example.org' AS address, lower(replace(c_name, '#', '-')) || '@in.example.org' AS alias, webhook_url, coalesce(webhooks, 0) AS webhooks, coalesce(active, 0) AS active
+        FROM customer LEFT JOIN h ON c_nationkey = s_nationkey""",
     "r20_first_conversion": """WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)
         SELECT user_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS first_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM e WHERE event_type = 'purchase' AND (was IS NULL OR was <> 'purchase')) WHERE no = 1""",
 }
