@@ -190,9 +190,9 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 def _binned(rows: DataFrame, now: DataFrame, *sums: Column) -> DataFrame:
     """A row for each group and start: ``was`` and ``bins``, the counts and ``sums`` of its rows by bin of their distance."""
-    own = now.groupBy("grp").agg(F.collect_list(F.struct("start", "mean", "inverse", "logdet")).alias("own"))
-    bin_of = lambda e: F.struct(e["start"].alias("start"), e["logdet"].alias("was"), F.floor(F.log2(_distance(e["mean"], e["inverse"]) + 1e-6) * BINS).alias("bin"))
-    each = rows.join(own, "grp").select("grp", *(f"x{i}" for i in range(len(STATS))), F.inline(F.transform("own", bin_of)))
+    each = rows.join(now.select("grp", "start", "mean", "inverse", F.col("logdet").alias("was")), "grp")  # a written table, so its size is known
+    bins = F.floor(F.log2(_distance(F.col("mean"), F.col("inverse")) + 1e-6) * BINS)
+    each = each.select("grp", "start", "was", bins.alias("bin"), *(f"x{i}" for i in range(len(STATS))))
     counted = each.groupBy("grp", "start", "was", "bin").agg(F.count("*").alias("n"), *sums)
     return counted.groupBy("grp", "start", "was").agg(F.collect_list(F.struct(*counted.columns[3:])).alias("bins"))  # as many as there are bins
 
