@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .functions import detect, text
-from .operators import grids, lines, records, relational
+from .operators import grids, lines, records, relational, spam
 
 FLAGSHIP = "message_detections"
-_MODULES: tuple = (relational, records, lines, grids, text, detect)
+_MODULES: tuple = (relational, records, lines, grids, text, detect, spam)
 
 
 def queries() -> dict:

@@ -6,6 +6,7 @@ them to whole tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -31,15 +32,33 @@ MARKERS = {
 }
 LEAST_CHARS, LEAST_WORDS, LEAST_SCORE = 24, 8, 0.012
 
-#: Phrases that speak for a type of document, with their weight; each counts three times at most.
-TYPE_PHRASES = {
-    "invoice": {"invoice": 3, "rechnung": 3, "facture": 3, "factura": 3, "amount due": 3, "due date": 2, "zahlbar": 2, "vat": 1},
-    "receipt": {"receipt": 3, "quittung": 3, "beleg": 2, "payment received": 3, "paid": 1, "card ending": 2, "transaction id": 2, "refund": 1},
-    "order": {"order confirmation": 4, "your order": 2, "bestellnummer": 3, "thank you for your order": 4},
-    "shipping": {"shipped": 3, "tracking number": 4, "out for delivery": 4, "in transit": 3, "paket": 2, "carrier": 2, "sendungsnummer": 4},
-    "form": {"form submission": 4, "new submission": 4, "contact form": 4, "kontaktformular": 4},
-    "calendar": {"invitation": 3, "calendar": 2, "meeting request": 4, "termin": 3, "rsvp": 2},
-}
+#: Patterns that speak for a type of document, on lower-case text, with their weight; each counts three times at most.
+TYPE_PATTERNS = {
+    "invoice": {
+        r"\binvoice\b": 3, r"\brechnung\b": 3, r"\bfacture\b": 3, r"\bfactura\b": 3, r"\bamount due\b": 3, r"\bdue date\b": 2, r"\bf(?:ä|ae)llig(?:keit)?\b": 2, r"\bpayment (?:is )?due\b": 3,
+        r"\bbill(?:ing)? (?:statement|period)\b": 2, r"\bnet\s*\d{1,3}\b": 1, r"\bpay (?:this )?invoice\b": 3, r"\bzahlbar\b": 2, r"\bust-?idnr\b": 1, r"\bvat\b": 1, r"\bsteuernummer\b": 1, "請求書": 4,
+    },
+    "receipt": {
+        r"\breceipt\b": 3, r"\bbeleg\b": 2, r"\bquittung\b": 3, r"\bpayment (?:received|successful|confirmation)\b": 3, r"\bthanks? for your payment\b": 3, r"\byou (?:have been |were )?charged\b": 3, r"\bpaid\b": 1, r"\bzahlungseingang\b": 3,
+        r"\bcard ending\b": 2, r"\btransaction id\b": 2, r"\brefund(?:ed)?\b": 1, r"\bbeleg-?nr\b": 4, r"\bzahlungs(?:mittel|art|methode)\b": 2, r"\btrinkgeld\b": 2, "領収書": 4, "お支払い": 2,
+    },
+    "order": {
+        r"\border confirmation\b": 4, r"\bbestellbest(?:ä|ae)tigung\b": 4, r"\bthank you for your order\b": 4, r"\byour order\b": 2, r"\border\s*#": 2, r"\bbestellnummer\b": 3, r"\bwe(?:'| ha)ve received your order\b": 3,
+        r"\bauftragsbest(?:ä|ae)tigung\b": 3, r"\bconfirmaci(?:ó|o)n de pedido\b": 3, "注文番号": 4, "ご注文": 3,
+    },
+    "shipping": {
+        r"\bshipped\b": 3, r"\bhas shipped\b": 4, r"\btracking (?:number|code|id)\b": 4, r"\bout for delivery\b": 4, r"\bversand(?:best(?:ä|ae)tigung)?\b": 3, r"\bsendungsnummer\b": 4, r"\bdelivery (?:date|estimate|address)\b": 2,
+        r"\bin transit\b": 3, r"\bpaket\b": 2, r"\bzustellung\b": 3, r"\bcarrier\b": 2, "発送": 3,
+    },
+    "form": {r"\bform submission\b": 4, r"\bnew submission\b": 4, r"\bcontact form\b": 4, r"\bkontaktformular\b": 4, r"\bnew (?:lead|enquiry|inquiry)\b": 3, r"\bsubmitted (?:the |a )?form\b": 3, r"\banfrage (?:ü|ue)ber\b": 3},
+    "calendar": {r"\binvitation\b": 3, r"\bcalendar\b": 2, r"\bmeeting (?:invite|request)\b": 4, r"\bwhen:\s": 2, r"\bwhere:\s": 2, r"\btermin(?:einladung)?\b": 3, r"\brsvp\b": 2, r"\bbesprechung\b": 2},
+}
+#: What identifiers, and a table with amounts, add to a type, and what missing amounts take.
+TYPE_OF_ID = {"shipping": ("tracking_number", 4), "invoice": ("invoice_number", 4), "order": ("order_number", 3), "receipt": ("receipt_number", 3)}
+TABLE_BONUS, NO_AMOUNT = {"invoice": 1, "order": 1}, {"invoice": -2, "receipt": -2, "order": -1}
+#: Promotions, in which "receipt" is a legal word, and phrases of a real payment.
+PROMOTION = r"\b(?:sweepstakes?|contest rules?|prize (?:notification|winner|claim))\b"
+PAYMENT = r"\b(?:payment (?:received|successful|confirmation)|thanks? for your payment|you (?:have been |were )?charged|card ending|transaction id|receipt\s*(?:#|number|no\.?|id))\b"
 #: Currency symbols and what they stand for.
 CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR", "₩": "KRW", "CHF": "CHF", "RMB": "CNY", "USD": "USD", "EUR": "EUR", "GBP": "GBP", "JPY": "JPY", "CNY": "CNY"}
 #: Named character references; the ampersand comes last, so that nothing is decoded twice.
@@ -123,16 +142,53 @@ def links(html: Column) -> Column:
     return F.array_distinct(found)
 
 
-def document_type(text: Column) -> Column:
-    """The type whose phrases weigh most, at least 3; the first-listed of ties."""
-    count = lambda low, p: F.when(F.contains(low, F.lit(p)), F.least(F.regexp_count(low, F.lit(rf"\b{p}\b")), F.lit(3))).otherwise(0)
+def _sure_part(pattern: str) -> str:
+    """The longest text that every match of a type's pattern holds; looked for first, as patterns are slow."""
+    return max(re.split(r"\(\?:[^)]*\)\??|\\[bs]\*?|\\d\{[^}]*\}|.\?", pattern), key=len)
+
+
+def document_type(text: Column, subject: Column | None = None, ids: Column | None = None, amounts: Column | None = None, tables: Column | None = None, attachments: Column | None = None) -> Column:
+    """The type whose patterns weigh most, at least 3; the first-listed of ties.
+
+    ``text`` holds the subject as well; ``subject`` counts each pattern in it once more. What was found is used
+    where it is given: ``ids`` (kind), ``amounts``, the number of ``tables``, ``attachments`` (content_type, filename)."""
+
+    def extra(kind: str) -> Column:
+        points = F.lit(0)
+        if ids is not None and kind in TYPE_OF_ID:
+            points += F.when(F.exists(ids, lambda i: i["kind"] == TYPE_OF_ID[kind][0]), TYPE_OF_ID[kind][1]).otherwise(0)
+        if amounts is not None and kind in NO_AMOUNT:
+            points += F.when(F.size(amounts) < 1, NO_AMOUNT[kind]).otherwise(0)
+            if tables is not None and kind in TABLE_BONUS:
+                points += F.when((tables > 0) & (F.size(amounts) >= 2), TABLE_BONUS[kind]).otherwise(0)
+        if attachments is not None and kind == "calendar":
+            points += F.when(F.exists(attachments, lambda a: F.coalesce(a["content_type"], F.lit("")) == "text/calendar"), 8).otherwise(0)
+        if attachments is not None and kind == "invoice":
+            points += F.when(F.exists(attachments, lambda a: F.lower(F.coalesce(a["filename"], F.lit(""))).rlike("invoice|rechnung|facture")), 4).otherwise(0)
+        return points
 
-    def best(low: Column) -> Column:
-        score = lambda phrases: reduce(lambda a, b: a + b, (count(low, p) * w for p, w in phrases.items()))
-        top = F.array_max(F.array(*(F.struct(score(p).alias("n"), F.lit(-k).alias("order"), F.lit(t).alias("type")) for k, (t, p) in enumerate(TYPE_PHRASES.items()))))
+    def best(both: Column) -> Column:
+        low, head = both["text"], both["subject"]
+
+        def count(p: str) -> Column:
+            n = F.least(F.regexp_count(low, F.lit(p)), F.lit(3))
+            return F.when(F.contains(low, F.lit(_sure_part(p))), n if subject is None else n + F.when(head.rlike(p), 1).otherwise(0)).otherwise(0)
+
+        score = lambda kind: reduce(lambda a, b: a + b, (count(p) * w for p, w in TYPE_PATTERNS[kind].items())) + extra(kind)
+        scores = {k: score(k) for k in TYPE_PATTERNS}
+        scores["receipt"] = F.when(low.rlike(PROMOTION) & ~low.rlike(PAYMENT), 0).otherwise(scores["receipt"])
+        top = F.array_max(F.array(*(F.struct(n.alias("n"), F.lit(-k).alias("order"), F.lit(t).alias("type")) for k, (t, n) in enumerate(scores.items()))))
         return let(top, lambda t: F.when(t["n"] >= 3, t["type"]).otherwise("generic"))
 
-    return F.coalesce(let(F.lower(text), best), F.lit("generic"))
+    known = F.struct(F.lower(F.coalesce(text, F.lit(""))).alias("text"), F.lower(F.coalesce(F.lit("") if subject is None else subject, F.lit(""))).alias("subject"))
+    return F.coalesce(let(known, best), F.lit("generic"))
+
+
+def first_of_each(found: Column, key: Callable[[Column], Column]) -> Column:
+    """Of elements with equal keys the first, in their order. Sorts twice, so n log n."""
+    keyed = F.array_sort(F.transform(found, lambda x, i: F.struct(key(x).alias("key"), i.alias("no"), x.alias("it"))))
+    firsts = let(keyed, lambda k: F.filter(k, lambda x, i: ~x["key"].eqNullSafe(F.get(k, i - 1)["key"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["no"], x["it"]))), lambda x: x["it"])
 
 
 def parse_number(raw: Column) -> Column:
@@ -268,8 +324,10 @@ def t18_w03_addresses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t19_l07_type(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat_ws(" ", "text", F.when(F.col("doc_id") % 4 == 0, "Invoice, amount due").when(F.col("doc_id") % 4 == 1, "has shipped, tracking number").when(F.col("doc_id") % 4 == 2, "meeting request, rsvp"))
-    return _docs(spark, d).select("doc_id", document_type(text).alias("type"))
+    """Texts under a subject that speaks for a type, or for none."""
+    subjects = ("Invoice, amount due", "Your parcel has shipped: tracking code", "Meeting request, RSVP", "Prize notification: receipt of documents, receipt", "Payment received: prize claim, receipt 7", "Anfrage über das Kontaktformular")
+    subject = F.get(F.array(*map(F.lit, subjects)), (F.col("doc_id") % 7).cast("int"))
+    return _docs(spark, d).select("doc_id", document_type(F.concat_ws("\n", subject, "text"), subject).alias("type"))
 
 
 def _number_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -489,9 +547,11 @@ def _language_sql(text: str) -> str:
         FROM (SELECT *, {_best(rows)} AS best FROM (SELECT *, list_filter(regexp_split_to_array(plain, '\\s+'), lambda w: w <> '') AS words FROM (SELECT *, regexp_replace(lower({text}), '[^\\p{{L}}\\s]', ' ', 'g') AS plain FROM documents)))"""
 
 
-def _type_sql(text: str) -> str:
-    rows = ["{'n': " + " + ".join(f"least(len(regexp_extract_all(low, '\\b{p}\\b')), 3) * {w}" for p, w in phrases.items()) + f", 'o': {-k}, 'v': '{t}'}}" for k, (t, phrases) in enumerate(TYPE_PHRASES.items())]
-    return f"SELECT doc_id, CASE WHEN best.n >= 3 THEN best.v ELSE 'generic' END AS type FROM (SELECT doc_id, {_best(rows)} AS best FROM (SELECT doc_id, lower({text}) AS low FROM documents))"
+def _type_sql(text: str, subject: str = "''") -> str:
+    weight = lambda p, w: f"(least(len(regexp_extract_all(low, {_q(p)})), 3) + CASE WHEN regexp_matches(head, {_q(p)}) THEN 1 ELSE 0 END) * {w}"
+    score = lambda t, ps: f"(CASE WHEN {_q(t)} = 'receipt' AND regexp_matches(low, {_q(PROMOTION)}) AND NOT regexp_matches(low, {_q(PAYMENT)}) THEN 0 ELSE " + " + ".join(weight(p, w) for p, w in ps.items()) + " END)"
+    rows = [f"{{'n': {score(t, ps)}, 'o': {-k}, 'v': '{t}'}}" for k, (t, ps) in enumerate(TYPE_PATTERNS.items())]
+    return f"SELECT doc_id, CASE WHEN best.n >= 3 THEN best.v ELSE 'generic' END AS type FROM (SELECT doc_id, {_best(rows)} AS best FROM (SELECT doc_id, lower(coalesce({text}, '')) AS low, lower(coalesce({subject}, '')) AS head FROM documents))"
 
 
 def _number_sql(raw: str, source: str, key: str, name: str) -> str:
@@ -510,6 +570,7 @@ _US = "format('{:,.2f}', o_totalprice)"
 _RAW = f"[{_US}, translate({_US}, ',.', '.,'), '(' || {_US} || ')', 'EUR ' || translate({_US}, ',.', ' ,'), format('{{:,}}', CAST(floor(o_totalprice) AS BIGINT)), 'none', {_US} || '-'][o_orderkey % 7 + 1]"
 _DOMAIN = f"regexp_extract(url, '{HOST}', 1)"
 _C = CEILINGS
+_SUBJECT = "['Invoice, amount due', 'Your parcel has shipped: tracking code', 'Meeting request, RSVP', 'Prize notification: receipt of documents, receipt', 'Payment received: prize claim, receipt 7', 'Anfrage über das Kontaktformular'][doc_id % 7 + 1]"
 
 ORACLE_SQL = {
     "t03_entities": f"SELECT page_id, md5({_replaced('html', ENTITIES)}) AS decoded FROM pages",
@@ -525,7 +586,7 @@ ORACLE_SQL = {
     "t18_w03_addresses": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, doc_id AS k FROM documents),
         p AS (SELECT doc_id, trim(line, ' ') AS street, trim(lead(line) OVER (PARTITION BY doc_id ORDER BY i), ' ') AS place FROM l)
         SELECT doc_id, street, place FROM p WHERE regexp_matches(street, '[0-9]{1,4}\\.?$') AND regexp_matches(place, '^[A-Za-z]')""",
-    "t19_l07_type": _type_sql("concat_ws(' ', text, CASE doc_id % 4 WHEN 0 THEN 'Invoice, amount due' WHEN 1 THEN 'has shipped, tracking number' WHEN 2 THEN 'meeting request, rsvp' END)"),
+    "t19_l07_type": _type_sql(f"concat_ws(chr(10), {_SUBJECT}, text)", _SUBJECT),
     "t21_parse_number": _number_sql(_RAW, "orders", "o_orderkey", "value"),
     "t29_t63_number_forms": """WITH f AS (SELECT p_partkey, format('{:,.2f}', p_retailprice) AS g, format('{:,}', CAST(floor(p_retailprice) AS BIGINT)) AS w FROM part),
         l AS (SELECT p_partkey, [g, replace(g, ',', ''), translate(g, ',.', '.,'), w] AS l FROM f) SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' | ') AS forms FROM l""",

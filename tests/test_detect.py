@@ -4,6 +4,7 @@ import hmac
 from pyspark.sql import functions as F
 
 from postmill.functions import detect
+from postmill.functions import text as T
 
 
 def test_amounts_dates_ids_phones(spark):
@@ -38,3 +39,19 @@ def test_detection_of_a_reply(spark):
     df = spark.createDataFrame([("Re: Invoice no. R-1", "about invoice no. R-2, see https://x.org/9")], "s string, t string")
     found = df.select(detect.detect(F.col("s"), F.col("t")).alias("d")).first()["d"]
     assert [i["value"] for i in found["ids"]] == ["R-2", "R-1"] and found["urls"] == ["https://x.org/9"] and found["type"] == "invoice"
+
+
+def test_types(spark):
+    rows = [("Invoice", "hello", "invoice"), ("", "your order is in transit", "shipping"), ("", "prize notification: receipt of documents", "generic"), ("", "prize winner, receipt no. 7", "receipt"), ("", "請求書", "invoice"), (None, None, "generic"), ("", "paid vat", "generic")]
+    df = spark.createDataFrame(rows, "s string, t string, want string").withColumn("got", T.document_type(F.concat_ws(" ", "s", "t"), F.col("s")))
+    assert [(r["t"], r["got"]) for r in df.collect() if r["got"] != r["want"]] == []
+    for pattern in (p for ps in T.TYPE_PATTERNS.values() for p in ps):
+        assert len(T._sure_part(pattern)) >= 2
+    seen = df.limit(1).select(detect.detect(F.lit("Hi"), F.lit("tracking no. AB-1"), F.lit(0)).alias("a"), detect.detect(F.lit("Hi"), F.lit("see file"), F.lit(0), F.array(F.struct(F.lit("text/calendar").alias("content_type"), F.lit("x.ics").alias("filename")))).alias("b")).first()
+    assert (seen["a"]["type"], seen["b"]["type"]) == ("shipping", "calendar")
+
+
+def test_repeated_amounts_and_long_texts(spark):
+    text = " and ".join(f"EUR {i % 500}.50" for i in range(4000))
+    found = spark.createDataFrame([(text,)], "t string").select(detect.amounts(F.col("t")).alias("a")).first()["a"]
+    assert [a["value"] for a in found] == [i + 0.5 for i in range(500)]

@@ -1,3 +1,4 @@
+import ipaddress
 import json
 from datetime import datetime, timedelta
 
@@ -17,8 +18,11 @@ def test_spf_and_dmarc(spark):
     dns = spark.createDataFrame(DNS, "name string, type string, answers array<string>")
     cases = [("10.1.2.3", "x.org", "pass"), ("192.0.2.7", "x.org", "pass"), ("2001:db8::1", "x.org", "pass"), ("203.0.113.5", "X.org", "pass"), ("198.51.100.9", "r.org", "pass"), ("8.8.8.8", "x.org", "fail"), ("8.8.8.8", "y.org", "softfail"), ("8.8.8.8", "none.org", "none"), ("8.8.8.8", "two.org", "permerror"), ("8.8.8.8", "loop.org", "permerror"), (None, "x.org", "none")]
     mail = spark.createDataFrame([(i, a, d) for i, (a, d, _) in enumerate(cases)], "id int, remote_ip string, mail_from_domain string")
-    got = {r["id"]: r["spf"] for r in auth.with_spf(mail, dns, depth=4).collect()}
+    got = {r["id"]: r["spf"] for r in auth.with_spf(mail, dns).collect()}
     assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
+    chain = [(f"c{i}.org", "TXT", [f"v=spf1 include:c{i + 1}.org -all"]) for i in range(11)] + [("c11.org", "TXT", ["v=spf1 ip4:192.0.2.0/24 -all"])]
+    far = auth.with_spf(spark.createDataFrame([(0, "192.0.2.1", "c0.org"), (1, "192.0.2.1", "C1.org"), (2, "9.9.9.9", "c1.org")], mail.schema), spark.createDataFrame(chain, dns.schema))
+    assert [r["spf"] for r in far.orderBy("id").collect()] == ["permerror", "pass", "fail"]  # eleven lookups, ten, ten
 
     mail = spark.createDataFrame([(1, "x.org", "pass", "m.x.org", "none", None), (2, "s.x.org", "fail", "x.org", "pass", "x.org"), (3, "s.x.org", "fail", "x.org", "pass", "s.x.org"), (4, "z.net", "pass", "z.net", "none", None)], "id int, from_domain string, spf string, spf_domain string, dkim string, dkim_domain string")
     rows = {r["id"]: r for r in auth.with_dmarc(mail, dns).withColumn("points", auth.auth_points()).collect()}
@@ -28,7 +32,13 @@ def test_spf_and_dmarc(spark):
 
 def test_cidr(spark):
     df = spark.createDataFrame([("10.1.2.3", "10.0.0.0/8", True), ("11.1.2.3", "10.0.0.0/8", False), ("1.2.3.4", "1.2.3.4", True), ("1.2.3.5", "1.2.3.4", False), ("9.9.9.9", "0.0.0.0/0", True)], "ip string, net string, want boolean")
-    assert df.where(auth.in_cidr(F.col("ip"), F.col("net")) != F.col("want")).count() == 0
+    assert df.where(~auth.in_cidr(F.col("ip"), F.col("net")).eqNullSafe(F.col("want"))).count() == 0
+    ips = ["2001:db8::1", "2001:DB8:8000::1", "::", "::1", "::ffff:10.1.2.3", "10.1.2.3", "10.1.2.255", "fe80:0:0:1::", "1:2:3:4:5:6:7:8"]
+    nets = ["2001:db8::/33", "2001:db8::/32", "::/0", "::1", "10.1.2.0/24", "10.1.2.3/32", "0.0.0.0/0", "fe80::/10", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:0/125"]
+    plain = lambda a: getattr(a, "ipv4_mapped", None) or a
+    cases = [(a, n, plain(ipaddress.ip_address(a)) in ipaddress.ip_network(n)) for a in ips for n in nets] + [(a, "::/0", None) for a in ("1.2.3", "1.2.3.4.", "1.2.3.256", "1::2::3", "1:2:3", "x", "", None)]
+    got = spark.createDataFrame(cases, df.schema).withColumn("got", auth.in_cidr(F.col("ip"), F.col("net"))).collect()
+    assert [tuple(r)[:3] for r in got if r["got"] != r["want"]] == []
 
 
 def test_first_deliveries_keep_rows_without_a_key(spark):
