@@ -62,6 +62,12 @@ class WindowSet:
             quick[at[place] & np.uint64((1 << 20) - 1)] = True
             self.by_size[k] = (quick, at[place], place)
 
+    @classmethod
+    def of(cls, arrays: dict) -> WindowSet:
+        made = cls.__new__(cls)
+        vars(made).update(arrays)
+        return made
+
     def _windows(self, k: int, h: int, places: np.ndarray) -> dict[bytes, set]:
         """The word sequences behind a hash, with the ids of their items."""
         if (k, h) not in self.seen:
@@ -138,11 +144,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
         sets *= 2
     out = docs.drop(*_NEW, "n_hit", "contaminated")
     for k in range(sets):
-        shared = spark.sparkContext.broadcast(WindowSet([(r["id"], r["text"]) for r in dealt().where(F.col("set") == k).collect()], size))
+        # Plain arrays: what is broadcast is unpickled before any task function, so a class of this package would have to be installed there.
+        shared = spark.sparkContext.broadcast(vars(WindowSet([(r["id"], r["text"]) for r in dealt().where(F.col("set") == k).collect()], size)))
         plain = out.drop(*_NEW)
         added = _DDL
         out = written(spark, out, "decontamination") if k else out
-        out = mapped(out, lambda batches, shared=shared: (_scan(b, shared.value, text) for b in batches), added, dropped=tuple(c for c in out.columns if c not in plain.columns))
+        out = mapped(out, lambda batches, shared=shared: (_scan(b, WindowSet.of(shared.value), text) for b in batches), added, dropped=tuple(c for c in out.columns if c not in plain.columns))
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["after"] - s["first"])
     out = out.withColumn("n_hit", n_hit).withColumn("hit_items", F.array_compact("hit_items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (MIN_SHARE * F.col("n_hit") >= F.col("n_words")))

@@ -9,8 +9,9 @@ over the whole text, a few toxic words among hundreds don't show (held-out AUC 0
 tables against 1.00, see README).
 
 Training is on the driver, on at most ``TRAIN_ROWS`` labelled rows of each class, chosen by a hash
-of the id, of texts of up to ``TRAIN_BYTES`` bytes; a fifth of them sets the scale and the threshold, none
-of the held-out third is used. An id with several labels is toxic if one of them says so, and of rows
+of the id, of texts of up to ``TRAIN_BYTES`` bytes; none of the held-out third is used. The threshold is set on logits that
+each of ``PARTS`` parts of the rows gets from a model of the others, so texts that were learned by heart don't set it, and
+all rows count. N-grams that training hasn't seen weigh nothing, so a text without telling words scores as a clean text. An id with several labels is toxic if one of them says so, and of rows
 with one id the text with the least hash counts.
 Softmax of an average of rows is an average of each row's score, so what tasks get is one number
 per hash bucket (a quarter of a MB), and scoring is numpy over Arrow batches without a shuffle.
@@ -38,23 +39,23 @@ BUCKETS, DIM = 1 << 16, 8
 GRAMS = (3, 4, 5, 6)
 MIN_TEXTS = 3
 EPOCHS, RATE, DECAY, SHARPNESS = 50, 0.05, 1e-4, 4.0
+PARTS = 3
 THRESHOLD = 0.7  #: Fixed value of the contract.
 
 
 @dataclass(frozen=True)
 class Model:
-    """``weight``: each bucket's share of a logit; a score is the logistic of scale * (logit - middle) + that of THRESHOLD."""
+    """``weight``: each bucket's share of a logit; a score is the logistic of scale * logit + offset."""
 
     weight: np.ndarray
     bias: float
     scale: float
-    middle: float
+    offset: float
 
     def score(self, logit: np.ndarray) -> np.ndarray:
-        if np.isinf(self.middle):  # nothing was learned
-            return np.zeros(len(logit))
-        z = self.scale * (logit - self.middle) + np.log(THRESHOLD / (1 - THRESHOLD))
-        return np.where(np.isneginf(logit), 0.0, 1 / (1 + np.exp(-np.clip(z, -50, 50))))
+        known = np.isfinite(logit) & (self.scale > 0)  # else there are no words, or nothing was learned
+        z = self.scale * np.where(known, logit, 0.0) + self.offset
+        return np.where(known, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
 
 
 def _spaced(texts: Texts) -> tuple[np.ndarray, Texts]:
@@ -130,7 +131,7 @@ def _bags(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nda
 def train(texts: list[str], toxic: list[int], seed: int = 7, rest: float = 1.0) -> Model:
     """``rest``: how many clean texts there are for each of the sample, against toxic ones, which sets what a false alarm costs."""
     y = np.array(toxic, float)
-    empty = Model(np.zeros(BUCKETS), 0.0, 0.0, np.inf)
+    empty = Model(np.zeros(BUCKETS), 0.0, 0.0, 0.0)
     if not 0 < y.sum() < len(y):
         return empty
     bags, of_word, of_text, counts, n_words = _bags(texts)
@@ -138,47 +139,67 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, rest: float = 1.0)
         return empty
     grams = np.maximum(sum(np.bincount(owner, minlength=n_words) for _, owner in bags), 1)
     rng = np.random.default_rng(seed)
-    tuning = rng.permutation(len(y)) < len(y) // 5  # not trained on: sets scale and middle
-    share = np.where(y == 1, 0.5 / max(1, (y * ~tuning).sum()), 0.5 / max(1, ((1 - y) * ~tuning).sum())) * ~tuning
-
-    params = {"E": rng.normal(0, 0.1, (BUCKETS, DIM)), "w": rng.normal(0, 0.5, (DIM, 2)), "b": np.array([0.0, -4.0])}
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
-
-    def logits() -> np.ndarray:
-        weight = params["E"] @ (params["w"][:, 1] - params["w"][:, 0])
-        return sum(np.bincount(owner, weight[bucket], n_words) for bucket, owner in bags) / grams + params["b"][1] - params["b"][0]
-
-    for epoch in range(1, EPOCHS + 1):
-        z, part = smooth_maximum(logits()[of_word], counts, of_text, len(y))
-        z = np.where(np.isfinite(z), z, 0.0)
-        off = share * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        per_word = np.bincount(of_word, off[of_text] * part, n_words)
-        share_of = per_word / grams
-        per_bucket = sum(np.bincount(bucket, share_of[owner], BUCKETS) for bucket, owner in bags)
-        toward = params["w"][:, 1] - params["w"][:, 0]
-        g_w = params["E"].T @ per_bucket
-        grads = {"E": per_bucket[:, None] * toward + DECAY / BUCKETS * params["E"], "w": np.stack([-g_w, g_w], axis=1), "b": np.array([-1.0, 1.0]) * off.sum()}
-        for k, g in grads.items():
-            m, v = moments[k]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            params[k] -= RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-6)
-
-    weight = params["E"] @ (params["w"][:, 1] - params["w"][:, 0])
-    top = smooth_maximum(logits()[of_word], counts, of_text, len(y))[0]
-    held = tuning & np.isfinite(top) if (tuning & np.isfinite(top)).any() else np.isfinite(top)
-    scale, middle = _calibrated(top[held], y[held], rest)
-    return Model(weight, float(params["b"][1] - params["b"][0]), scale, middle)
-
-
-def _calibrated(z: np.ndarray, y: np.ndarray, rest: float) -> tuple[float, float]:
-    """The middle of the gap at which F1 is best, and a scale by the spread of the logits."""
-    order = np.argsort(-z)
-    hits, alarms = np.cumsum(y[order]), np.cumsum(1 - y[order])
-    f1 = 2 * hits / (hits + rest * alarms + max(1, y.sum()))
-    best = int(np.argmax(f1))
-    after = z[order][min(best + 1, len(z) - 1)]
-    return 4.0 / max(float(z.std()), 1e-3), float((z[order][best] + after) / 2)
+    part_of = np.empty(len(y), int)
+    for k in (0, 1):  # each part has its share of either class
+        own = np.flatnonzero(y == k)
+        part_of[own] = rng.permutation(len(own)) % PARTS
+
+    def fitted(chosen: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """Each bucket's weight and the bias, learned from the chosen texts, and the logits of all texts."""
+        start = np.random.default_rng(seed)
+        share = np.where(y == 1, 0.5 / max(1, (y * chosen).sum()), 0.5 / max(1, ((1 - y) * chosen).sum())) * chosen
+        params = {"E": start.normal(0, 0.1, (BUCKETS, DIM)), "w": start.normal(0, 0.5, (DIM, 2)), "b": np.array([0.0, -4.0])}
+        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
+        used = np.zeros(n_words, bool)
+        used[of_word[chosen[of_text]]] = True
+        known = np.zeros(BUCKETS, bool)
+        for bucket, owner in bags:
+            known[bucket[used[owner]]] = True
+
+        def logits() -> np.ndarray:
+            weight = np.where(known, params["E"] @ (params["w"][:, 1] - params["w"][:, 0]), 0.0)  # n-grams that were never seen say nothing
+            return sum(np.bincount(owner, weight[bucket], n_words) for bucket, owner in bags) / grams + params["b"][1] - params["b"][0]
+
+        for epoch in range(1, EPOCHS + 1):
+            z, part = smooth_maximum(logits()[of_word], counts, of_text, len(y))
+            z = np.where(np.isfinite(z), z, 0.0)
+            off = share * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
+            share_of = np.bincount(of_word, off[of_text] * part, n_words) / grams
+            per_bucket = sum(np.bincount(bucket, share_of[owner], BUCKETS) for bucket, owner in bags)
+            toward = params["w"][:, 1] - params["w"][:, 0]
+            g_w = params["E"].T @ per_bucket
+            grads = {"E": per_bucket[:, None] * toward + DECAY / BUCKETS * params["E"], "w": np.stack([-g_w, g_w], axis=1), "b": np.array([-1.0, 1.0]) * off.sum()}
+            for k, g in grads.items():
+                m, v = moments[k]
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                params[k] -= RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-6)
+        weight = np.where(known, params["E"] @ (params["w"][:, 1] - params["w"][:, 0]), 0.0)
+        return weight, float(params["b"][1] - params["b"][0]), smooth_maximum(logits()[of_word], counts, of_text, len(y))[0]
+
+    apart = np.full(len(y), -np.inf)  # each text's logit by the models that haven't seen it
+    for k in range(PARTS):
+        if 0 < y[part_of != k].sum() < (part_of != k).sum():
+            apart[part_of == k] = fitted(part_of != k)[2][part_of == k]
+    weight, bias, top = fitted(np.ones(len(y), bool))
+    if not np.isfinite(apart).any():  # one text of a class: nothing is held out
+        apart = top
+    told = np.isfinite(apart)
+    return Model(weight, bias, *_calibrated(apart[told], y[told], np.where(y[told] == 1, 1.0, rest)))
+
+
+def _calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset that put ``THRESHOLD`` where most more texts of label 1 than of label 0 are above it, in the middle of the gap; above all logits if nowhere."""
+    order = np.argsort(-z, kind="stable")
+    ranked, gain = z[order], np.cumsum((weight * np.where(y == 1, 1.0, -1.0))[order])
+    gain[:-1][ranked[:-1] == ranked[1:]] = -np.inf  # equal logits aren't told apart
+    best, spread = int(np.argmax(gain)), max(float(z.std()), 1e-3)
+    if gain[best] <= 0:
+        middle = float(ranked[0]) + spread
+    else:
+        middle = float(ranked[best] + ranked[best + 1]) / 2 if best + 1 < len(ranked) else float(ranked[-1]) - spread
+    scale = 4.0 / spread
+    return scale, float(np.log(THRESHOLD / (1 - THRESHOLD)) - scale * middle)
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -206,13 +227,14 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "scor
     """``docs`` with a score from 0 to 1."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.weight, model.bias, model.scale, model.offset))  # plain arrays, which need no copy of this package
     rows = docs.drop(out)
 
     def run(batches):
+        model = Model(*shared.value)
         for b in batches:
             column = b.column(b.schema.names.index(text))
-            scores = [shared.value.score(text_logits(t, shared.value)) for _, _, t in slices(column, lower=True)]
+            scores = [model.score(text_logits(t, model)) for _, _, t in slices(column, lower=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([*scores, np.empty(0)]))], names=[*b.schema.names, out])
 
     return mapped(rows, run, f"`{out}` double")

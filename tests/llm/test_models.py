@@ -1,8 +1,12 @@
 """Operators with numpy in tasks, against brute force."""
 
+import os
 import re
+import subprocess
+import sys
 import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -337,3 +341,53 @@ def test_copies_of_a_page_are_no_template(spark):
     df = spark.createDataFrame([(i, "http://h.org/x", mirror) for i in range(8)] + [(9, "http://h.org/y", "<p>other</p>")], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
     assert got == dict.fromkeys(range(8), "A story of some length and its end") | {9: "other"}
+
+
+def test_score_is_the_smooth_maximum_of_word_averages():
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(0, 1, toxicity.BUCKETS), -1.5, 0.7, 0.2)
+    texts = ["You FOOL, stop it now", "a", "", None, "??", "é漢 und so weiter " * 50, "x" * 300]
+    grams = lambda w, n: [toxicity._gram_buckets(np.frombuffer(g, np.uint8), n)[0] for g in (w[i : i + n] for i in range(len(w) - n + 1))]
+    want = []
+    for t in texts:
+        logits = []
+        for word in alnum(t):
+            edged = b" " + word.encode() + b" "
+            own = [model.weight[g] for n in toxicity.GRAMS for g in grams(edged, n)]
+            logits.append(sum(own) / max(1, len(own)) + model.bias)
+        sharp = toxicity.SHARPNESS
+        z = np.log(sum(np.exp(sharp * x) for x in logits)) / sharp if logits else None
+        want.append(0.0 if z is None else 1 / (1 + np.exp(-(model.scale * z + model.offset))))
+    got = np.concatenate([model.score(toxicity.text_logits(t, model)) for _, _, t in slices(pa.array(texts), lower=True)])
+    assert np.allclose(got, want)
+
+
+def test_the_threshold_lies_where_most_more_toxic_texts_are_above():
+    score = lambda z, y: toxicity.Model(np.zeros(1), 0, *toxicity._calibrated(np.array(z, float), np.array(y, float), np.ones(len(z)))).score(np.array(z, float))
+    assert (score([5, 4, 3, 0, -1], [1, 1, 0, 0, 0]) >= 0.7).tolist() == [True, True, False, False, False]
+    assert not (score([5, 4, 3], [0, 1, 0]) >= 0.7).any()  # no cut gains
+    assert not (score([2, 2, 2, 1], [1, 0, 0, 0]) >= 0.7).any()  # equal logits stay together
+    assert (score([1, 2], [1, 1]) >= 0.7).all()
+
+
+OUTSIDE = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.checkpoint.dir", {shared!r}).config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from postmill.llm import decontamination, toxicity
+docs = spark.createDataFrame([(1, "you damn fool", "en"), (2, "a fine day for all of them", "en"), (3, "damn fools", "en"), (4, "damn fool there", "en"), (5, "quite fine", "en")], "doc_id int, text string, lang string")
+bench = spark.createDataFrame([(1, "a fine day for all of them")], "item_id int, text string")
+labels = spark.createDataFrame([(n, int(n in (1, 3, 4))) for n in range(1, 6)], "doc_id int, toxic int")
+assert [r["doc_id"] for r in decontamination.find_contamination(docs, bench).where("contaminated").collect()] == [2]
+assert toxicity.score(docs, toxicity.train_on(docs, labels)).count() == 5
+print("well")
+"""
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """From a folder and with a path that workers don't have."""
+    code = OUTSIDE.format(repo=str(Path(__file__).parents[2]), shared=f"file://{tmp_path}")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert run.stdout.strip().endswith("well"), run.stderr[-3000:]
