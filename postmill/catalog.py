@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .functions import detect, text
+from .functions import dates, detect, identifiers, json_text, money, text
 from .operators import grids, lines, records, relational, spam
 
 FLAGSHIP = "message_detections"
-_MODULES: tuple = (relational, records, lines, grids, text, detect, spam)
+_MODULES: tuple = (relational, records, lines, grids, text, dates, money, identifiers, json_text, detect, spam)
 
 
 def queries() -> dict:

@@ -1,20 +1,24 @@
 import hashlib
 import hmac
+import json
+import random
+import re
 
 from pyspark.sql import functions as F
 
-from postmill.functions import detect
+from postmill.functions import dates, detect, identifiers, json_text, money
+from postmill.functions import spans as S
 from postmill.functions import text as T
 
 
 def test_amounts_dates_ids_phones(spark):
-    said = "Re $1,234.50 and 45,00 EUR- no, (EUR 12) and 1'234 CHF; call +49 30 1234567 or 12345. Order #A-77, tracking 1Z999AA10123456784. On 12/31/2023, 01/02/2024 and 3. März 2024, May 5, 2024, 31.02.2024"
+    said = "Re $1,234.50 and 45,00 EUR- no, (EUR 12) and 1'234 CHF; call +49 30 123456 or 12345. Order #A-77, tracking 1Z999AA10123456784. On 12/31/2023, 01/02/2024 and 3. März 2024, May 5, 2024, 31.02.2024"
     df = spark.createDataFrame([(said,), (None,), ("",)], "t string")
     rows = df.select(detect.amounts(F.col("t")).alias("a"), detect.dates(F.col("t")).alias("d"), detect.ids(F.col("t")).alias("i"), detect.phones(F.col("t")).alias("p")).collect()
-    assert [(a["value"], a["currency"]) for a in rows[0]["a"]] == [(1234.5, "USD"), (45.0, "EUR"), (-12.0, "EUR"), (1234.0, "CHF")]
-    assert [str(d["value"]) for d in rows[0]["d"]] == ["2023-12-31", "2024-01-02", "2024-03-03", "2024-05-05"]
+    assert [(a["value"], a["currency"]) for a in rows[0]["a"]] == [(1234.5, "USD"), (-45.0, "EUR"), (-12.0, "EUR"), (1234.0, "CHF")]
+    assert [str(d["value"]) for d in rows[0]["d"]] == ["2023-12-31", "2024-02-01", "2024-03-03", "2024-05-05"]  # a vote each way: days first
     assert {(i["kind"], i["value"]) for i in rows[0]["i"]} == {("order_number", "A-77"), ("tracking_number", "1Z999AA10123456784")}
-    assert rows[0]["p"] == ["+49 30 1234567"]
+    assert rows[0]["p"] == ["+49 30 123456"]
     assert rows[2]["a"] == rows[2]["d"] == rows[2]["i"] == rows[2]["p"] == []
 
 
@@ -47,7 +51,7 @@ def test_types(spark):
     assert [(r["t"], r["got"]) for r in df.collect() if r["got"] != r["want"]] == []
     for pattern in (p for ps in T.TYPE_PATTERNS.values() for p in ps):
         assert len(T._sure_part(pattern)) >= 2
-    seen = df.limit(1).select(detect.detect(F.lit("Hi"), F.lit("tracking no. AB-1"), F.lit(0)).alias("a"), detect.detect(F.lit("Hi"), F.lit("see file"), F.lit(0), F.array(F.struct(F.lit("text/calendar").alias("content_type"), F.lit("x.ics").alias("filename")))).alias("b")).first()
+    seen = df.limit(1).select(detect.detect(F.lit("Hi"), F.lit("tracking no. AB-12345"), F.lit(0)).alias("a"), detect.detect(F.lit("Hi"), F.lit("see file"), F.lit(0), F.array(F.struct(F.lit("text/calendar").alias("content_type"), F.lit("x.ics").alias("filename")))).alias("b")).first()
     assert (seen["a"]["type"], seen["b"]["type"]) == ("shipping", "calendar")
 
 
@@ -55,3 +59,87 @@ def test_repeated_amounts_and_long_texts(spark):
     text = " and ".join(f"EUR {i % 500}.50" for i in range(4000))
     found = spark.createDataFrame([(text,)], "t string").select(detect.amounts(F.col("t")).alias("a")).first()["a"]
     assert [a["value"] for a in found] == [i + 0.5 for i in range(500)]
+
+
+def column(spark, texts, of, *more):
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    return [r["x"] for r in rows.select("n", of(F.col("t"), *more).alias("x")).orderBy("n").collect()]
+
+
+def test_spans_tell_places(spark):
+    texts = ["ab12 c3", "", None, "7", "x\x01 5 é漢\U0001f600 66", "1 " * 3000]
+    found = column(spark, texts, lambda t: S.spans(t, "([0-9])([0-9]?)", 2))
+    assert [[(s["start"], s["end"], s["raw"]) for s in x] for x in found[:5]] == [[(m.start(), m.end(), m[0]) for m in re.finditer("[0-9][0-9]?", t or "")] for t in texts[:5]]
+    assert [s["start"] for s in found[5]] == list(range(0, 6000, 2))
+    assert [list(s["groups"]) for s in found[0]] == [["1", "2"], ["3", ""]]
+
+
+def test_covered_spans_go(spark):
+    rng = random.Random(8)
+    spans = [(a, a + rng.randrange(1, 9), n) for n, a in enumerate(rng.randrange(60) for _ in range(700))]
+    df = spark.createDataFrame([([(a, b, n) for a, b, n in spans],)], "s array<struct<start:int,end:int,no:int>>")
+    got = [tuple(x) for x in df.select(S.apart(F.col("s"), "no").alias("s")).first()["s"]]
+    inside = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and (y[1] - y[0] > x[1] - x[0] or y[2] < x[2])
+    assert got == sorted(x for x in spans if not any(inside(x, y) for y in spans))
+
+
+def test_date_forms(spark):
+    probes = ["3. März 2024", "2024/03/05", "March 5th, 2024", "5 mars 2024", "12.3.24", "2024-03-05T10:00:00Z", "31/12/2024", "due 7 sept. 99", "8. August", "on 2024-13-01 or 30.02.2024", "a1.2.2024", "10-11-2023", "3/4/123", None, ""]
+    found = column(spark, probes, dates.dates, None, F.lit(2031))
+    assert [[(str(d["value"]), d["confidence"], d["ambiguous"]) for d in x] for x in found] == [
+        [("2024-03-03", 0.98, False)], [("2024-03-05", 0.95, False)], [("2024-03-05", 0.98, False)], [("2024-03-05", 0.98, False)], [("2024-03-12", 0.8, True)], [("2024-03-05", 0.99, False)],
+        [("2024-12-31", 0.97, False)], [("1999-09-07", 0.98, False)], [("2031-08-08", 0.65, False)], [], [], [("2023-11-10", 0.55, True)], [], [], [],
+    ]
+    said = "Paid Sep 8, 2026. Sent 2026-08-25, and 8. September 2026 or 25/12/2026; then 03/04/2026 and 03/04/2026."
+    (whole,) = column(spark, [said], dates.dates)
+    assert [(str(d["value"]), d["raw"]) for d in whole] == [("2026-09-08", "Sep 8, 2026"), ("2026-08-25", "2026-08-25"), ("2026-09-08", "8. September 2026"), ("2026-12-25", "25/12/2026"), ("2026-04-03", "03/04/2026")]
+    assert all(said[d["start"] : d["end"]] == d["raw"] for d in whole) and whole[-1]["ambiguous"] and whole[-1]["confidence"] == 0.8
+
+
+def test_conventions(spark):
+    assert column(spark, ["mail.acme.de", "acme.us", "acme.com", "x.org", "x.io", "x.co.uk", "x.zz", "fr-CH", "en-US", "", None], dates.convention) == ["dmy", "mdy", None, None, None, "dmy", None, "dmy", "mdy", None, None]
+    for locale, want in (("acme.com", ("2026-09-08", 0.55)), ("acme.de", ("2026-09-08", 0.72)), ("acme.us", ("2026-08-09", 0.72))):
+        (found,) = column(spark, ["on 08/09/2026"], dates.dates, F.lit(locale))
+        assert (str(found[0]["value"]), found[0]["confidence"]) == want
+    (voted,) = column(spark, ["08/09/2026, 12/31/2025"], dates.dates, F.lit("acme.de"))
+    assert str(voted[0]["value"]) == "2026-08-09"  # the text's own dates speak before the sender
+
+
+def test_money_forms(spark):
+    said = ["Sum $9,876.50 / 9.876,50 € / EUR 21.75 / -$6.00 / ($14.00) / CHF 9’876.50 / 77 USD / £15 / 9 876,25 € / 55,00 EUR- / ¥14,700 / 21,25EUR", "C$30", "12 US$", "kr 500", "A$ 7 R$8 HK$9, 5 Kč, 6 zł; 3 Fr. and 11 ISK", "2  Lizenz      4        64,50 EUR     258,00 EUR", "Qty 1 $395.00", "no 12,50", None, ""]
+    found = [[(a["value"], a["currency"]) for a in x] for x in column(spark, said, money.amounts)]
+    assert found[0] == [(9876.5, "USD"), (9876.5, "EUR"), (21.75, "EUR"), (-6.0, "USD"), (-14.0, "USD"), (9876.5, "CHF"), (77.0, "USD"), (15.0, "GBP"), (9876.25, "EUR"), (-55.0, "EUR"), (14700.0, "JPY"), (21.25, "EUR")]
+    assert found[1:] == [[(30.0, "CAD")], [(12.0, "USD")], [(500.0, "SEK")], [(7.0, "AUD"), (8.0, "BRL"), (9.0, "HKD"), (5.0, "CZK"), (6.0, "PLN"), (3.0, "CHF"), (11.0, "ISK")], [(64.5, "EUR"), (258.0, "EUR")], [(395.0, "USD")], [], [], []]
+    places = column(spark, said[:1], money.all_amounts)[0]
+    assert all(said[0][a["start"] : a["end"]].strip() == a["raw"] for a in places)
+    assert column(spark, ["rmb", "Fr.", " kč", "R", "usd.", "x", None], T.currency) == ["CNY", "CHF", None, "ZAR", "USD", None, None]
+
+
+def test_quoted_identifiers(spark):
+    said = [
+        "Credit note CN-51 against invoice INV-62", "Gutschrift Nr. 5000123456\nBezug: Rechnung 8100998877", "Invoice INV-71\nTotal: 120.00 EUR", "Invoice illustration follows. Invoice #QZ0P5L7Q-0065. Order number: SO-1.",
+        "inv-881, invoice 2024, invoice 12.10.2024", "GM1234567890123 and 123456789012 shipped, Track it", "see 123456789012.", "USt-IdNr. DE123456789", "your account is fine; account no. 77-1", None, "",
+    ]
+    found = [[(i["kind"], i["value"], i["confidence"], i["referenced"]) for i in x] for x in column(spark, said, identifiers.ids)]
+    assert found[:2] == [[("invoice_number", "INV-62", 0.5, True), ("credit_note_number", "CN-51", 0.9, False)], [("invoice_number", "8100998877", 0.5, True), ("credit_note_number", "5000123456", 0.9, False)]]
+    assert found[2] == [("invoice_number", "INV-71", 0.9, False)]
+    assert found[3] == [("invoice_number", "QZ0P5L7Q-0065", 0.9, False), ("order_number", "SO-1", 0.9, False)]
+    assert found[4] == [("invoice_number", "INV-881", 0.9, False)]  # a glued label is part of the number
+    assert [x[1] for x in found[5]] == ["GM1234567890123", "123456789012"] and found[6] == []
+    assert found[7] == [("vat_id", "DE123456789", 0.9, False)] and found[8] == [("customer_number", "77-1", 0.9, False)] and found[9:] == [[], []]
+
+
+def test_phones_and_addresses(spark):
+    said = ["Tel: +1 555 234 5678", "Total $9,234.56 on 08/09/2026", "fax 030-123456, nr 030-123456", "(030) 123 45 67, 0049 30 123456", "12 34 56 78 USD", "2024-12-31 10", "card 1234 5678 9012 3456 7", None]
+    assert column(spark, said, identifiers.phones) == [["+1 555 234 5678"], [], ["030-123456"], ["(030) 123 45 67", "0049 30 123456"], [], [], [], []]
+    lines = ["Ship to:\nHauptstr. 5\n80331 München", "Jane Roe\n12 Elm Street\nSpringfield, IL 62704\nx", "Lange Gasse 3\n1010 Wien\n\nBaker St 7\nSW1A 1AA", "Gracht 9\nAmsterdam 1012 AB", "x@y.z 5\n80331 Ort", "no street\n80331 Ort", None]
+    assert column(spark, lines, identifiers.addresses) == [["Hauptstr. 5\n80331 München"], ["Jane Roe\n12 Elm Street\nSpringfield, IL 62704"], ["Lange Gasse 3\n1010 Wien", "Baker St 7\nSW1A 1AA"], ["Gracht 9\nAmsterdam 1012 AB"], [], [], []]
+
+
+def test_json_in_free_text(spark):
+    said = [
+        'Sure! ```json\n{"f":{"a":1}}\n```\nbye', '{"f":{"a":"he said \\"hi\\""}} and more', '{"f":{"a":1,},}', "nonsense", 'a "{" {"x":{"y":1},"k":2}', '{not} {"s":"}{","t":[1,{"u":2}]} {"v":1}', "{'a': 1}",
+        '[1, {"b": 2}]', '{"open": {"b": 2}', "", None, '{"a": "\\\\"} }',
+    ]
+    want = [{"f": {"a": 1}}, {"f": {"a": 'he said "hi"'}}, {"f": {"a": 1}}, None, {"x": {"y": 1}, "k": 2}, {"s": "}{", "t": [1, {"u": 2}]}, {"a": 1}, [1, {"b": 2}], {"b": 2}, None, None, {"a": "\\"}]
+    assert [x and json.loads(x) for x in column(spark, said, json_text.first_object)] == want
