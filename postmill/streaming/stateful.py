@@ -1,7 +1,7 @@
 """Stateful operators of a message feed, as Structured Streaming.
 
 Each keeps a bounded state for a key: a watermark bounds remembered ids, a bucket or a window is two
-numbers. The same folds run in a batch, so tests and replays agree with the stream.
+numbers, which a timer deletes once the key has been idle. The same folds run in a batch, so tests and replays agree with the stream.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from .. import _ship  # noqa: F401
 
@@ -69,28 +70,59 @@ def fixed_window(state: tuple[float, int] | None, times: list[float], most: int,
 
 
 Fold = Callable[[tuple | None, list[float]], tuple[tuple, list[bool]]]
+IDLE = 3600.0  #: Fixed value: seconds without a request after which a key is forgotten.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def limited(feed: DataFrame, key: str, fold: Fold, at: str = "ts") -> DataFrame:
-    """Rows (key, at, passed) of a feed or a table, by a fold over each key's requests in the order of time."""
-    kind = feed.schema[key].dataType.simpleString()
-    rows = feed.select(key, F.col(at).cast("timestamp").alias("at"))
+class Limits(StatefulProcessor):
+    """Folds each key's requests over a value state, and forgets a key by a timer, ``idle`` seconds of event time after its last request."""
+
+    def __init__(self, key: str, fold: Fold, idle: float):
+        self.key, self.fold, self.idle = key, fold, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.kept = handle, handle.getValueState("kept", "a double, b double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state, last = (tuple(self.kept.get()) if self.kept.exists() else None), 0.0
+        for frame in rows:  # of bounded size, each in its own order of time
+            times = frame["at"].sort_values()
+            state, passed = self.fold(state, [t.timestamp() for t in times])
+            last = max(last, times.iloc[-1].timestamp())
+            yield pd.DataFrame({self.key: key[0], "at": times.to_numpy(), "passed": passed})
+        self.kept.update(tuple(map(float, state)))
+        ends = max(int((last + self.idle) * 1000), timerValues.getCurrentWatermarkInMs() + 1)
+        for old in list(self.handle.listTimers()):
+            ends = max(ends, old)
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(ends)
 
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = pd.concat(list(batches))["at"].sort_values()
-        seconds = [t.timestamp() for t in times]
-        kept, passed = fold(tuple(state.get) if state.exists else None, seconds)
-        state.update(tuple(map(float, kept)))
-        yield pd.DataFrame({key: keys[0], "at": times.to_numpy(), "passed": passed})
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.kept.clear()
+        return iter(())
 
+
+def limited(feed: DataFrame, key: str, fold: Fold, at: str = "ts", idle: float = IDLE, late: str = "0 seconds") -> DataFrame:
+    """Rows (key, at, passed) of a feed or a table, by a fold over each key's requests in the order of time.
+
+    ``idle``: seconds without a request after which a key's state is as good as new, as a full bucket or a window that is over, so it is
+    forgotten. A table is cut at such pauses, so a task holds a key's requests between two of them and not all. In a stream, which needs the
+    RocksDB state store and sets it, requests that come more than ``late`` after others are dropped."""
+    spark, kind = feed.sparkSession, feed.schema[key].dataType.simpleString()
+    rows = feed.select(key, F.col(at).cast("timestamp").alias("at"))
+    shape = f"`{key}` {kind}, at timestamp, passed boolean"
     if feed.isStreaming:
-        return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, at timestamp, passed boolean", "a double, b double", "append", GroupStateTimeout.NoTimeout)
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+        return rows.withWatermark("at", late).groupBy(key).transformWithStateInPandas(Limits(key, fold, idle), shape, "append", "EventTime")
+    by_key = Window.partitionBy(key).orderBy("at")
+    paused = F.coalesce(F.col("at").cast("double") - F.lag("at").over(by_key).cast("double") > idle, F.lit(False))
+    cut = rows.withColumn("__paused", paused).withColumn("__run", F.sum(F.col("__paused").cast("int")).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
 
     def whole(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("at")
-        return b.assign(passed=fold(None, [t.timestamp() for t in b["at"]])[1])
+        return b.assign(passed=fold(None, [t.timestamp() for t in b["at"]])[1])[[key, "at", "passed"]]
 
-    return rows.groupBy(key).applyInPandas(whole, f"`{key}` {kind}, at timestamp, passed boolean")
+    return cut.groupBy(key, "__run").applyInPandas(whole, shape)
 
 
 def item_action(attempts: int, size: int, seen: bool, duplicate: bool, error: str | None, most: int = 25 << 20) -> str:
