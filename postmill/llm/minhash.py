@@ -5,15 +5,16 @@ Nodes are the distinct sets of shingles, so copies are one node. A signature hol
 its bucket. A band's length grows with the number of documents, and the bands are as many as leave a
 pair at the threshold without a bucket with a probability of ``MISS`` at most.
 
-A bucket never gives out its pairs. First each member meets the bucket's least node alone; of the centres whose
-signature agrees, a member is held against the likeliest one on full sets, and large-star and small-star
-rounds turn confirmed links into components. What is left are members outside of their bucket's main component. They meet
-all members of other components, by signature, in cells of at most ``CHUNK`` by ``CHUNK``; each gives out its likeliest
-partners, then the next ones, in windows that grow until none is left, with new components after each. So groups of copies
-cost as many comparisons as they have members, and no link between different components is passed over.
+A bucket never gives out its pairs. First each member meets the bucket's least node alone: of the centres whose
+signature agrees, a member is held against the likeliest one on full sets, then against the others that it isn't joined with yet;
+large-star and small-star rounds turn confirmed links into components. What is left are members outside of their
+bucket's largest component. They meet its members in cells of at most ``CHUNK`` by ``CHUNK``; signatures tell which
+rows have a likely partner, and of these full sets tell the links, of which one for each stranger and component comes out. So groups
+of copies cost as many comparisons as they have members, what a cell gives out grows with its rows, and no link between different
+components is passed over.
 
-Full sets (64-bit hashes of shingles) are made from the texts again, only for nodes with a likely partner, and move once: to the
-centre that they are held against. A centre with many members is repeated, its members dealt over its copies.
+Full sets (64-bit hashes of shingles) are made from the texts again, only for nodes with a likely partner. A centre with many
+members is repeated, its members dealt over its copies.
 
 Defined results: a null text, and one without words, has an empty set and is linked with nothing, not even its equals; a text of one
 word is one shingle; equal rows give equal rows; a component whose ids are all null has a null id, and its rows are kept; rows
@@ -39,9 +40,9 @@ from .simhash import components
 SHINGLE, PERCENT = 2, 80  #: Fixed values of the contract.
 MISS = 1e-7  # probability that a pair at the threshold shares no bucket
 ROWS = ((1 << 22, 5), (1 << 28, 6), (1 << 36, 8))  # documents up to which a band has so many minima; 10 beyond
-DEVIATIONS = 6  # a signature's estimate may be so many standard deviations below the threshold
+DEVIATIONS = 5  # a signature's estimate may be so many standard deviations below the threshold
 CHUNK = 1024
-WINDOW = 16
+FILTER_BITS = 1 << 27  # of the bitmap that is broadcast: 16 MB at most
 RUN = 1 << 16  # shingles hashed at a time
 
 
@@ -143,12 +144,12 @@ class _Search:
         # One row stands for a set; the digests are held against the set that is made of its text again.
         nodes = self.prints.where("n > 0").groupBy("s1", "s2").agg(F.max("n").alias("n"), F.max("sig").alias("sig"), F.min("row_key").alias("row_key"), F.min("id").alias("least_id"), F.count("*").alias("copies"))
         self.nodes = written(self.spark, nodes.withColumn("node", F.monotonically_increasing_id()), "sets")
-        self.n_nodes, self.edges = self.nodes.count(), None
+        self.n_nodes, self.edges, self.sets = self.nodes.count(), None, None
 
     def buckets(self) -> DataFrame:
-        """(key, node, center, n): members of all buckets of two or more."""
-        keys = [F.xxhash64(F.lit(b), F.substring("sig", 4 * self.band_rows * b + 1, 4 * self.band_rows)) for b in range(self.bands)]
-        banded = self.nodes.select("node", F.explode(F.array(*keys)).alias("key"))
+        """(key, band, node, center, n): members of all buckets of two or more."""
+        keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("sig", 4 * self.band_rows * b + 1, 4 * self.band_rows)).alias("key")) for b in range(self.bands)]
+        banded = self.nodes.select("node", F.inline(F.array(*keys)))
         shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("center")).where("n > 1")
         shared = written(self.spark, shared, "buckets")
         return written(self.spark, spread_join(banded, shared, "key", total=self.n_nodes * self.bands, heavy=shared.select("key", "n")), "members")
@@ -171,6 +172,41 @@ class _Search:
 
         return written(self.spark, sides.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u bigint, v bigint, agree double"), "likely")
 
+    def add_sets(self, wanted: DataFrame) -> None:
+        """Makes the sets of nodes that haven't any yet, from the texts again.
+
+        Tasks pass over texts that no wanted row can be, by a bitmap of at most ``FILTER_BITS``; what it lets through by chance goes in the join."""
+        wanted = wanted.distinct() if self.sets is None else wanted.distinct().join(self.sets.select("node"), "node", "left_anti")
+        wanted = written(self.spark, wanted.join(self.nodes.select("node", "row_key", "s1", "s2"), "node"), "wanted")
+        if wanted.isEmpty():
+            return
+        bit = F.pmod(F.xxhash64("row_key"), F.lit(FILTER_BITS))
+        maps = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("map")).collect()
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for r in maps:  # buckets of 32,768 bits; both count from 1
+            own = np.frombuffer(r["map"], np.uint8)
+            bits[(r["no"] - 1) * 4096 : (r["no"] - 1) * 4096 + len(own)] = own
+        shared, size = self.spark.sparkContext.broadcast(bits), self.size
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = b["bit"].to_numpy()
+                b = b.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+                for lo, hi, t in slices(b["text"], lower=True):
+                    whole, first = shingle_sets(t, size)
+                    s1, s2 = digests(whole, first)
+                    yield pa.RecordBatch.from_arrays([b["row_key"][lo:hi], pa.array(s1), pa.array(s2), _binary(whole, first * 8)], names=["row_key", "of1", "of2", "set"])
+
+        found = self.rows.select("row_key", bit.alias("bit"), "text").mapInArrow(sets, "row_key bigint, of1 bigint, of2 bigint, set binary")
+        found = found.groupBy("row_key", "of1", "of2").agg(F.first("set").alias("set"))  # repeated rows become one before they move
+        made = found.join(wanted.withColumnRenamed("row_key", "__key"), (F.col("row_key") == F.col("__key")) & (F.col("of1") == F.col("s1")) & (F.col("of2") == F.col("s2"))).select("node", "set")
+        made = written(self.spark, made, "node-sets")
+        self.sets = made if self.sets is None else self.sets.unionByName(made)
+
+    def add_edges(self, found: DataFrame) -> None:
+        found = written(self.spark, found, "links")
+        self.edges = found if self.edges is None else self.edges.unionByName(found)
+
     def confirm(self, pairs: DataFrame) -> None:
         """Adds the pairs (u, v) that full sets confirm: each v is held against its u."""
         pairs = written(self.spark, pairs, "asked")
@@ -181,18 +217,7 @@ class _Search:
         members = pairs.join(hot, F.col("u") == F.col("hot"), "left").select(F.col("v").alias("node"), "u", salt.alias("salt"), F.lit(True).alias("member"))
         own = centers.select(F.col("u").alias("node"), "u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
         places = members.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("u", "salt", "member")).alias("places"))
-        wanted = places.join(self.nodes.select("node", "row_key", "s1", "s2"), "node").withColumnRenamed("row_key", "__key")
-        texts = self.rows.select("row_key", "text").groupBy("row_key").agg(F.first("text").alias("text"))  # repeated rows become one before they move
-        found = texts.join(wanted, F.col("row_key") == F.col("__key")).select("node", "s1", "s2", "places", "text")
-        size, percent = self.size, self.percent
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo, hi, t in slices(b["text"], lower=True):
-                    whole, first = shingle_sets(t, size)
-                    s1, s2 = digests(whole, first)
-                    same = (s1 == b["s1"][lo:hi].to_numpy()) & (s2 == b["s2"][lo:hi].to_numpy())
-                    yield pa.RecordBatch.from_arrays([b["node"][lo:hi], b["places"][lo:hi], _binary(whole, first * 8)], names=["node", "places", "set"]).filter(pa.array(same))
+        percent = self.percent
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Sets sorted by place, a centre before its members."""
@@ -210,10 +235,8 @@ class _Search:
                             u.append(cu), v.append(node)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-        whole = found.mapInArrow(sets, "node bigint, places array<struct<u: bigint, salt: int, member: boolean>>, set binary")
-        dealt = whole.select("node", "set", F.inline("places")).repartition("u", "salt").sortWithinPartitions("u", "salt", "member")
-        confirmed = written(self.spark, dealt.select("u", "salt", "member", "node", "set").mapInArrow(compare, "u bigint, v bigint"), "links")
-        self.edges = confirmed if self.edges is None else self.edges.unionByName(confirmed)
+        dealt = self.sets.join(places, "node").select("node", "set", F.inline("places")).repartition("u", "salt").sortWithinPartitions("u", "salt", "member")
+        self.add_edges(dealt.select("u", "salt", "member", "node", "set").mapInArrow(compare, "u bigint, v bigint"))
 
     def roots(self) -> DataFrame:
         """(node, root) of the nodes that confirmed links join so far."""
@@ -224,59 +247,106 @@ class _Search:
         for side in "uv":
             own = roots.select(F.col("node").alias(f"of_{side}"), F.col("root").alias(f"root_{side}"))
             pairs = pairs.join(own, F.col(side) == F.col(f"of_{side}"), "left")
-        return pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v").distinct()
+        return pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+    def cells(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+        """(key, band, i, j, partner, node, root): the buckets of three or more that are of several components, in cells of at most ``CHUNK`` strangers by ``CHUNK`` members.
 
-    def open_members(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """(key, n, strangers, node, stranger): members of the buckets of three or more that are of several components; strangers are those outside the largest."""
-        of = members.where("n > 2").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        Strangers are the members outside a bucket's largest component. So its pairs within that component are in no cell."""
+        of = members.where("n > 2").join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
         parts = of.groupBy("key", "root").agg(F.count("*").alias("size"))
         main = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("n"))
         main = written(self.spark, main.where("main.size < n").select("key", "n", F.col("main.root").alias("main"), (F.col("n") - F.col("main.size")).alias("strangers")), "open")
-        joined = spread_join(of.select("key", "node", "root"), main, "key", total=members.count(), heavy=main.select("key", "n"))
-        return written(self.spark, joined.select("key", "n", "strangers", "node", (F.col("root") != F.col("main")).alias("stranger")), "strangers")
-
-    def next_partners(self, opened: DataFrame, roots: DataFrame, lo: int, hi: int) -> DataFrame:
-        """(u, v) of strangers and their likely partners of places lo to hi - 1 by agreement, if their components differ; a row of nulls where there are later places."""
+        opened = spread_join(of, main, "key", total=members.count(), heavy=main.select("key", "n"))
+        opened = written(self.spark, opened.select("key", "band", "n", "strangers", "node", "root", (F.col("root") != F.col("main")).alias("stranger")), "opened")
         ceil = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
         every = lambda n: F.sequence(F.lit(0), ceil(n) - 1)
         own = lambda n: F.pmod(F.xxhash64("node"), ceil(n)).cast("int")
-        asking = opened.where("stranger").select("key", own("strangers").alias("i"), F.explode(every("n")).alias("j"), F.lit(False).alias("partner"), "node")
-        asked = opened.select("key", F.explode(every("strangers")).alias("i"), own("n").alias("j"), F.lit(True).alias("partner"), "node")
-        named = asking.unionByName(asked).join(roots, "node", "left").select("key", "i", "j", "partner", "node", F.coalesce("root", "node").alias("root"))
-        cells = spread_join(named, self.nodes.select("node", "n", "sig"), "node", total=opened.count() * 2)
-        hashes, percent, least = self.hashes, self.percent, least_agreement(self.hashes, self.percent)
-
-        def pairs_of(rows: pa.Table) -> list[tuple]:
-            partner, node, root, n = (rows[c].to_numpy() for c in ("partner", "node", "root", "n"))
-            sig, out, more = _matrix(rows["sig"].combine_chunks(), hashes), [], False
+        asking = opened.where("stranger").select("key", "band", own("strangers").alias("i"), F.explode(every("n")).alias("j"), F.lit(False).alias("partner"), "node", "root")
+        asked = opened.select("key", "band", F.explode(every("strangers")).alias("i"), own("n").alias("j"), F.lit(True).alias("partner"), "node", "root")
+        return asking.unionByName(asked)
+
+    def likely_cells(self, cells: DataFrame) -> DataFrame:
+        """The rows of cells that have a likely partner in another component there. A pair counts in the first band it shares alone."""
+        total, hashes, percent, least, width = cells.count(), self.hashes, self.percent, least_agreement(self.hashes, self.percent), self.band_rows
+        signed = spread_join(cells, self.nodes.select("node", "n", "sig"), "node", total=total)
+
+        def keep(rows: pa.Table) -> np.ndarray:
+            partner, node, root, n, band = (rows[c].to_numpy() for c in ("partner", "node", "root", "n", "band"))
+            sig, kept = _matrix(rows["sig"].combine_chunks(), hashes), np.zeros(len(node), bool)
             others = np.flatnonzero(partner)
             for x in np.flatnonzero(~partner):
-                sized = others[(100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x])) & (node[others] != node[x])]
-                agree = (sig[sized] == sig[x]).mean(axis=1)
-                near = agree >= least
-                ranked = sized[near][np.lexsort((node[sized[near]], -agree[near]))]
-                out += [(int(min(node[x], node[y])), int(max(node[x], node[y]))) for y in ranked[lo:hi] if root[y] != root[x]]
-                more |= bool((root[ranked[hi:]] != root[x]).any())
-            return out + [(None, None)] * more
+                some = others[(root[others] != root[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))]
+                same = sig[some] == sig[x]
+                near = same.mean(axis=1) >= least
+                some, same = some[near], same[near]
+                first = np.argmax(same[:, : self_bands * width].reshape(len(some), self_bands, width).all(axis=2), axis=1)
+                hit = some[first == band[x]]
+                kept[hit] = True
+                kept[x] |= len(hit) > 0
+            return kept
+
+        self_bands = self.bands
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Cells one after another."""
-            kept = None
-            for b in batches:
-                rows = pa.Table.from_batches([b])
-                kept = rows if kept is None else pa.concat_tables([kept, rows])
-                cell = np.stack([kept[c].to_numpy() for c in ("key", "i", "j")])
-                cuts = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
-                yield batch([p for at, to in zip([0, *cuts], cuts, strict=False) for p in pairs_of(kept.slice(at, to - at))])
-                kept = kept.slice(cuts[-1] if len(cuts) else 0)
-            if kept is not None and kept.num_rows:
-                yield batch(pairs_of(kept))
+            for rows in _by_cell(batches):
+                yield from rows.select(_CELL).filter(pa.array(keep(rows))).combine_chunks().to_batches()
+
+        dealt = signed.select(*_CELL, "n", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "partner", "node")
+        return written(self.spark, dealt.mapInArrow(run, "key bigint, band int, i int, j int, partner boolean, node bigint, root bigint"), "likely-cells")
+
+    def confirm_cells(self, cells: DataFrame) -> None:
+        """Adds, for each stranger of a cell and each other component there, the first link that full sets confirm."""
+        percent = self.percent
+        whole = spread_join(cells, self.sets, "node", total=cells.count())
+
+        def links(rows: pa.Table) -> Iterator[tuple[int, int]]:
+            partner, node, root = (rows[c].to_numpy() for c in ("partner", "node", "root"))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["set"].combine_chunks()]
+            sizes = np.array([len(x) for x in sets])
+            others = np.flatnonzero(partner)
+            for x in np.flatnonzero(~partner):
+                own = sets[x]
+                some = others[(root[others] != root[x]) & (100 * np.minimum(sizes[others], len(own)) >= percent * np.maximum(sizes[others], len(own)))]
+                if not len(some):
+                    continue
+                joined = np.concatenate([sets[y] for y in some])
+                hit = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
+                both = np.add.reduceat(hit, np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+                linked = some[100 * both >= percent * (sizes[some] + len(own) - both)]
+                for y in linked[np.unique(root[linked], return_index=True)[1]]:
+                    yield int(node[x]), int(node[y])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in _by_cell(batches):
+                pairs = list(links(rows))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        dealt = whole.select(*_CELL, "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "partner", "node")
+        self.add_edges(dealt.mapInArrow(run, "u bigint, v bigint"))
+
+
+_CELL = ["key", "band", "i", "j", "partner", "node", "root"]
 
-        def batch(pairs: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-        dealt = cells.select("key", "i", "j", "partner", "node", "root", "n", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "partner", "node")
-        return written(self.spark, dealt.mapInArrow(run, "u bigint, v bigint").distinct(), "partners")
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by cell, a cell at a time."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cell = np.stack([b[c].to_numpy() for c in ("key", "i", "j")])
+        cuts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            now = tuple(cell[:, lo].tolist())
+            if kept and now != last:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            kept.append(b.slice(lo, hi - lo))
+            last = now
+    if kept:
+        yield pa.Table.from_batches(kept)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -287,20 +357,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     search = _Search(rows, docs.count(), size, percent)
     members = search.buckets()
     likely = search.likely(members.where("node != center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct())
-    search.confirm(likely.groupBy("v").agg(F.max_by("u", F.struct("agree", "u")).alias("u")).select("u", "v"))
-    roots = search.roots()
-    rest = search.apart(likely, roots)  # other centres of members that aren't joined with them
-    opened, lo, hi = search.open_members(members, roots), 0, WINDOW
-    while True:
-        found = search.next_partners(opened, roots, lo, hi)
-        asked = rest.unionByName(search.apart(found.where("u IS NOT NULL"), roots)).distinct()
-        asked = written(spark, asked, "rest")
-        if not asked.isEmpty():
-            search.confirm(asked)
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    if not likely.isEmpty():
+        search.add_sets(likely.select(F.explode(F.array("u", "v")).alias("node")))
+        search.confirm(likely.groupBy("v").agg(F.max_by("u", F.struct("agree", "u")).alias("u")).select("u", "v"))
+        roots = search.roots()
+        rest = written(spark, search.apart(likely, roots), "rest")  # other centres of members that aren't joined with them
+        if not rest.isEmpty():
+            search.confirm(rest)
             roots = search.roots()
-        if found.where("u IS NULL").isEmpty():
-            break
-        rest, lo, hi = rest.limit(0), hi, 4 * hi
+    open_cells = search.likely_cells(search.cells(members, roots))
+    if not open_cells.isEmpty():
+        search.add_sets(open_cells.select("node"))
+        search.confirm_cells(open_cells)
+        roots = search.roots()
 
     rooted = search.nodes.select("node", F.struct("s1", "s2").alias("set"), "least_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(spark, rooted, "rooted")

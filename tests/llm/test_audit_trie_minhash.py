@@ -209,7 +209,7 @@ def test_minhash_groups(spark, odd_docs, monkeypatch, small):
         monkeypatch.setattr(_keys, "LEAST", 3)
         monkeypatch.setattr(_keys, "SHARES", 40)
         monkeypatch.setattr(minhash, "CHUNK", 3)
-        monkeypatch.setattr(minhash, "WINDOW", 1)
+        monkeypatch.setattr(minhash, "FILTER_BITS", 1 << 15)
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()] + near_copies() + [(3, "Idiot"), (500, "idiot"), (501, "a  B"), (502, "A b"), (503, "a b a b")]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, node string, n int")
     got = minhash.near_duplicates(docs)
