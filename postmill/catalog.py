@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .functions import dates, detect, identifiers, json_text, money, text
-from .operators import grids, lines, page_tables, records, relational, spam, text_tables
+from .operators import grids, lines, page_tables, records, relational, spam, suffixes, text_tables
 
 FLAGSHIP = "message_detections"
-_MODULES: tuple = (relational, records, lines, grids, text, dates, money, identifiers, json_text, detect, spam, text_tables, page_tables)
+_MODULES: tuple = (relational, records, lines, grids, text, dates, money, identifiers, json_text, detect, spam, suffixes, text_tables, page_tables)
 
 
 def queries() -> dict:

@@ -11,18 +11,18 @@ from ..sources.tables import table
 from . import spans as S
 from . import text as T
 
-_SYMBOLS = "|".join(re.escape(s) for s in sorted((s for s in T.SYMBOLS if s not in T.NO_LEXEME), key=len, reverse=True)).replace("Fr", r"Fr\.?")
-_CODES = "|".join(T.CODES)
+SYMBOLS = "|".join(re.escape(s) for s in sorted((s for s in T.SYMBOLS if s not in T.NO_LEXEME), key=len, reverse=True)).replace("Fr", r"Fr\.?")
+CODES = "|".join(T.CODES)  # patterns of both
 _GROUP = r"[.,’‘'" + S.SPACE[1:]
 _NUMBER = rf"[0-9]{{1,3}}(?:{_GROUP}[0-9]{{3}})+(?:[.,][0-9]{{1,4}})?|[0-9]+(?:[.,][0-9]{{1,4}})?"
 _WIDE = r"[ \u00a0\u202f]"
 #: A sign, then a currency at most three blanks before its number, or after it with no further number within two blanks, then a sign.
 MONEY = (
-    rf"((?:[-−]|\()?[  ]*)(?:({_SYMBOLS}|{_CODES}){_WIDE}{{0,3}}({_NUMBER})"
-    rf"|({_NUMBER}){_WIDE}{{0,3}}({_SYMBOLS}|{_CODES})(?!{_WIDE}{{0,2}}[0-9]))([-−)]?)"
+    rf"((?:[-−]|\()?[  ]*)(?:({SYMBOLS}|{CODES}){_WIDE}{{0,3}}({_NUMBER})"
+    rf"|({_NUMBER}){_WIDE}{{0,3}}({SYMBOLS}|{CODES})(?!{_WIDE}{{0,2}}[0-9]))([-−)]?)"
 )
 #: What any text with an amount holds.
-HINT = rf"[0-9](?s:.*)(?:{_SYMBOLS}|{_CODES})|(?:{_SYMBOLS}|{_CODES}){_WIDE}{{0,3}}[0-9]"
+HINT = rf"[0-9](?s:.*)(?:{SYMBOLS}|{CODES})|(?:{SYMBOLS}|{CODES}){_WIDE}{{0,3}}[0-9]"
 
 
 def all_amounts(text: Column) -> Column:
@@ -38,7 +38,7 @@ def all_amounts(text: Column) -> Column:
             F.regexp_replace(s["raw"], rf"^{S.SPACE}+|{S.SPACE}+$", "").alias("raw"), (s["start"] + lead).alias("start"), s["end"].alias("end"),
         )
 
-    some = F.when(text.rlike("[0-9]") & text.rlike(rf"{_SYMBOLS}|{_CODES}"), text).otherwise("")
+    some = F.when(text.rlike("[0-9]") & text.rlike(rf"{SYMBOLS}|{CODES}"), text).otherwise("")
     return F.filter(F.transform(S.spans(some, MONEY, 6), amount), lambda a: a["value"].isNotNull() & a["currency"].isNotNull())
 
 

@@ -72,8 +72,6 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
 #: Words that mean true and false.
 TRUE_WORDS = ("true", "yes", "y", "ja", "oui", "si", "1", "on", "paid", "confirmed", "x")
 FALSE_WORDS = ("false", "no", "n", "nein", "non", "0", "off", "unpaid", "none")
-#: Two-label public suffixes.
-SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.za", "co.in", "co.kr", "com.mx", "com.tr", "com.cn", "gov.uk", "net.au", "org.au")
 #: Phrases of subject or body that raise or lower a spam score, top-level domains that do, and hosts that shorten addresses.
 SPAM_PHRASES = (
     ("pharma", r"\bviagra\b|\bcialis\b", 1.5),
@@ -251,24 +249,18 @@ def id_hash(message_id: Column) -> Column:
     return F.substring(F.sha2(F.lower(F.trim(message_id)), 256), 1, 24)
 
 
-def org_domain(domain: Column) -> Column:
-    """The registered domain: two labels, or three where two are a public suffix."""
-    labels = F.split(F.lower(domain), r"\.")
-    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.lit(n)), ".")
-    return F.when(last(2).isin(*SECOND_LEVEL), last(3)).otherwise(last(2))
-
-
 #: Ceilings of confidence by how a value was found.
 CEILINGS = {"header": 0.95, "rule": 0.88, "both": 0.97, "cited_and_seen": 0.93, "cited": 0.85, "seen": 0.8, "bare": 0.55, "invented": 0.25, "disagreement": 0.5, "unanchored": 0.85, "nonsense": 0.55, "sums": 0.98}
 
 
-def confidence(source: Column, given: Column, ok: Column, seen: Column, disagree: Column, sums: Column, anchored: Column, sound: Column | None = None, stated: Column | None = None) -> Column:
+def confidence(source: Column, given: Column, ok: Column, seen: Column, disagree: Column, sums: Column, anchored: Column, sound: Column | None = None, stated: Column | None = None, own: Column | None = None) -> Column:
     """A value's confidence: the ceiling of its source, then what evidence, agreement and arithmetic allow.
 
-    ``sound``: false where a set of rows is nonsense. ``stated``: what the second extractor says of itself, which can only lower the result."""
+    ``own``: how sure the rule or header that found it is. ``sound``: false where a set of rows is nonsense. ``stated``: what the second extractor says of itself, which can only lower the result."""
     c = {k: F.lit(v) for k, v in CEILINGS.items()}
     second = F.when(given & ~ok, c["invented"]).when(ok & seen, c["cited_and_seen"]).when(ok, c["cited"]).when(seen, c["seen"]).otherwise(c["bare"])
-    top = F.when(source == "header", c["header"]).when(source == "rule", c["rule"]).when(source == "both", c["both"]).otherwise(second)
+    found = lambda most: most if own is None else F.least(most, own)  # noqa: E731  a null is passed over
+    top = F.when(source == "header", found(c["header"])).when(source == "rule", found(c["rule"])).when(source == "both", c["both"]).otherwise(second)
     top = F.when((source != "second") & given & ~ok, F.least(top * 0.5, c["invented"])).otherwise(top)
     top = F.when(disagree, F.least(top, c["disagreement"])).otherwise(top)
     top = F.when(sums.isNull(), top).when(sums, F.least(c["sums"], top + 0.03)).otherwise(top * 0.8)
@@ -416,10 +408,6 @@ def t61_to_amount(spark: SparkSession, d: str) -> DataFrame:
     return _number_texts(spark, d).select("o_orderkey", parse_number(F.regexp_extract(said, r"([0-9][0-9.,]*[0-9])", 1)).alias("amount"))
 
 
-def j19_org_domain(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", org_domain(F.regexp_extract("url", HOST, 1)).alias("org"))
-
-
 def s23_s25_delimiter(spark: SparkSession, d: str) -> DataFrame:
     """The delimiter that splits the lines of a text most evenly: ten times the lines like the median, and the median."""
     def judged(lines: Column, sep: str) -> Column:
@@ -586,8 +574,6 @@ ORACLE_SQL = {
     "t60_numeric_cells": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents), c AS (SELECT doc_id, no, list_transform(string_split(line, '|'), lambda x: trim(x, ' ')) AS cells FROM l WHERE contains(line, '|'))
         SELECT doc_id, CAST(no AS INT) AS no, CAST(len(cells) AS BIGINT) AS cells, CAST(len(list_filter(cells, lambda x: regexp_matches(x, '^[-+]?[0-9][0-9.,]*$'))) AS BIGINT) AS numeric, len(list_filter(cells, lambda x: regexp_matches(lower(x), '^(sub)?(total|summe|gesamt)'))) > 0 AS totals FROM c""",
     "t61_to_amount": _number_sql(f"regexp_extract('was ' || {_RAW} || ' in all', '([0-9][0-9.,]*[0-9])', 1)", "orders", "o_orderkey", "amount"),
-    "j19_org_domain": f"""WITH h AS (SELECT page_id, string_split(lower({_DOMAIN}), '.') AS l FROM pages), t AS (SELECT page_id, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three FROM h)
-        SELECT page_id, CASE WHEN two IN ({', '.join(map(_q, SECOND_LEVEL))}) THEN three ELSE two END AS org FROM t""",
     "s23_s25_delimiter": """WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents),
         c AS (SELECT doc_id, s, o, list_sort(list_transform(l, lambda x: length(x) - length(replace(x, s, '')))) AS c FROM l, (VALUES (',', 0), (';', -1), ('|', -2)) v(s, o)),
         m AS (SELECT *, c[CAST(floor(len(c) / 2) AS BIGINT) + 1] AS m FROM c), n AS (SELECT doc_id, s, o, CASE WHEN m > 0 THEN len(list_filter(c, lambda x: x = m)) * 10 + m ELSE 0 END AS n FROM m)

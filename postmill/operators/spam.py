@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import let, org_domain, spam_score
+from ..functions.text import let, spam_score
 from ..sources.tables import table
+from .suffixes import org_domain
 
 #: Points of the rules over envelope and headers.
 POINTS = {

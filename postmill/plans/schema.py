@@ -7,18 +7,22 @@ not ok, which is a flag of the row, never an error. Placeholders such as "N/A" a
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.dates import to_date
+from ..functions.money import CODES, SYMBOLS
 
 #: The types of fields.
 TYPES = ("string", "number", "integer", "boolean", "date", "datetime", "email", "url", "phone", "currency", "enum", "array", "object")
 MAX_FIELDS, MAX_DEPTH = 60, 2
 PLACEHOLDER = r"(?i)^\s*(n/?a|none|null|unknown|not (?:found|provided|specified|available)|-{1,3}|keine? angabe)?\s*$"
-AMOUNT = r"((?:USD|EUR|GBP|CHF|JPY|[$€£¥])\s{0,3}-?[0-9][0-9.,' ]*[0-9]|-?[0-9][0-9.,' ]*\s{0,3}(?:USD|EUR|GBP|CHF|JPY|[$€£¥]))"
+CURRENCY = f"({SYMBOLS}|{CODES})"
+AMOUNT = rf"((?:{SYMBOLS}|{CODES})\s{{0,3}}-?[0-9][0-9.,' ]*[0-9]|-?[0-9][0-9.,' ]*\s{{0,3}}(?:{SYMBOLS}|{CODES}))"
 
 
 class SchemaError(ValueError):
@@ -62,7 +66,7 @@ def _field(row: dict, depth: int) -> Field:
     return Field(name, kind, row.get("description", ""), row.get("hint", ""), bool(row.get("required")), tuple(row.get("options", ())), items, tuple(_field(f, depth + 1) for f in row.get("fields", ())))
 
 
-def _value(raw: Column, f: Field) -> Column:
+def _value(raw: Column, f: Field, day: Callable[[Column], Column]) -> Column:
     """The text ``raw`` as the field's type; null where it can't be."""
     s = F.trim(raw)
     match f.type:
@@ -75,9 +79,9 @@ def _value(raw: Column, f: Field) -> Column:
         case "boolean":
             return F.when(F.lower(s).isin(*T.TRUE_WORDS), F.lit(True)).when(F.lower(s).isin(*T.FALSE_WORDS), F.lit(False))
         case "date":
-            return T.iso_date(s)
+            return day(s)
         case "datetime":
-            return F.coalesce(*(F.try_to_timestamp(s, F.lit(x)) for x in ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm")), T.iso_date(s).cast("timestamp"))
+            return F.coalesce(*(F.try_to_timestamp(s, F.lit(x)) for x in ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm")), day(s).cast("timestamp"))
         case "email":
             return T.domain_lowered(F.nullif(F.regexp_extract(s, f"({T.EMAIL})", 1), F.lit("")))
         case "url":
@@ -90,7 +94,7 @@ def _value(raw: Column, f: Field) -> Column:
         case "currency":
             hit = F.nullif(F.regexp_extract(s, AMOUNT, 1), F.lit(""))
             amount = T.parse_number(F.coalesce(hit, s))
-            return F.when(amount.isNotNull(), F.struct(amount.alias("amount"), T.currency(F.regexp_extract(hit, r"(USD|EUR|GBP|CHF|JPY|[$€£¥])", 1)).alias("currency")))
+            return F.when(amount.isNotNull(), F.struct(amount.alias("amount"), T.currency(F.regexp_extract(hit, CURRENCY, 1)).alias("currency")))
         case "enum":
             exact = [F.when(F.lower(s) == o.lower(), F.lit(o)) for o in f.options]
             loose = [F.when(F.contains(F.lower(s), F.lit(o.lower())) | F.contains(F.lit(o.lower()), F.lower(s)), F.lit(o)) for o in f.options]
@@ -104,10 +108,10 @@ def _value(raw: Column, f: Field) -> Column:
             return F.when(entries.isNotNull(), F.struct(*(coerced(entries[x.name], x)["value"].alias(x.name) for x in f.fields)) if f.fields else entries)
 
 
-def coerced(raw: Column, f: Field) -> Column:
-    """struct(ok, value)"""
+def coerced(raw: Column, f: Field, day: Callable[[Column], Column] = to_date) -> Column:
+    """struct(ok, value). ``day`` reads dates, where they are known to be of one form."""
     none = raw.isNull() | raw.rlike(PLACEHOLDER)
-    value = F.when(~none, _value(raw, f))
+    value = F.when(~none, _value(raw, f, day))
     return F.struct((none | value.isNotNull()).alias("ok"), value.alias("value"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from postmill.operators import authentication as auth
+from postmill.operators import suffixes
 from postmill.sources import mailbox
 from postmill.streaming import sinks, stateful
 
@@ -176,3 +177,33 @@ def test_write_back_replaces_a_message_and_its_attachments(spark, tmp_path):
     assert now() == want
     out.attachments.replace_rows(spark.createDataFrame([(1, "torn")], "id int, name string"), 2)  # a batch that died half-way
     assert now() == want
+
+
+def test_spf_macros_and_names(spark):
+    dns = [
+        ("m.org", "TXT", ["v=spf1 exists:%{ir}.%{v}.%{d2}.x -all"]), ("4.3.2.1.in-addr.m.org.x", "A", ["127.0.0.2"]), ("l.org", "TXT", ["v=spf1 exists:%{L}.%{o}.ok exists:%{l1r-}.%{h}.ok2 -all"]), ("a-b%2Bc.l.org.ok", "A", ["127.0.0.2"]),
+        ("a.helo.ok2", "A", ["127.0.0.3"]), ("p.org", "TXT", ["v=spf1 ptr -all"]), ("4.3.2.1.in-addr.arpa", "PTR", ["mail.p.org.", "other.net"]), ("mail.p.org", "A", ["1.2.3.4"]), ("9.3.2.1.in-addr.arpa", "PTR", ["mail.p.org"]),
+        ("bad.org", "TXT", ["v=spf1 exists:%{x}.y -all"]), ("zero.org", "TXT", ["v=spf1 exists:%{d0}.y -all"]), ("six.org", "TXT", ["v=spf1 a:h6.org//64 exists:%{i}.six -all"]), ("h6.org", "AAAA", ["2001:db8::1"]),
+        (".".join("20010db9" + "0" * 23 + "7") + ".six", "A", ["127.0.0.2"]), ("esc.org", "TXT", ["v=spf1 exists:%%.%-.%{d}.z -all"]), ("%.%20.esc.org.z", "A", ["127.0.0.2"]), ("two.org", "TXT", ["v=spf1 redirect=m.org redirect=p.org"]), ("junk.org", "TXT", ["v=spf1 foo:bar -all"]),
+    ]
+    cases = [
+        ("1.2.3.4", "m.org", None, None, "pass"), ("1.2.3.5", "m.org", None, None, "fail"), ("1.2.3.4", "l.org", "a-b+c@l.org", None, "pass"), ("1.2.3.4", "l.org", "a-b@l.org", "helo", "pass"), ("1.2.3.4", "l.org", None, "helo", "fail"), ("1.2.3.4", "p.org", None, None, "pass"),
+        ("1.2.3.9", "p.org", None, None, "fail"), ("1.2.3.4", "bad.org", None, None, "permerror"), ("1.2.3.4", "zero.org", None, None, "permerror"), ("2001:db8::77", "six.org", None, None, "pass"), ("2001:db9::7", "SIX.org", None, None, "pass"), ("2001:db9::8", "six.org", None, None, "fail"),
+        ("1.2.3.4", "esc.org", None, None, "pass"), ("1.2.3.4", "two.org", None, None, "permerror"), ("1.2.3.4", "junk.org", None, None, "permerror"), (None, "m.org", None, None, "none"), ("1.2.3.4", None, None, None, "none"), ("not an ip", "m.org", None, None, "permerror"),
+    ]
+    mail = spark.createDataFrame([(n, *c[:4], "x") for n, c in enumerate(cases)] + [(99, *cases[0][:4], "y")], "id int, remote_ip string, mail_from_domain string, mail_from string, helo string, name string")
+    got = {r["id"]: r for r in auth.with_spf(mail, spark.createDataFrame(dns, "name string, type string, answers array<string>"), sender="mail_from", helo="helo").collect()}
+    assert [(c[0], c[1], got[n]["spf"]) for n, c in enumerate(cases) if got[n]["spf"] != c[4]] == [] and got[99]["spf"] == "pass" and got[99]["name"] == "y"
+    ips = ["1.2.3.4", "2001:db8::1", "::ffff:9.8.7.6", "x", None]
+    names = [r["n"] for r in spark.createDataFrame([(i, a) for i, a in enumerate(ips)], "i int, a string").select("i", auth.reverse_name(F.col("a")).alias("n")).orderBy("i").collect()]
+    assert names == ["4.3.2.1.in-addr.arpa", ipaddress.ip_address("2001:db8::1").reverse_pointer, "6.7.8.9.in-addr.arpa", None, None]
+
+
+def test_registered_domains(spark):
+    rules = suffixes.parsed_rules(spark.createDataFrame([("// list",), ("",), ("com",), ("uk",), ("co.uk  // more",), ("*.ck",), ("!www.ck",), ("jp",), ("*.kobe.jp",), ("!city.kobe.jp",)], "value string"))
+    cases = [("a.b.example.com", "example.com"), ("X.co.uk.", "x.co.uk"), ("co.uk", "co.uk"), ("uk", "uk"), ("a.b.ck", "a.b.ck"), ("x.a.b.ck", "a.b.ck"), ("a.www.ck", "www.ck"), ("a.city.kobe.jp", "city.kobe.jp"), ("a.b.c.kobe.jp", "b.c.kobe.jp"), ("a.b.unknown", "b.unknown"), ("localhost", "localhost"), ("", None), (None, None)]
+    df = spark.createDataFrame([(n, c[0], "q") for n, c in enumerate(cases)] + [(50, "a.b.example.com", "r")], "n int, host string, suffix string")
+    got = {r["n"]: r for r in suffixes.with_org_domain(df, rules, "host").collect()}
+    assert [got[n]["org_domain"] for n in range(len(cases))] == [c[1] for c in cases] and got[50]["org_domain"] == "example.com" and got[50]["suffix"] == "r"
+    plain = spark.createDataFrame([("a.b.com", "b.com"), ("a.b.co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("x.com.au", "x.com.au"), ("a.x.de", "x.de")], "h string, want string")
+    assert plain.where(suffixes.org_domain(F.col("h")) != F.col("want")).count() == 0
