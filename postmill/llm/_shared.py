@@ -41,7 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/postmill/{tag}-{uuid.uuid4().hex}"
+    """A folder of its own for a table, deleted by ``sweep``, at the latest when the driver ends."""
+    path = f"{shared_dir(spark)}/postmill/{tag}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
 
 
 def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
@@ -49,7 +52,6 @@ def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
 
     The table is deleted by ``remove`` or ``sweep``, at the latest when the driver ends."""
     path = fresh_path(spark, tag)
-    _scratch.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
