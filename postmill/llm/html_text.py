@@ -52,6 +52,7 @@ RAW = frozenset("script style noscript template textarea title iframe svg math o
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 AWAY = frozenset("head nav header footer aside form button select option menu dialog".split())
 MAIN = frozenset("article main".split())
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Words in class, id or role that name containers beside the article.
 AWAY_WORDS = frozenset(
@@ -59,6 +60,8 @@ AWAY_WORDS = frozenset(
     "dialog footer header hidden masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay popup promo promoted promotion "
     "recommended related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Those of them that name adverts, which may stand within a line too.
+ADVERT_WORDS = frozenset("ad ads advert advertisement adverts adsense promo promoted promotion sponsor sponsored".split())
 #: Words that say nothing of their own beside those of AWAY_WORDS, as in ad-box or site-footer.
 PLAIN_WORDS = frozenset("area bar block bottom box button container content form global group inner item items left list main outer page post right section site slot text title top unit wrap wrapper".split())
 
@@ -100,11 +103,11 @@ def _marks(attributes: str) -> tuple[str, bool]:
     return marks, hidden
 
 
-def names_beside(marks: str) -> bool:
-    """Whether a class, id or role names what lies beside the text: a word of AWAY_WORDS, alone or with PLAIN_WORDS and numbers."""
+def names_beside(marks: str, among: frozenset[str] = AWAY_WORDS) -> bool:
+    """Whether a class, id or role names what lies beside the text: a word of ``among``, alone or with PLAIN_WORDS and numbers."""
     for mark in marks.split():
         words = [w for w in re.split(r"[^a-z]+", mark) if w]
-        if any(w in AWAY_WORDS for w in words) and all(w in AWAY_WORDS or w in PLAIN_WORDS for w in words):
+        if any(w in among for w in words) and all(w in among or w in PLAIN_WORDS for w in words):
             return True
     return False
 
@@ -120,7 +123,8 @@ class Tag:
         self.key = token_key(f"{self.path}<{marks}")
         self.main = name in MAIN or "articlebody" in marks
         self.away = hidden or name in AWAY and not (name == "header" and in_main)
-        self.worded = name not in ("html", "body") and name not in MAIN and names_beside(marks)
+        # A heading's id is a slug of its text, and a paragraph of the article is text whatever its class.
+        self.worded = name not in ("html", "body") and name not in MAIN and not (in_main and name in TEXT) and names_beside(marks)
         self.role = None
 
 
@@ -139,7 +143,7 @@ class Block:
 
 
 def blocks(page: str) -> Iterator[Block | Tag]:
-    """The page's tags, as they open, and its text blocks, in page order. Inline tags don't part blocks; those named as beside, or hidden, are left out with their text."""
+    """The page's tags, as they open, and its text blocks, in page order. Inline tags don't part blocks; adverts and hidden ones are left out with their text."""
     pieces: list[str] = []
     linked, in_link = 0, 0
     stack: list[Tag] = []
@@ -162,7 +166,7 @@ def blocks(page: str) -> Iterator[Block | Tag]:
         elif name in INLINE:
             if kind == "open" and name not in VOID:
                 in_link += name == "a"
-                if muted or value and (marked := _marks(value)) and (marked[1] or names_beside(marked[0])):
+                if muted or value and (marked := _marks(value)) and (marked[1] or names_beside(marked[0], ADVERT_WORDS)):
                     muted.append(name)
             elif kind == "close":
                 in_link = max(0, in_link - (name == "a"))
@@ -284,7 +288,14 @@ def main_text(page: str, template: frozenset[int] = frozenset(), main: int | Non
         at = roles[id(t.around)] if t.around is not None else top
         roles[id(t)] = at if at == "beside" else step(at, t)
     own = [b for b in found if (roles[id(b.tag)] if b.tag is not None else top) == "main"]
-    return " ".join(b.text for b in own if b.key not in template)
+    return " ".join(b.text for b in own if b.key not in template or written_in_article(b.tag))
+
+
+def written_in_article(tag: Tag | None) -> bool:
+    """Whether only tags of running text part a block from an article: then it is the article's, even where all pages share it."""
+    while tag is not None and tag.name in TEXT:
+        tag = tag.around
+    return tag is not None and tag.main
 
 
 def _wrappers(found: list[Block], tags: list[Tag]) -> tuple[Callable[[Tag], bool], bool]:

@@ -18,7 +18,8 @@ text is an outlier. A statistic that varies less in a group than its own samplin
 
 Defined results: a null text has no words, so it fails the base rule; null languages and sources are
 groups of their own; equal rows give equal rows; an empty table gives an empty result. New columns
-replace columns of ``docs`` of the same name; all others are kept.
+replace columns of ``docs`` of the same name; all others but the text are kept, whatever their names. Texts of any length count whole, a
+batch of them at a time.
 """
 
 from __future__ import annotations
@@ -226,7 +227,11 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     stats = with_stats(docs.drop("base_failed", "distance", "kept"), text).withColumn("base_failed", base_failed)
     name = lambda *c: F.to_json(F.array(*(F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit("null")) for x in c)))
-    narrow = written(spark, stats.drop(text).withColumns({"g2": name(lang, source), "g1": name(lang), **{f"x{i}": c for i, c in enumerate(_vector())}}), "stats")
+    # The caller's columns travel in one struct, so that none of their names meets another.
+    others = [c for c in stats.columns if c not in (text, *STATS, "base_failed")]
+    own_columns = F.struct(F.lit(0).alias("_"), *(F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(others)))
+    narrow = stats.select(own_columns.alias("own"), *STATS, "base_failed", name(lang, source).alias("g2"), name(lang).alias("g1"), *(c.alias(f"x{i}") for i, c in enumerate(_vector())))
+    narrow = written(spark, narrow, "stats")
     fit = narrow.where(~F.col("base_failed"))
     sizes = fit.groupBy("g2", "g1").count()
     small = F.col("count") < MIN_GROUP
@@ -239,7 +244,7 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     own = written(spark, own.join(enough, "grp"), "estimates")
     judged = placed.join(own, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(F.col("mean"), F.col("inverse")) / F.col("spread")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
-    return judged.withColumn("kept", kept).drop("grp", "mean", "inverse", "spread", *(f"x{i}" for i in range(len(STATS))))
+    return judged.select(*(F.col(f"own.c{i}").alias(c) for i, c in enumerate(others)), *STATS, "base_failed", "distance", kept.alias("kept"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
