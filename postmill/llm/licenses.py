@@ -11,8 +11,9 @@ it holds at least ``least`` of the template's distinct words. The join is exact:
 * length filter: the block holds at least ``least`` words of any template;
 * positional filter: from the first common word on, both have enough words left.
 
-What passes is verified by the size of the intersection, and by the words that tell a template from
-its siblings, such as a version. Base phrases are templates that must be
+What passes is verified by the size of the intersection within ``SPAN`` times the template's length of words, so that words which
+are scattered over a block are no notice, and by the words that tell a template from others, such as a license's name or version: those
+that must be in that stretch, and those that must not. Base phrases are templates that must be
 met whole, and whose words must then stand consecutively. Words of no template can't be in an
 intersection, so they get no place in the order.
 
@@ -32,6 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ._shared import ALNUM_WORD, ASCII_LOWER, ASCII_UPPER, table
 
 
@@ -41,7 +43,8 @@ class Template:
     text: str
     phrase: bool = False
     containment: float = 0.8
-    telling: tuple[str, ...] = ()  # words that tell it from its siblings, so they must be there
+    telling: tuple[str, ...] = ()  # words that tell it from others, so they must be there
+    barred: tuple[str, ...] = ()  # words of other licenses whose notices hold all of these words
 
     @property
     def words(self) -> list[str]:
@@ -53,19 +56,20 @@ class Template:
         return n if self.phrase else math.ceil(self.containment * n - 1e-9)
 
 
-BLOCK, STRIDE = 64, 32
+BLOCK, STRIDE, SPAN = 64, 32, 2
+OTHER_GPL = ("lesser", "library", "affero")
 _NO_WORD = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 #: The phrases and labels of the contract, then notices of common licenses.
 TEMPLATES = (
     Template("mit", "mit license", phrase=True),
     Template("apache", "apache license", phrase=True),
     Template("gpl", "general public license", phrase=True),
-    Template("notice-mit", "Released under the MIT License"),
-    Template("notice-apache-2.0", "Licensed under the Apache License, Version 2.0", telling=("2", "0")),
-    Template("notice-gpl-2.0", "This work is licensed under the GNU General Public License, version 2", telling=("2",)),
-    Template("notice-gpl-3.0", "This work is licensed under the GNU General Public License, version 3", telling=("3",)),
-    Template("notice-cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", telling=("nc",)),
-    Template("notice-cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", telling=("sa",)),
+    Template("notice-mit", "Released under the MIT License", telling=("mit",)),
+    Template("notice-apache-2.0", "Licensed under the Apache License, Version 2.0", telling=("apache", "2", "0")),
+    Template("notice-gpl-2.0", "This work is licensed under the GNU General Public License, version 2", telling=("general", "2"), barred=OTHER_GPL),
+    Template("notice-gpl-3.0", "This work is licensed under the GNU General Public License, version 3", telling=("general", "3"), barred=OTHER_GPL),
+    Template("notice-cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", telling=("cc", "nc")),
+    Template("notice-cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", telling=("cc", "sa")),
     Template("grant-mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction"),
     Template("terms-bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     Template("rights-reserved", "Copyright all rights reserved"),
@@ -92,8 +96,8 @@ def _prefixes(spark: SparkSession, templates: tuple[Template, ...], ranks: dict[
     for t in templates:
         order = sorted({ranks[w] for w in t.words})
         prefix = order[: len(order) - t.least + 1]
-        rows += [(rank, at, t.label, t.phrase, t.words, order, prefix, t.least, list(t.telling)) for at, rank in enumerate(prefix)]
-    return spark.createDataFrame(rows, "rank int, t_at int, label string, phrase boolean, t_words array<string>, t_ranks array<int>, t_prefix array<int>, least int, telling array<string>")
+        rows += [(rank, at, t.label, t.phrase, t.words, order, prefix, t.least, list(t.telling), list(t.barred)) for at, rank in enumerate(prefix)]
+    return spark.createDataFrame(rows, "rank int, t_at int, label string, phrase boolean, t_words array<string>, t_ranks array<int>, t_prefix array<int>, least int, telling array<string>, barred array<string>")
 
 
 def license_blocks(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -129,10 +133,17 @@ def license_blocks(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
     at = F.sequence(F.lit(0), F.size("block.tokens") - F.size("t_words"))
     places = F.filter(at, lambda k: F.slice("block.tokens", k + 1, F.size("t_words")) == F.col("t_words"))
     places = F.when(F.col("phrase"), F.transform(places, lambda k: k + F.col("block.start")))
-    met = F.when(
-        F.col("label").isNotNull() & (overlap >= F.col("least")) & (F.size(F.array_except("telling", "block.tokens")) == 0),
-        F.struct("label", "phrase", (overlap / F.size("t_ranks")).alias("score"), F.col("block.start").alias("start"), places.alias("places")),
-    )
+    span = F.least(F.size("t_words") * SPAN, F.lit(block))
+
+    def held(k: Column) -> Column:
+        """How many of the template's words the stretch from word k holds; null where a word that tells is missing, or one that bars it is there."""
+        told = lambda w: (F.size(F.array_except("telling", w)) == 0) & (F.size(F.array_intersect("barred", w)) == 0)
+        return let(F.slice("block.tokens", k + 1, span), lambda w: F.when(told(w), F.size(F.array_intersect("t_words", w))))
+
+    own = F.filter(F.transform("block.tokens", lambda w, k: F.when(F.array_contains("t_words", w), k)), lambda k: k.isNotNull())
+    best = F.when(F.col("phrase"), overlap).otherwise(F.array_max(F.transform(own, held)))
+    pairs = pairs.withColumn("best", F.when(F.col("label").isNotNull() & (overlap >= F.col("least")), best))
+    met = F.when(F.col("best") >= F.col("least"), F.struct("label", "phrase", (F.col("best") / F.size("t_ranks")).alias("score"), F.col("block.start").alias("start"), places.alias("places")))
     met_pairs = pairs.select("row", "id", "n_words", met.alias("met"))
     real = F.col("met").isNotNull() & (~F.col("met.phrase") | (F.size("met.places") > 0))
     found = F.collect_list(F.when(real, F.col("met")))
@@ -166,13 +177,13 @@ def _sql() -> str:
             places.append(f"SELECT doc, '{t.label}' AS label, i - 1 AS place FROM p WHERE {test}")
         else:
             distinct = ", ".join(f"'{x}'" for x in sorted(set(w)))
-            told = "".join(f" AND list_contains(tokens, '{x}')" for x in t.telling)
+            told = "".join(f" AND list_contains(tokens, '{x}')" for x in t.telling) + "".join(f" AND NOT list_contains(tokens, '{x}')" for x in t.barred)
             n = f"len(list_intersect(tokens, [{distinct}]))"
-            meets.append(f"SELECT doc, '{t.label}' AS label, {n} / {len(set(w))} AS score FROM b WHERE {n} >= {t.least}{told}")
+            stretch = f"SELECT doc, words[i : least(i + {min(SPAN * len(w), BLOCK)}, (i - 1) // {STRIDE} * {STRIDE} + {BLOCK} + 1) - 1] AS tokens FROM p WHERE words[i] IN ({distinct})"
+            meets.append(f"SELECT doc, '{t.label}' AS label, {n} / {len(set(w))} AS score FROM ({stretch}) WHERE {n} >= {t.least}{told}")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '{ALNUM_WORD}') AS words FROM documents),
 p AS (SELECT doc, words, unnest(range(1, len(words) + 1)) AS i FROM d),
-b AS (SELECT doc, list_distinct(words[s + 1 : s + {BLOCK}]) AS tokens FROM (SELECT doc, words, unnest(range(0, len(words), {STRIDE})) AS s FROM d)),
 base AS ({' UNION ALL '.join(places)}),
 met AS (SELECT doc, label, 1.0 AS score FROM base UNION ALL {' UNION ALL '.join(meets)}),
 x AS (SELECT doc, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc),

@@ -287,3 +287,18 @@ def test_long_paths_and_odd_column_names(spark):
     entries = spark.createDataFrame([("l", "block", "Bad.org/x/y", "add", 0)], url_filters.ENTRIES)
     df = spark.createDataFrame([("http://bad.org/x/y" + "/z" * 20000, 5, 1), ("http://bad.org/" + "x" * 100000, 5, 2)], "url string, fetched_at bigint, `a.b` int")
     assert {(r["a.b"], r["blocked"], r["patterns"]) for r in url_filters.filter_captures(df, entries).collect()} == {(1, True, "bad.org/x/y"), (2, False, "")}
+
+
+def test_notices_of_other_licenses_get_no_label(spark):
+    """Neither scattered words nor notices of licenses without a template."""
+    texts = [
+        "Released under the BSD license", "Released under the Apache License", "the album was released last year under a new label; the driver needs a license", "Licensed under the Mozilla License, Version 2.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3", "This work is licensed under the GNU Affero General Public License, version 3", "Licensed under CC BY 4.0", "Released under the ISC License", "licensed under the Eclipse Public License version 2.0",
+        "released " + "x " * 20 + "under the mit " + "x " * 20 + "license",
+    ]
+    found = licenses.license_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert [(r["doc_id"], f["label"]) for r in found for f in r["found"] if not f["phrase"]] == []
+    own = [t for t in licenses.TEMPLATES if not t.phrase]
+    far = [(n, "x " * k + t.text + " y" * 50) for n, t in enumerate(own) for k in (0, 31, 40, 63)]
+    for r in licenses.license_blocks(spark.createDataFrame(far, "doc_id int, text string")).collect():
+        assert own[r["doc_id"]].label in {f["label"] for f in r["found"] if f["score"] == 1.0}
