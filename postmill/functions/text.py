@@ -67,8 +67,14 @@ SYMBOLS = {
 }
 CODES = "USD EUR GBP JPY CHF CAD AUD NZD SEK NOK DKK PLN CZK HUF RON BGN TRY RUB UAH INR CNY RMB HKD SGD KRW THB MYR IDR PHP VND BRL MXN ARS CLP COP ZAR AED SAR ILS EGP NGN KES ISK HRK RSD".split()
 NO_LEXEME = ("R", "CHF")  # a letter alone isn't looked for in texts, and this symbol is a code
-#: Named character references; the ampersand comes last, so that nothing is decoded twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Named character references.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "shy": "", "zwnj": "", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "mdash": "—", "ndash": "–",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "middot": "·", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "deg": "°", "plusmn": "±", "times": "×", "divide": "÷",
+    "laquo": "«", "raquo": "»", "sect": "§", "para": "¶", "dagger": "†", "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß", "eacute": "é", "egrave": "è", "agrave": "à",
+    "ccedil": "ç", "ntilde": "ñ", "aacute": "á", "iacute": "í", "oacute": "ó", "uacute": "ú", "ecirc": "ê", "ocirc": "ô", "acirc": "â", "ucirc": "û", "aring": "å", "oslash": "ø", "aelig": "æ", "check": "✓", "star": "★",
+}
+REFERENCE = r"&(#[xX]?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,31});?"
 #: Words that mean true and false.
 TRUE_WORDS = ("true", "yes", "y", "ja", "oui", "si", "1", "on", "paid", "confirmed", "x")
 FALSE_WORDS = ("false", "no", "n", "nein", "non", "0", "off", "unpaid", "none")
@@ -106,7 +112,23 @@ def replaced(text: Column, pairs: tuple) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    return replaced(text, ENTITIES)
+    """Named and numeric character references, each once, from left to right; unknown ones, and numbers of no character, stay as they are."""
+    named = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+    marked = F.regexp_replace(F.translate(text, "\x01\x02", "  "), REFERENCE, "\x01$0\x02$1\x01")
+
+    def decoded(piece: Column) -> Column:
+        raw, body = F.substring_index(piece, "\x02", 1), F.substring_index(piece, "\x02", -1)
+        hexed = body.rlike("^#[xX]")
+        digits = F.regexp_replace(body, "^#[xX]?", "")
+        point = F.when(F.length(digits) <= 9, F.when(hexed, F.conv(digits, 16, 10)).when(digits.rlike("^[0-9]+$"), digits).cast("long"))
+        real = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        return F.when(body.startswith("#"), F.when(real, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))).otherwise(F.coalesce(named[body], named[F.lower(body)])), raw
+
+    def whole(pieces: Column) -> Column:
+        one = lambda p: F.coalesce(*decoded(p))
+        return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(one(p))), "")
+
+    return F.when(F.contains(text, F.lit("&")), let(F.split(marked, "\x01", -1), whole)).otherwise(text)
 
 
 def escape_html(text: Column) -> Column:
@@ -500,6 +522,9 @@ def message_detections(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] in "tpsjv" and n[1:3].isdigit()} | {"message_detections": message_detections}
 
+#: References that pages use, the ampersand last, so that nothing is decoded twice.
+_REFERENCES = (*((f'&{n};', c) for n, c in ENTITIES.items() if n != 'amp'), ('&#39;', "'"))
+_decoded = lambda x: f"regexp_replace({_replaced(x, _REFERENCES)}, '&amp;?', '&', 'g')"
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 _replaced = lambda x, pairs: reduce(lambda t, p: f"replace({t}, {_q(p[0])}, {_q(p[1])})", pairs, x)
 _best = lambda rows: f"list_max([{', '.join(rows)}])"
@@ -537,7 +562,7 @@ _C = CEILINGS
 _SUBJECT = "['Invoice, amount due', 'Your parcel has shipped: tracking code', 'Meeting request, RSVP', 'Prize notification: receipt of documents, receipt', 'Payment received: prize claim, receipt 7', 'Anfrage über das Kontaktformular'][doc_id % 7 + 1]"
 
 ORACLE_SQL = {
-    "t03_entities": f"SELECT page_id, md5({_replaced('html', ENTITIES)}) AS decoded FROM pages",
+    "t03_entities": f"SELECT page_id, md5({_decoded('html')}) AS decoded FROM pages",
     "p16_escape": f"""SELECT doc_id, md5({_replaced('text', (('&', '&amp;'), ('<', '&lt;'), ('>', '&gt;'), ('"', '&quot;'), ("'", '&#39;')))}) AS escaped FROM documents""",
     "t08_links": """SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS links FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href=["'']((?:https?:|mailto:|tel:|/)[^"'']*)["'']', 1) AS l FROM pages)""",
     "t13_language": f"SELECT doc_id, language FROM ({_language_sql('text')})",
@@ -578,7 +603,7 @@ ORACLE_SQL = {
         c AS (SELECT doc_id, s, o, list_sort(list_transform(l, lambda x: length(x) - length(replace(x, s, '')))) AS c FROM l, (VALUES (',', 0), (';', -1), ('|', -2)) v(s, o)),
         m AS (SELECT *, c[CAST(floor(len(c) / 2) AS BIGINT) + 1] AS m FROM c), n AS (SELECT doc_id, s, o, CASE WHEN m > 0 THEN len(list_filter(c, lambda x: x = m)) * 10 + m ELSE 0 END AS n FROM m)
         SELECT doc_id, CASE WHEN n > 0 THEN s END AS delimiter FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, o DESC) AS no FROM n) WHERE no = 1""",
-    "s38_html_to_text": f"""SELECT page_id, md5(trim(regexp_replace({_replaced("regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')", ENTITIES)}, '[ \\t\\n\\r]+', ' ', 'g'), ' ')) AS digest FROM pages""",
+    "s38_html_to_text": f"""SELECT page_id, md5(trim(regexp_replace({_decoded("regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')")}, '[ \\t\\n\\r]+', ' ', 'g'), ' ')) AS digest FROM pages""",
     "p02_preview": "SELECT doc_id, left(text, 40) AS preview, length(text) AS text_length, length(text) > 40 AS text_truncated FROM documents",
     "p03_summary": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || ';' || c_mktsegment ELSE c_name END AS recipients FROM customer",
     "p06_flatten_pivot": """SELECT l_orderkey, nullif(count(*) FILTER (l_returnflag = 'A'), 0) AS "A", nullif(count(*) FILTER (l_returnflag = 'N'), 0) AS "N", nullif(count(*) FILTER (l_returnflag = 'R'), 0) AS "R" FROM lineitem GROUP BY 1""",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..sources.tables import table
+from .ranges import part_of
 from .relational import flags_of_event, needs_review
 
 
@@ -29,7 +30,7 @@ def written_back(children: DataFrame, results: DataFrame, key: str) -> DataFrame
 def with_event_ids(events: DataFrame, last_id: int, order: list[str], shard: str) -> DataFrame:
     """Ids without gaps above ``last_id``, in the order of ``order``: counts of each shard first, then places within it.
 
-    ``shard`` names a column that ascends with ``order`` (a day, an offset's file), so no task sees all rows.
+    ``shard`` names a column that ascends with ``order`` (a part of its range, an offset's file), so no task sees all rows.
     """
     sizes = events.groupBy(shard).agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy(shard)) - F.col("__n")  # a row for each shard
@@ -168,8 +169,8 @@ def k02_write_back(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k03_event_ids(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").select("event_id", "ts", F.to_date("ts").alias("day"))
-    return with_event_ids(events, 1000, ["ts", "event_id"], "day").select("event_id", "id")
+    events = table(spark, d, "events").select("event_id", "ts", F.col("ts").cast("timestamp").cast("double").alias("at"))
+    return with_event_ids(events.withColumn("part", part_of(events, "at")), 1000, ["ts", "event_id"], "part").select("event_id", "id")
 
 
 def k14_received(spark: SparkSession, d: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .ranges import order_statistics
 
 PAGE_MOST, PAGE_DEFAULT = 200, 25
 
@@ -300,12 +301,9 @@ def a12_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a13_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """The value at place min(n - 1, floor(p * n)) of each group in order, by rank, so that no group is gathered in a list."""
-    items = table(spark, d, "orders").select("o_orderpriority", cents(F.col("o_totalprice")).alias("c"), "o_orderkey")
-    w = Window.partitionBy("o_orderpriority")
-    ranked = items.withColumn("rank", F.row_number().over(w.orderBy("c", "o_orderkey")) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("rank") == F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100)), F.col("c")))
-    return ranked.groupBy("o_orderpriority").agg(at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"))
+    """The values at three places of each group in order."""
+    items = table(spark, d, "orders").select("o_orderpriority", cents(F.col("o_totalprice")).alias("c"))
+    return order_statistics(items, ["o_orderpriority"], "c", {"p50": 50, "p95": 95, "p99": 99})
 
 
 def a14_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -425,8 +423,10 @@ def k04_blob_expiry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k06_fan_out(spark: SparkSession, d: str) -> DataFrame:
-    endpoints = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("endpoint"), "s_nationkey")
-    return table(spark, d, "customer").join(endpoints, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "endpoint")
+    """A delivery of each message to every active endpoint of its account; an account has three at most."""
+    accounts = F.explode(F.array(*(F.col("s_suppkey") + k for k in range(3)))).alias("account")
+    endpoints = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("endpoint"), accounts)
+    return table(spark, d, "orders").join(endpoints, F.col("o_custkey") == F.col("account")).select("o_orderkey", "endpoint")
 
 
 #: Seconds to wait after each failed delivery.
@@ -639,7 +639,7 @@ ORACLE_SQL = {
     "k01_idempotent_insert": """WITH r AS (SELECT doc_id, source, CASE WHEN doc_id % 3 <> 0 THEN md5(text) END AS key FROM documents)
         SELECT doc_id, source, key FROM (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY doc_id) AS no FROM r WHERE key IS NOT NULL) WHERE no = 1 UNION ALL SELECT * FROM r WHERE key IS NULL""",
     "k04_blob_expiry": "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + 90, '%Y-%m-%d') AS expires FROM orders WHERE CAST(o_orderdate AS DATE) + 90 > DATE '1998-06-01'",
-    "k06_fan_out": "SELECT c_custkey, s_suppkey AS endpoint FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_acctbal > 0",
+    "k06_fan_out": "SELECT o_orderkey, s_suppkey AS endpoint FROM orders JOIN supplier ON o_custkey BETWEEN s_suppkey AND s_suppkey + 2 WHERE s_acctbal > 0",
     "k08_r10_attempt": """WITH e AS (SELECT event_id, event_id % 7 + 1 AS attempt, [200, 404, 408, 429, 500, 503][event_id % 6 + 1] AS status FROM events),
         s AS (SELECT *, CASE WHEN status = 200 THEN 'delivered' WHEN status = 404 THEN 'failed' WHEN attempt >= 6 THEN 'exhausted' ELSE 'retry' END AS state FROM e)
         SELECT event_id, attempt, state, CAST(CASE WHEN state = 'retry' THEN [30, 120, 600, 3600, 21600][attempt] END AS BIGINT) AS wait_s FROM s""",

@@ -6,6 +6,7 @@ not ok, which is a flag of the row, never an error. Placeholders such as "N/A" a
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -52,6 +53,29 @@ def normalise(schema: list | dict) -> tuple[Field, ...]:
     return fields
 
 
+def from_form(rows: list[dict]) -> tuple[Field, ...]:
+    """A schema of a form's rows: name, type, description, required, hint, and, as texts, enumOptions (comma-separated), itemType and nestedFields (a JSON array)."""
+    found = []
+    for no, row in enumerate(rows, 1):
+        name, kind = str(row.get("name") or "").strip(), row.get("type") or "string"
+        if not name:
+            raise SchemaError(f"field {no} has no name")
+        field = {"name": name, "type": kind, **{k: row[k] for k in ("description", "hint") if row.get(k)}, "required": bool(row.get("required"))}
+        if kind == "enum":
+            field["options"] = [v.strip() for v in str(row.get("enumOptions") or "").split(",") if v.strip()]
+        if kind == "array":
+            field["items"] = {"type": row.get("itemType") or "string"}
+        if kind == "object":
+            try:
+                field["fields"] = json.loads(row.get("nestedFields") or "")
+            except ValueError:
+                field["fields"] = None
+            if not isinstance(field["fields"], list):
+                raise SchemaError(f"{name}: sub-fields are no JSON array")
+        found.append(field)
+    return normalise(found)
+
+
 def _field(row: dict, depth: int) -> Field:
     name, kind = str(row.get("name", "")), str(row.get("type", "string")).lower()
     if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]{0,63}", name):
@@ -123,12 +147,25 @@ def typed(rows: DataFrame, fields: tuple[Field, ...], raw: str = "raw") -> DataF
     return out.withColumn("fields", values).withColumn("flags", F.array_compact(F.array(*(flag(f) for f in fields)))).drop("__typed")
 
 
-def label_search(text: Column, labels: list[str]) -> Column:
-    """The rest of the first line that a label begins, or the next line where nothing follows the label."""
-    tries = []
+_GAP, _SIGNS = r"[^\S\n]*", "$€£¥₹"
+_DIGITS = r"[0-9][0-9.,'\u00a0’ ]*"
+#: What may follow a label, by the field's type: an amount that is no rate, the rest of a line, an address.
+VALUES = {
+    "number": rf"(?!{_GAP}[-(]?{_GAP}[{_SIGNS}]?{_GAP}{_DIGITS}{_GAP}%)([-(]?{_GAP}(?:[A-Z]{{1,3}}{_GAP})?[{_SIGNS}]?{_GAP}-?{_DIGITS}(?:[A-Z]{{3}}|[{_SIGNS}])?{_GAP}[-)]?)",
+    "date": r"([^\n\t]{4,60})", "email": f"({T.EMAIL})", "url": r"((?:https?://|www\.)[^\s<>\"']+)", "string": r"(\S[^\n]*)",
+}
+VALUES |= {"integer": VALUES["number"], "currency": VALUES["number"], "datetime": VALUES["date"]}
+
+
+def label_search(text: Column, labels: list[str], kind: str = "string") -> Column:
+    """What follows the first label found, the longest first: after a sign, a gap or on the next line, and, for types whose values show themselves, after one blank. ``kind``: the field's type."""
+    tries, value = [], VALUES.get(kind, VALUES["string"])
+    end = "$" if value == VALUES["string"] else ""
     for label in sorted(labels, key=len, reverse=True):
         name = re.escape(label)
-        tries += [rf"(?im)^\s*{name}\s*(?:no\.?|nr\.?|#)?\s*[:=#]\s*(\S[^\n]*)$", rf"(?im)^\s*{name}\s{{2,}}(\S[^\n]*)$", rf"(?im)^\s*{name}\s*:?\s*\n\s*(\S[^\n]*)$"]
+        tries += [rf"(?im)^\s*{name}\s*(?:no\.?|nr\.?|#)?\s*[:=#]\s*{value}{end}", rf"(?im)^\s*{name}\s{{2,}}{value}{end}", rf"(?im)^\s*{name}\s*:?\s*\n\s*{value}{end}"]
+        if kind in VALUES and kind != "string":
+            tries.append(rf"(?im)^[^\S\n]{{0,8}}{name}[ \t]{value}")
     return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in tries))
 
 

@@ -34,7 +34,7 @@ def test_signature_ids_forwarding(spark):
     df = spark.createDataFrame([("m", "forwarding-noreply@google.com", "Confirm forwarding. Confirmation code: 12345678")], "m string, s string, t string")
     for secret in ("k", "x" * 100):
         assert df.select(detect.hmac_sha256(secret, F.col("m"))).first()[0] == hmac.new(secret.encode(), b"m", hashlib.sha256).hexdigest()
-    assert tuple(df.select(detect.forwarding(F.col("s"), F.col("t"))).first()[0]) == ("gmail", "12345678")
+    assert tuple(df.select(detect.forwarding(F.col("s"), F.col("t"), F.lit("Gmail Forwarding Confirmation"))).first()[0]) == ("gmail", "12345678", None, False, 0.93)
     ids = [r[0] for r in spark.range(3).select(detect.sortable_id(F.timestamp_seconds(F.col("id") * 1000), F.col("id"))).collect()]
     assert ids == sorted(ids) and all(len(i) == 26 for i in ids)
 
@@ -143,3 +143,22 @@ def test_json_in_free_text(spark):
     ]
     want = [{"f": {"a": 1}}, {"f": {"a": 'he said "hi"'}}, {"f": {"a": 1}}, None, {"x": {"y": 1}, "k": 2}, {"s": "}{", "t": [1, {"u": 2}]}, {"a": 1}, [1, {"b": 2}], {"b": 2}, None, None, {"a": "\\"}]
     assert [x and json.loads(x) for x in column(spark, said, json_text.first_object)] == want
+
+
+def test_forwarding_mails(spark):
+    rows = [
+        ("noreply@zoho.eu", "Email Forwarding Confirmation", "Confirmation code: ZH-77A9. see https://mail.zoho.eu/confirm/x", ("zoho", "ZH-77A9", "https://mail.zoho.eu/confirm/x", True, 1.0)),
+        ("no@email.apple.com", "Verify your email", "your code 123456, at https://evil.example/apple.com/x", ("icloud", "123456", None, False, 0.93)),
+        ("a@yahoo.co.uk", "Confirm forwarding", "go to https://login.yahoo.com/vf-1", ("yahoo", None, "https://login.yahoo.com/vf-1", True, 0.87)),
+        ("x@shop.example", "Hello", "please verify the forward: https://shop.example/verify?a=1", ("gmail", None, "https://shop.example/verify?a=1", False, 0.4)),
+        ("forwarding-noreply@google.com", "News", "nothing of interest", None), ("x@shop.example", "Fw: forward it", "see https://shop.example/confirm", ("generic", None, None, False, 0.4)), ("x@shop.example", "Invoice", "confirmation code: 12345", None), (None, None, None, None),
+    ]
+    df = spark.createDataFrame([(n, *r[:3]) for n, r in enumerate(rows)], "n int, s string, j string, t string")
+    got = [r["x"] for r in df.select("n", detect.forwarding(F.col("s"), F.col("t"), F.col("j")).alias("x")).orderBy("n").collect()]
+    assert [(x and x["provider"], x and x["code"], x and x["trusted"]) for x in got] == [(r[3] and r[3][0], r[3] and r[3][1], r[3] and r[3][3]) for r in rows]
+    assert got[0]["link"] == rows[0][3][2] and got[0]["confidence"] == 1.0 and got[2]["link"] == rows[2][3][2]
+
+
+def test_references_are_decoded_once(spark):
+    said = ["a &amp;lt; b &lt;c&gt; &#x1F600;&#65;&#0;&#xD800;&euro &Auml;&AUML; &nosuch; &#99999999999; &", "plain", "", None, "\x01 &amp; \x02"]
+    assert column(spark, said, T.decode_entities) == ["a &lt; b <c> \U0001f600A&#0;&#xD800;€ Ää &nosuch; &#99999999999; &", "plain", "", None, "  &  "]

@@ -58,3 +58,20 @@ def test_quotes_and_signatures(spark):
     texts = ["Hi\n> old", "Hello\n-- \nme", "> only quoted", "Fine.\nKind regards\nX", "Best regards"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [r[1] for r in df.select("i", lines.stripped_text(F.col("t"))).orderBy("i").collect()] == ["Hi", "Hello", "> only quoted", "Fine.", "Best regards"]
+
+
+def test_schema_of_a_form():
+    rows = [{"name": " total ", "type": "currency", "required": True}, {"name": "state", "type": "enum", "enumOptions": "open, closed,"}, {"name": "tags", "type": "array", "itemType": "integer"}, {"name": "place", "type": "object", "nestedFields": '[{"name": "street", "type": "string"}]'}, {"name": "note"}]
+    total, state, tags, place, note = schema.from_form(rows)
+    assert (total.name, total.type, total.required, state.options, tags.items.type, place.fields[0].name, note.type) == ("total", "currency", True, ("open", "closed"), "integer", "street", "string")
+    for bad in ({"type": "string"}, {"name": "x", "type": "enum"}, {"name": "x", "type": "object", "nestedFields": "{}"}, {"name": "x", "type": "object"}):
+        with pytest.raises(schema.SchemaError):
+            schema.from_form([bad])
+
+
+def test_values_after_labels_by_type(spark):
+    said = ["Total: EUR 1.234,50 (net)", "Tax (19%): 4.00", "Tax: 19%\nTax 4,20", "Paid August 21, 2026", "Mail me@x.org now", "Total\n  $5.00", "Total   (31.50)", "Total value"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(said)], "n int, t string")
+    of = lambda label, kind: [r["x"] for r in df.select("n", schema.label_search(F.col("t"), [label], kind).alias("x")).orderBy("n").collect()]
+    assert of("total", "number") == ["EUR 1.234,50", None, None, None, None, "$5.00", "(31.50)", None]
+    assert of("tax", "number")[2] == "4,20" and of("paid", "date")[3] == "August 21, 2026" and of("mail", "email")[4] == "me@x.org" and of("total", "string")[7] is None
