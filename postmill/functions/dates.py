@@ -27,6 +27,8 @@ FORMS = {
     "no_year": (rf"(?iu){S.LEFT}{_DAY}\.{S.SPACE}*{_MONTH}{S.RIGHT}(?!{S.SPACE}*[0-9])", 2, 0.7),
     "numeric": (S.LEFT + r"([0-9]{1,2})([./-])([0-9]{1,2})\2([0-9]{2,4})" + S.RIGHT, 4, 0.9),
 }
+#: What any date that begins with its month holds.
+DAY_AND_YEAR = rf"(?i)\p{{L}}{{3}}\.?{_GAP}[0-9]{{1,2}}{_NTH},?{_GAP}[0-9]{{2}}"
 #: Confidence of a numeric date that can be read one way, by the text's convention, by the sender's, by neither; and the most of one whose year is inferred.
 SURE, VOTED, HINTED, GUESSED, INFERRED = 0.97, 0.8, 0.72, 0.55, 0.65
 #: Endings of domains, and beginnings of locales, that write the day or the month first.
@@ -80,7 +82,8 @@ def _hits(text: Column) -> Column:
             parts = {k: none for k in ("y", "mo", "d", "a", "b")} | {"sep": F.lit(None).cast("string")} | read(form, s)
             return F.struct(s["start"].alias("start"), F.lit(no).alias("no"), s["end"].alias("end"), s["raw"].alias("raw"), F.lit(sure).alias("sure"), *(v.alias(k) for k, v in parts.items()))
 
-        return F.transform(S.spans(text, pattern, groups), hit)
+        some = F.when(text.rlike(DAY_AND_YEAR), text).otherwise("") if form == "month_day" else text  # the names of months are slow to look for
+        return F.transform(S.spans(some, pattern, groups), hit)
 
     return F.array_sort(F.concat(*(of(no, form) for no, form in enumerate(FORMS))))
 
@@ -112,7 +115,7 @@ def dates(text: Column, locale: Column | None = None, reference_year: Column | N
         return F.filter(F.transform(hits, one), lambda x: x["value"].isNotNull())
 
     some = F.when(text.rlike("[0-9]"), text).otherwise("")
-    known = T.let(_hits(some), lambda hits: F.when(F.size(hits) > 0, T.let(_votes(hits), lambda votes: resolved(hits, votes))).otherwise(resolved(F.slice(hits, 1, 0), F.lit(0))))
+    known = T.let(T.let(some, _hits), lambda hits: F.when(F.size(hits) > 0, T.let(_votes(hits), lambda votes: resolved(hits, votes))).otherwise(resolved(F.slice(hits, 1, 0), F.lit(0))))
     return S.apart(T.first_of_each(known, lambda x: F.struct(x["value"], x["raw"])), "no")
 
 

@@ -15,14 +15,16 @@ SYMBOLS = "|".join(re.escape(s) for s in sorted((s for s in T.SYMBOLS if s not i
 CODES = "|".join(T.CODES)  # patterns of both
 _GROUP = r"[.,’‘'" + S.SPACE[1:]
 _NUMBER = rf"[0-9]{{1,3}}(?:{_GROUP}[0-9]{{3}})+(?:[.,][0-9]{{1,4}})?|[0-9]+(?:[.,][0-9]{{1,4}})?"
+_COUNTED = _NUMBER.replace("|[0-9]+", "|[0-9]++")  # a currency can't stand within a run of digits
 _WIDE = r"[ \u00a0\u202f]"
+_FIRST = "".join(sorted({re.escape(s[0]) for s in (*T.SYMBOLS, *T.CODES)}))  # what an amount may begin with, so that most places are passed over at once
 #: A sign, then a currency at most three blanks before its number, or after it with no further number within two blanks, then a sign.
 MONEY = (
-    rf"((?:[-−]|\()?[  ]*)(?:({SYMBOLS}|{CODES}){_WIDE}{{0,3}}({_NUMBER})"
-    rf"|({_NUMBER}){_WIDE}{{0,3}}({SYMBOLS}|{CODES})(?!{_WIDE}{{0,2}}[0-9]))([-−)]?)"
+    rf"(?=[-−(  ]*[0-9{_FIRST}])((?:[-−]|\()?[  ]*)(?:({SYMBOLS}|{CODES}){_WIDE}{{0,3}}({_NUMBER})"
+    rf"|({_COUNTED}){_WIDE}{{0,3}}({SYMBOLS}|{CODES})(?!{_WIDE}{{0,2}}[0-9]))([-−)]?)"
 )
-#: What any text with an amount holds.
-HINT = rf"[0-9](?s:.*)(?:{SYMBOLS}|{CODES})|(?:{SYMBOLS}|{CODES}){_WIDE}{{0,3}}[0-9]"
+#: What any text with an amount holds. The look ahead passes over most places.
+HINT = rf"(?=[{_FIRST}])(?:{SYMBOLS}|{CODES})"
 
 
 def all_amounts(text: Column) -> Column:
@@ -38,7 +40,7 @@ def all_amounts(text: Column) -> Column:
             F.regexp_replace(s["raw"], rf"^{S.SPACE}+|{S.SPACE}+$", "").alias("raw"), (s["start"] + lead).alias("start"), s["end"].alias("end"),
         )
 
-    some = F.when(text.rlike("[0-9]") & text.rlike(rf"{SYMBOLS}|{CODES}"), text).otherwise("")
+    some = F.when(text.rlike("[0-9]") & text.rlike(HINT), text).otherwise("")
     return F.filter(F.transform(S.spans(some, MONEY, 6), amount), lambda a: a["value"].isNotNull() & a["currency"].isNotNull())
 
 
@@ -90,7 +92,9 @@ ORACLE_SQL = {
         WHEN 9 THEN '' WHEN 10 THEN {_amount} || ' CNY' ELSE {_amount} || ' NZD;' || {_amount} || ' AUD;' || {_amount} || ' ISK' END AS amounts FROM orders""",
     "t22_document_amounts": r"""WITH t AS (SELECT doc_id, concat_ws(' ', text, 'for € ' || (doc_id % 900 + 1) || ',50') AS said, doc_id % 900 + 1 || '.50 EUR' AS own FROM documents),
         m AS (SELECT doc_id, said, own, list_concat(regexp_extract_all(said, '\$ {0,3}[0-9]+(?:[.,][0-9]{1,4})?'), regexp_extract_all(said, '([0-9]+(?:[.,][0-9]{1,4})? {0,3}\$)(?: {0,2}[^0-9 ]|$)', 1)) AS l FROM t),
-        f AS (SELECT doc_id, said, own, list_sort(list_transform(l, lambda x: (strpos(said, x) - 1, format('{:.2f}', CAST(replace(regexp_extract(x, '[0-9]+(?:[.,][0-9]{1,4})?'), ',', '.') AS DOUBLE))))) AS l FROM m)
-        SELECT doc_id, concat_ws(';', nullif(array_to_string(list_transform(l, lambda x: x[2] || ' USD ' || x[1]), ';'), ''), own || ' ' || (length(said) - length(split_part(own, '.', 1)) - 5)) AS amounts FROM f""",
+        n AS (SELECT doc_id, said, own, list_transform(l, lambda x: {'at': strpos(said, x) - 1, 'raw': regexp_extract(x, '[0-9]+(?:[.,][0-9]{1,4})?')}) AS l FROM m),
+        f AS (SELECT doc_id, said, own, list_sort(list_transform(l, lambda x: (x.at, format('{:.2f}', CAST(CASE WHEN regexp_matches(x.raw, '^[0-9]{1,3}[.,][0-9]{3}$') THEN translate(x.raw, ',.', '') ELSE replace(x.raw, ',', '.') END AS DOUBLE))))) AS l FROM n),
+        u AS (SELECT doc_id, said, own, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: y[2]), x[2]) = i) AS l FROM f)
+        SELECT doc_id, concat_ws(';', nullif(array_to_string(list_transform(l, lambda x: x[2] || ' USD ' || x[1]), ';'), ''), own || ' ' || (length(said) - length(split_part(own, '.', 1)) - 5)) AS amounts FROM u""",
     "t23_currencies": f"""SELECT p_partkey, [{', '.join(repr(v) for v in [*T.SYMBOLS.values(), *('CNY' if c == 'RMB' else c for c in T.CODES)])}][p_partkey % {len(T.SYMBOLS) + len(T.CODES)} + 1] AS currency FROM part""",
 }

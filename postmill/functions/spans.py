@@ -41,7 +41,8 @@ def spans(text: Column, pattern: str, groups: int = 0) -> Column:
     """array<struct<start, end, raw, groups>> of all matches, in order; places are code points from 0, the end exclusive. A group that isn't met is empty.
 
     The two control characters that mark matches count as blanks. A null text has no matches."""
-    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARK + INNER, "  "), pattern, MARK + INNER.join(["$0", *(f"${k}" for k in range(1, groups + 1))]) + MARK)
+    clear = lambda t: F.when(F.contains(t, F.lit(MARK)) | F.contains(t, F.lit(INNER)), F.translate(t, MARK + INNER, "  ")).otherwise(t)
+    marked = lambda t: F.regexp_replace(clear(t), pattern, MARK + INNER.join(["$0", *(f"${k}" for k in range(1, groups + 1))]) + MARK)
     none = F.array().cast(f"array<{SPAN}>")
 
     def placed(pieces: Column) -> Column:
@@ -54,7 +55,8 @@ def spans(text: Column, pattern: str, groups: int = 0) -> Column:
         every = let(so_far(sizes, lambda a, b: a + b), lambda ats: F.transform(pieces, lambda p, i: F.when(i % 2 == 1, let(F.split(p, INNER, -1), lambda parts: span(parts, F.get(ats, i))))))
         return F.when(F.size(pieces) > 1, F.filter(every, lambda s: s.isNotNull())).otherwise(none)
 
-    return let(F.split(marked, MARK, -1), placed)
+    # Each ``let`` keeps an expression from being computed as often as it is named.
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.split(marked(t), MARK, -1), placed))
 
 
 def group(span: Column, k: int) -> Column:

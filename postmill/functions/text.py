@@ -114,7 +114,8 @@ def replaced(text: Column, pairs: tuple) -> Column:
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references, each once, from left to right; unknown ones, and numbers of no character, stay as they are."""
     named = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
-    marked = F.regexp_replace(F.translate(text, "\x01\x02", "  "), REFERENCE, "\x01$0\x02$1\x01")
+    clear = F.when(F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02")), F.translate(text, "\x01\x02", "  ")).otherwise(text)
+    marked = F.regexp_replace(clear, REFERENCE, "\x01$0\x02$1\x01")
 
     def decoded(piece: Column) -> Column:
         raw, body = F.substring_index(piece, "\x02", 1), F.substring_index(piece, "\x02", -1)
