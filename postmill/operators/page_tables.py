@@ -3,7 +3,7 @@
 Lines of two segments or more are seeds. Seeds whose segments line up are a block; what lies between its seeds belongs to it.
 How many lines cover a place tells a block's columns, each segment goes to the column it overlaps most, and a line that fills the
 first column alone goes on with the row above. Totals at the bottom come off, and a block of nothing else joins the table above
-it. Windows and groups are over one page, so a task holds a page at a time; no Python runs.
+it. Windows and groups are over one page, so a task holds a page at a time, and lines are dealt out by page once; no Python runs.
 
 Defined results: a page without two seeds that line up has no tables; lines without segments are passed over.
 """
@@ -13,10 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import spans as S
 from ..functions.text import let
 from ..sources.tables import table
-from .grids import absorbs, merged_continuations, qualifies
+from .grids import absorbs, continued, qualifies
 
 #: Two edges this near are in line; a gap of so many heights ends a block; from so many lines on, so large a share may cross a gap, which is this wide.
 NEAR, APART = 2.5, 8.0
@@ -44,24 +43,37 @@ def lined_up(a: Column, b: Column) -> Column:
 
 
 def columns_of(lines: Column, height: Column) -> Column:
-    """array<struct<c0, c1>> of a block (its seeds' segments): stretches between the gaps that almost no line covers."""
-    every = F.flatten(lines)
-    bounds = F.struct(F.floor(F.array_min(F.transform(every, lambda s: s["x"]))).cast("int").alias("lo"), F.ceil(F.array_max(F.transform(every, lambda s: s["x1"]))).cast("int").alias("hi"))
+    """array<struct<c0, c1>> of a block (its seeds' segments): stretches between the gaps that almost no line covers.
 
-    def masked(b: Column) -> Column:
-        allowed = F.when(F.size(lines) >= CROSSED_FROM, F.floor(F.size(lines) * CROSSED).cast("int")).otherwise(0)
-        covers = lambda line, x: F.exists(line, lambda s: (F.floor(s["x"]) <= x) & (x <= F.ceil(s["x1"])))
-        mark = lambda x: F.when(F.size(F.filter(lines, lambda line: covers(line, x))) > allowed, "x").otherwise(" ")
-        return F.array_join(F.transform(F.sequence(b["lo"], b["hi"]), mark), "")
+    What covers a place only changes at an edge of a segment, so lines are counted once for each edge, not for each place."""
+    taken = F.transform(lines, lambda line: F.transform(line, lambda s: F.struct(F.floor(s["x"]).cast("int").alias("a"), (F.ceil(s["x1"]).cast("int") + 1).alias("b"))))
 
-    def parted(mask: Column, lo: Column) -> Column:
+    def bounded(ls: Column) -> Column:
+        every = F.flatten(ls)
+        starts, ends = F.transform(every, lambda s: s["a"]), F.transform(every, lambda s: s["b"])
+        bounds = F.struct(F.array_min(starts).alias("lo"), F.array_max(ends).alias("hi"), F.sort_array(F.array_distinct(F.concat(starts, ends))).alias("edges"))
+        return let(bounds, lambda b: F.when(b["hi"] - b["lo"] > 1, let(marked(ls, b), lambda marks: let(turned(marks), lambda turns: parted(turns, b["lo"], b["hi"])))))
+
+    def marked(ls: Column, b: Column) -> Column:
+        allowed = F.when(F.size(ls) >= CROSSED_FROM, F.floor(F.size(ls) * CROSSED).cast("int")).otherwise(0)
+        covers = lambda line, x: F.exists(line, lambda s: (s["a"] <= x) & (x < s["b"]))
+        within = F.filter(b["edges"], lambda x: (x >= b["lo"]) & (x < b["hi"]))
+        return let(allowed, lambda n: F.transform(within, lambda x: F.struct(x.alias("at"), (F.size(F.filter(ls, lambda line: covers(line, x))) > n).alias("on"))))
+
+    turned = lambda marks: F.filter(marks, lambda m, i: (i == 0) | (m["on"] != F.get(marks, i - 1)["on"]))
+
+    def parted(turns: Column, lo: Column, hi: Column) -> Column:
         wide = F.greatest(F.lit(GAP), height * GAP_HEIGHTS)
-        gaps = F.filter(S.spans(mask, " +"), lambda g: (g["end"] - g["start"] >= wide) | (g["end"] == F.length(mask)) | (g["start"] == 0))
-        starts, ends = F.concat(F.array(F.lit(0)), F.transform(gaps, lambda g: g["end"])), F.concat(F.transform(gaps, lambda g: g["start"]), F.array(F.length(mask)))
-        found = F.zip_with(starts, ends, lambda a, b: F.struct((lo + a).alias("c0"), (lo + b - 1).alias("c1")))
-        return F.filter(found, lambda c: c["c1"] > c["c0"])
+        free = F.filter(F.transform(turns, lambda t, i: F.when(~t["on"], F.struct(t["at"].alias("start"), F.coalesce(F.get(turns, i + 1)["at"], hi).alias("end")))), lambda g: g.isNotNull())
+        gaps = F.filter(free, lambda g: (g["end"] - g["start"] >= wide) | (g["end"] == hi) | (g["start"] == lo))
+
+        def between(gs: Column) -> Column:
+            starts, ends = F.concat(F.array(lo), F.transform(gs, lambda g: g["end"])), F.concat(F.transform(gs, lambda g: g["start"]), F.array(hi))
+            return F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("c0"), (b - 1).alias("c1"))), lambda c: c["c1"] > c["c0"])
+
+        return let(gaps, between)
 
-    return let(bounds, lambda b: F.when(b["hi"] > b["lo"], let(masked(b), lambda m: parted(m, b["lo"]))))
+    return let(taken, bounded)
 
 
 def cells_in(segments: Column, columns: Column) -> Column:
@@ -115,27 +127,36 @@ def shaped(rows: Column) -> Column:
     return let(headed(first, rest), lambda t: let(F.transform(t["rows"], total_of), lambda totals: peeled(t, totals)))
 
 
+def block_table(lines: Column, height: Column) -> Column:
+    """struct(y0, y1, right, headers, rows, totals) of a block's lines (line, y, seed, segments) in order; null without two seeds, columns or rows."""
+
+    def of_columns(seeds: Column, columns: Column) -> Column:
+        last = F.array_max(F.transform(lines, lambda x, i: F.when(x["seed"], i)))  # what stands below the last seed isn't the block's
+        cells = F.transform(F.slice(lines, F.lit(1), last + 1), lambda x: F.struct(x["seed"].alias("seed"), cells_in(x["segments"], columns).alias("cells")))
+        grid = let(F.filter(cells, lambda x: F.exists(x["cells"], lambda c: c != "")), continued)
+        place = {"y0": F.get(seeds, F.lit(0))["y"], "y1": F.element_at(seeds, -1)["y"], "right": F.array_max(F.transform(columns, lambda c: c["c1"]))}
+        whole = lambda t: F.struct(*(v.alias(k) for k, v in place.items()), *(t[k].alias(k) for k in ("headers", "rows", "totals")))
+        return let(grid, lambda g: F.when(F.size(g) >= 2, let(shaped(g), whole)))
+
+    found = lambda seeds: let(columns_of(F.transform(seeds, lambda s: s["segments"]), height), lambda cs: F.when(F.size(cs) >= 2, of_columns(seeds, cs)))
+    return let(F.filter(lines, lambda x: x["seed"]), lambda seeds: F.when(F.size(seeds) >= 2, found(seeds)))
+
+
 def page_tables(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Lines (line, y, h, segments: array<struct<x, x1, text>>) to rows (keys, index, headers, rows, totals), a row for each table."""
     page, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("line")
-    heights = lines.groupBy(*keys).agg(F.sort_array(F.collect_list("h")).alias("hs"))
-    heights = heights.select(*keys, F.coalesce(F.nullif(F.get("hs", F.floor(F.size("hs") / 2).cast("int")).cast("double"), F.lit(0.0)), F.lit(10.0)).alias("height"))
-    rows = lines.where(F.size("segments") > 0).join(heights, keys).withColumn("seed", F.size("segments") >= 2)
+    # The middle height is that of a rank, so no line carries the heights of its page.
+    ranked = lines.withColumns({"rank": F.row_number().over(page.orderBy(F.col("h").asc_nulls_last())), "n": F.count("h").over(page)})
+    middle = F.max(F.when(F.col("rank") == F.floor(F.col("n") / 2) + 1, F.col("h").cast("double"))).over(page)
+    rows = ranked.withColumn("height", F.coalesce(F.nullif(middle, F.lit(0.0)), F.lit(10.0))).where(F.size("segments") > 0).withColumn("seed", F.size("segments") >= 2)
     earlier = F.last(F.when(F.col("seed"), F.struct("y", "segments")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("earlier", earlier)
     begins = F.col("seed") & (F.col("earlier").isNull() | (F.col("y") - F.col("earlier.y") > APART * F.col("height")) | ~lined_up(F.col("earlier.segments"), F.col("segments")))
     rows = rows.withColumn("block", F.sum(F.when(begins, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    following = F.first(F.when(F.col("seed"), F.col("block")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumn("following", following).where("following = block").drop("earlier", "following")
-    seeds = F.sort_array(F.collect_list(F.when(F.col("seed"), F.struct("line", "y", "segments"))))
-    blocks = rows.groupBy(*keys, "block").agg(F.first("height").alias("height"), seeds.alias("seeds")).where("size(seeds) >= 2")
-    columns = columns_of(F.transform("seeds", lambda s: s["segments"]), F.col("height"))
-    blocks = blocks.select(*keys, "block", "height", F.get("seeds", F.lit(0))["y"].alias("y0"), F.element_at("seeds", -1)["y"].alias("y1"), columns.alias("columns")).where("size(columns) >= 2")
-    cells = rows.join(blocks.select(*keys, "block", "columns"), [*keys, "block"]).select(*keys, "block", F.col("line").alias("row"), "seed", cells_in(F.col("segments"), F.col("columns")).alias("cells"))
-    cells = merged_continuations(cells.where(F.exists("cells", lambda c: c != "")), [*keys, "block"])
-    grids = cells.groupBy(*keys, "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "cells"))), lambda r: r["cells"]).alias("grid")).where("size(grid) >= 2")
-    built = grids.join(blocks, [*keys, "block"]).select(*keys, "block", "height", "y0", "y1", F.array_max(F.transform("columns", lambda c: c["c1"])).alias("right"), shaped(F.col("grid")).alias("t"))
-    built = built.select(*keys, "block", "height", "y0", "y1", "right", "t.*").withColumn("only", (F.size("rows") == 0) & (F.size("totals") > 0))
+    blocks = rows.groupBy(*keys, "block").agg(F.first("height").alias("height"), F.sort_array(F.collect_list(F.struct("line", "y", "seed", "segments"))).alias("lines"))
+    # ``inline`` keeps what it makes from being computed again by those who read it.
+    built = blocks.select(*keys, "block", "height", F.inline(F.filter(F.array(block_table(F.col("lines"), F.col("height"))), lambda t: t.isNotNull())))
+    built = built.withColumn("only", (F.size("rows") == 0) & (F.size("totals") > 0))
 
     by_block = page.orderBy("block")
     host = F.last(F.when(~F.col("only"), F.struct("block", "y1", "right", F.size("rows").alias("n"))), ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, 0))
@@ -155,16 +176,21 @@ def _printed(spark: SparkSession, d: str) -> DataFrame:
     """Orders as printed bills: a title, a head, a line for each item with the right edges of numbers in line, a wrapped name on some, and totals below."""
     seg = lambda x, x1, text: F.struct(F.lit(x).cast("double").alias("x"), F.lit(x1).cast("double").alias("x1"), text.alias("text"))
     right = lambda edge, text: F.struct((F.lit(edge) - 5.0 * F.length(text)).alias("x"), F.lit(float(edge)).alias("x1"), text.alias("text"))
-    price, name = F.format_string("%.2f", "l_extendedprice"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string"))
-    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag"))
-    rows = table(spark, d, "lineitem").withColumn("no", nth)
-    items = rows.select("l_orderkey", (F.col("no") * 2 + 1).alias("line"), F.array(seg(40, 150, name), right(300, F.col("l_quantity").cast("int").cast("string")), right(420, price)).alias("segments"))
-    wrapped = rows.where("l_partkey % 2 = 0").select("l_orderkey", (F.col("no") * 2 + 2).alias("line"), F.array(seg(45, 120, F.concat(F.lit("in "), "l_returnflag"))).alias("segments"))
-    sums = rows.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"), F.format_string("%.2f", F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")).alias("total"))
-    below = lambda k, label, text: sums.select("l_orderkey", (F.col("n") * 2 + k).alias("line"), F.array(seg(240, 300, F.lit(label)), right(420, text)).alias("segments"))
-    head = sums.select("l_orderkey", F.lit(2).alias("line"), F.array(seg(40, 70, F.lit("Item")), seg(280, 300, F.lit("Qty")), seg(380, 420, F.lit("Amount"))).alias("segments"))
-    title = sums.select("l_orderkey", F.lit(0).alias("line"), F.array(seg(40, 400, F.lit("A bill of many words"))).alias("segments"))
-    every = title.unionByName(head).unionByName(items).unionByName(wrapped).unionByName(below(4, "VAT 19%:", F.lit("1.00"))).unionByName(below(5, "Total", F.col("total")))
+    line = lambda no, *segments: F.struct(no.cast("int").alias("line"), F.array(*segments).alias("segments"))
+    item = F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag")
+    total = F.format_string("%.2f", F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, since bills are few bytes and much work: else parts are merged by their bytes
+    orders = table(spark, d, "lineitem").repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"), total.alias("total"))
+
+    def printed(x: Column, i: Column) -> Column:
+        name, price = F.concat(F.lit("Part "), x["l_partkey"].cast("string")), F.format_string("%.2f", x["l_extendedprice"])
+        own = line(i * 2 + 3, seg(40, 150, name), right(300, x["l_quantity"].cast("int").cast("string")), right(420, price))
+        return F.when(x["l_partkey"] % 2 == 0, F.array(own, line(i * 2 + 4, seg(45, 120, F.concat(F.lit("in "), x["l_returnflag"]))))).otherwise(F.array(own))
+
+    above = F.array(line(F.lit(0), seg(40, 400, F.lit("A bill of many words"))), line(F.lit(2), seg(40, 70, F.lit("Item")), seg(280, 300, F.lit("Qty")), seg(380, 420, F.lit("Amount"))))
+    sums = lambda k, label, text: line(F.size("items") * 2 + k, seg(240, 300, F.lit(label)), right(420, text))
+    below = F.array(sums(4, "VAT 19%:", F.lit("1.00")), sums(5, "Total", F.col("total")))
+    every = orders.select("l_orderkey", F.inline(F.concat(above, F.flatten(F.transform("items", printed)), below)))
     return every.withColumns({"y": F.col("line") * 12.0, "h": F.lit(10.0)})
 
 

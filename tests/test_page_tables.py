@@ -52,3 +52,16 @@ def test_a_title_across_many_rows_closes_no_column(spark):
 @pytest.mark.parametrize("lines", [[], [(0, [])], [(0, [(0, 1, "a"), (9, 12, "b")])]])
 def test_pages_without_tables(spark, lines):
     assert tables(spark, [lines]) == []
+
+
+def test_columns_cost_edges_not_places(spark):
+    """Before, each place of a page was looked at, which such a width doesn't allow."""
+    far = 2_000_000_000
+    page = [(y, [(0, 30, a), (far - 40, far, b)]) for y, a, b in ((0, "Item", "Amount"), (12, "one", "1.00"), (24, "two", "2.00"))]
+    assert tables(spark, [page]) == [(0, 0, ["Item", "Amount"], [["one", "1.00"], ["two", "2.00"]], [])]
+
+
+def test_lines_are_dealt_out_once(spark):
+    rows = spark.createDataFrame([], LINE)
+    plan = X.page_tables(rows, ["doc", "page"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
