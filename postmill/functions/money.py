@@ -14,7 +14,11 @@ from . import text as T
 SYMBOLS = "|".join(re.escape(s) for s in sorted((s for s in T.SYMBOLS if s not in T.NO_LEXEME), key=len, reverse=True)).replace("Fr", r"Fr\.?")
 CODES = "|".join(T.CODES)  # patterns of both
 _GROUP = r"[.,’‘'" + S.SPACE[1:]
-_NUMBER = rf"[0-9]{{1,3}}(?:{_GROUP}[0-9]{{3}})+(?:[.,][0-9]{{1,4}})?|[0-9]+(?:[.,][0-9]{{1,4}})?"
+#: Dots of a machine's address (four numbers up to 255, without leading zeros) group no thousands, wherever in it a number begins.
+_PART = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_PARTS = lambda n: rf"{_PART}(?:\.{_PART}){{{n - 1}}}(?![0-9]|[.,][0-9])"
+_NO_ADDRESS = rf"(?!{_PARTS(4)})(?!(?<={_PART}\.[0-9]{{0,2}}){_PARTS(3)})(?!(?<={_PART}\.{_PART}\.[0-9]{{0,2}}){_PARTS(2)})"
+_NUMBER = rf"{_NO_ADDRESS}[0-9]{{1,3}}(?:{_GROUP}[0-9]{{3}})+(?:[.,][0-9]{{1,4}})?|[0-9]+(?:[.,][0-9]{{1,4}})?"
 _COUNTED = _NUMBER.replace("|[0-9]+", "|[0-9]++")  # a currency can't stand within a run of digits
 _WIDE = r"[ \u00a0\u202f]"
 _FIRST = "".join(sorted({re.escape(s[0]) for s in (*T.SYMBOLS, *T.CODES)}))  # what an amount may begin with, so that most places are passed over at once

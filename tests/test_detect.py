@@ -162,3 +162,10 @@ def test_forwarding_mails(spark):
 def test_references_are_decoded_once(spark):
     said = ["a &amp;lt; b &lt;c&gt; &#x1F600;&#65;&#0;&#xD800;&euro &Auml;&AUML; &nosuch; &#99999999999; &", "plain", "", None, "\x01 &amp; \x02"]
     assert column(spark, said, T.decode_entities) == ["a &lt; b <c> \U0001f600A&#0;&#xD800;€ Ää &nosuch; &#99999999999; &", "plain", "", None, "  &  "]
+
+
+def test_addresses_of_machines_group_no_thousands(spark):
+    """Before, the dots of an address grouped a number of twelve digits."""
+    said = ["at $ 170.116.163.254###", "170.116.163.254 $ it", "$45.116.163.99", "€ 1.234.567.890", "1.200.100.150,00 €", "€ 1.000.000.000"]
+    found = [[(a["value"], a["currency"]) for a in x] for x in column(spark, said, money.amounts)]
+    assert found == [[(170116.0, "USD")], [(163254.0, "USD")], [(45116.0, "USD")], [(1234567890.0, "EUR")], [(1200100150.0, "EUR")], [(1e9, "EUR")]]
