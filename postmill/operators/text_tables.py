@@ -46,24 +46,39 @@ def blank_columns(lines: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(first)), mark), "")
 
 
-def cells_of(line: Column, columns: Column) -> Column:
-    """The line cut at the columns' borders; a border within a word moves to the word's end, up to ``REACH`` places."""
+def cells_of(line: Column, columns: Column, filled: Column) -> Column:
+    """The line cut at the columns' borders; a border within a word moves to the word's end, up to ``REACH`` places.
 
-    def cell(c: Column) -> Column:
-        lo, hi = c["lo"], c["hi"]
-        word = lambda at: F.substring(line, at, F.lit(1)) != " "
-        back = F.when(word(lo + 1), F.least(F.lit(REACH), F.length(F.regexp_extract(F.substring(line, F.lit(1), lo), "[^ ]*$", 0)))).otherwise(0)
-        on = F.when(word(hi), F.least(F.lit(REACH), F.length(F.regexp_extract(F.substring(line, hi + 1, F.length(line)), "^[^ ]*", 0)))).otherwise(0)
-        return F.trim(F.regexp_replace(F.substring(line, lo - back + 1, hi - lo + back + on), r"^\s+|\s+$", ""))
+    Where a few lines may fill the blanks between columns (``filled``), what else stands there goes to the nearer cell, the left one of ties."""
+    word = lambda at: F.substring(line, at, F.lit(1)) != " "
+    back = lambda lo: F.when(word(lo + 1), F.least(F.lit(REACH), F.length(F.regexp_extract(F.substring(line, F.lit(1), lo), "[^ ]*$", 0)))).otherwise(0)
+    on = lambda hi: F.when(word(hi), F.least(F.lit(REACH), F.length(F.regexp_extract(F.substring(line, hi + 1, F.length(line)), "^[^ ]*", 0)))).otherwise(0)
+    trimmed = lambda lo, hi: F.trim(F.regexp_replace(F.substring(line, lo + 1, hi - lo), r"^\s+|\s+$", ""))
 
-    return F.transform(columns, cell)
+    def between(hi: Column, lo: Column) -> Column:
+        """struct(left, right): how many places of those between two columns belong to the cell on the left and on the right."""
+        at, to = hi + on(hi), F.when(lo < F.length(line), lo - back(lo)).otherwise(lo)
+
+        def dealt(p: Column) -> Column:
+            rest = F.substring(line, p["at"] + 1, F.greatest(p["to"] - p["at"], F.lit(0)))
+            left = (F.length(rest) - F.length(F.ltrim(rest)) <= F.length(rest) - F.length(F.rtrim(rest))) | (lo >= F.length(line))
+            some = F.trim(rest) != ""
+            return F.struct(F.when(some & left, p["to"]).otherwise(p["at"]).alias("left"), F.when(some & ~left, p["at"]).otherwise(p["to"]).alias("right"))
+
+        return let(F.struct(at.alias("at"), to.alias("to")), dealt)
+
+    def with_gaps(gaps: Column) -> Column:
+        return F.transform(columns, lambda c, i: trimmed(F.coalesce(F.get(gaps, i - 1)["right"], c["lo"]), F.get(gaps, i)["left"]))
+
+    gaps = F.transform(columns, lambda c, i: between(c["hi"], F.coalesce(F.get(columns, i + 1)["lo"], F.length(line))))
+    return F.when(filled, let(gaps, with_gaps)).otherwise(F.transform(columns, lambda c: trimmed(c["lo"], c["hi"])))
 
 
 def aligned_table(lines: Column) -> Column:
     """The table that a block of lines is; null if it is none."""
 
     def of_columns(padded: Column, columns: Column) -> Column:
-        rows = F.filter(F.transform(padded, lambda x: cells_of(x, columns)), lambda r: F.exists(r, lambda c: c != ""))
+        rows = F.filter(F.transform(padded, lambda x: cells_of(x, columns, F.size(padded) >= SLACK_FROM)), lambda r: F.exists(r, lambda c: c != ""))
 
         def judged(rs: Column) -> Column:
             rest = F.slice(rs, F.lit(2), F.greatest(F.size(rs), F.lit(1)))

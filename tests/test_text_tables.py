@@ -47,3 +47,12 @@ def test_quoted_tables_join_the_others_once(spark):
     rows = spark.createDataFrame([(0, ALIGNED + "\n\nbefore:\n" + quoted + "\n\n> " + "\n> > ".join([""] + other.replace("> ", "").split("\n"))), (1, quoted), (2, None)], "n int, text string")
     got = X.tables_with_quoted(rows, "n").select("n", "quoted", F.get(F.get("rows", F.lit(0)), F.lit(0)).alias("first")).collect()
     assert sorted(tuple(r) for r in got) == [(0, False, "Blue Widget"), (0, True, "Pink Widget"), (1, True, "Blue Widget")]
+
+
+def test_a_long_cell_between_columns_is_whole(spark):
+    """Before, what followed a blank beyond a column's border was in no cell."""
+    line = lambda name, n: f"{name:<20}{n:>5}{'1.00':>10}"
+    lines = [f"{'Item':<20}{'Qty':>5}{'Amount':>10}"] + [line(f"Part {n:04} A", n) for n in range(12)]
+    (left,), (right,) = found(spark, ["\n".join(lines[:5] + [line(name, 35)] + lines[6:]) for name in ("Part 16792 N", "Part 0009 A       x")])
+    assert left[2] == ["Item", "Qty", "Amount"] and left[3][4] == ["Part 16792 N", "35", "1.00"] and left[3][5] == ["Part 0005 A", "5", "1.00"] and len(left[3]) == 12
+    assert right[3][4] == ["Part 0009 A", "x    35", "1.00"] and len(right[3]) == 12
