@@ -48,17 +48,18 @@ def columns_of(lines: Column, height: Column) -> Column:
     What covers a place only changes at an edge of a segment, so lines are counted once for each edge, not for each place."""
     taken = F.transform(lines, lambda line: F.transform(line, lambda s: F.struct(F.floor(s["x"]).cast("int").alias("a"), (F.ceil(s["x1"]).cast("int") + 1).alias("b"))))
 
-    def bounded(ls: Column) -> Column:
-        every = F.flatten(ls)
+    def bounded(ls: Column, every: Column) -> Column:
         starts, ends = F.transform(every, lambda s: s["a"]), F.transform(every, lambda s: s["b"])
-        bounds = F.struct(F.array_min(starts).alias("lo"), F.array_max(ends).alias("hi"), F.sort_array(F.array_distinct(F.concat(starts, ends))).alias("edges"))
+        edges = F.sort_array(F.array_distinct(F.concat(starts, ends)))
+        bounds = F.struct(F.array_min(starts).alias("lo"), F.array_max(ends).alias("hi"), edges.alias("edges"), every.alias("every"))
         return let(bounds, lambda b: F.when(b["hi"] - b["lo"] > 1, let(marked(ls, b), lambda marks: let(turned(marks), lambda turns: parted(turns, b["lo"], b["hi"])))))
 
     def marked(ls: Column, b: Column) -> Column:
         allowed = F.when(F.size(ls) >= CROSSED_FROM, F.floor(F.size(ls) * CROSSED).cast("int")).otherwise(0)
         covers = lambda line, x: F.exists(line, lambda s: (s["a"] <= x) & (x < s["b"]))
+        enough = lambda x, n: F.when(n == 0, covers(b["every"], x)).otherwise(F.size(F.filter(ls, lambda line: covers(line, x))) > n)
         within = F.filter(b["edges"], lambda x: (x >= b["lo"]) & (x < b["hi"]))
-        return let(allowed, lambda n: F.transform(within, lambda x: F.struct(x.alias("at"), (F.size(F.filter(ls, lambda line: covers(line, x))) > n).alias("on"))))
+        return let(allowed, lambda n: F.transform(within, lambda x: F.struct(x.alias("at"), enough(x, n).alias("on"))))
 
     turned = lambda marks: F.filter(marks, lambda m, i: (i == 0) | (m["on"] != F.get(marks, i - 1)["on"]))
 
@@ -73,7 +74,7 @@ def columns_of(lines: Column, height: Column) -> Column:
 
         return let(gaps, between)
 
-    return let(taken, bounded)
+    return let(taken, lambda ls: let(F.flatten(ls), lambda every: bounded(ls, every)))
 
 
 def cells_in(segments: Column, columns: Column) -> Column:
@@ -82,7 +83,7 @@ def cells_in(segments: Column, columns: Column) -> Column:
     def place(s: Column) -> Column:
         over = F.array_max(F.transform(columns, lambda c, i: F.struct((F.least(c["c1"], s["x1"]) - F.greatest(c["c0"], s["x"])).alias("n"), (-i).alias("i"))))
         off = F.array_min(F.transform(columns, lambda c, i: F.struct(F.abs((c["c0"] + c["c1"]) / 2 - (s["x"] + s["x1"]) / 2).alias("n"), i.alias("i"))))
-        return F.when(over["n"] > 0, -over["i"]).otherwise(off["i"])
+        return let(over, lambda o: F.when(o["n"] > 0, -o["i"]).otherwise(off["i"]))
 
     placed = F.transform(segments, lambda s: F.struct(place(s).alias("at"), s["text"].alias("text")))
     return let(placed, lambda ps: F.transform(columns, lambda _, k: F.array_join(F.transform(F.filter(ps, lambda p: p["at"] == k), lambda p: p["text"]), " ")))
