@@ -1,10 +1,19 @@
-"""Dates in running text: six forms, conventions voted by the whole text, confidence, and what they were read from."""
+"""Dates in running text: six forms, conventions voted by the whole text, confidence, and what they were read from.
+
+Batches of texts are read in tasks by Python's patterns: one expression of nested lambdas took several times as long."""
 
 from __future__ import annotations
 
+import re
+from datetime import date
+from itertools import accumulate, chain
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import _ship  # noqa: F401
 from ..sources.tables import table
 from . import spans as S
 from . import text as T
@@ -17,18 +26,30 @@ MONTHS = (
 )
 MONTH_OF = {name: no for no, names in enumerate(MONTHS, 1) for name in names.split()}
 _MONTH = "(" + "|".join(sorted(MONTH_OF, key=len, reverse=True)) + ")"
-_DAY, _NTH, _GAP = "([0-9]{1,2})", "(?:st|nd|rd|th)?", S.SPACE + "+"
+_SPACE = S.SPACE.replace(r"\s", r" \t-\r")
+_DAY, _NTH, _GAP = "([0-9]{1,2})", "(?:st|nd|rd|th)?", _SPACE + "+"
 #: The forms, with the confidence of each: year first, the month by its name, a day without a year, and numbers alone.
 FORMS = {
-    "iso": (S.LEFT + r"([0-9]{4})-([0-9]{2})-([0-9]{2})(?![0-9-])", 3, 0.99),
-    "slashed": (S.LEFT + r"([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})" + S.RIGHT, 3, 0.95),
-    "day_month": (rf"(?iu){S.LEFT}{_DAY}\.?{_NTH}{_GAP}{_MONTH}\.?,?{_GAP}([0-9]{{2,4}}){S.RIGHT}", 3, 0.98),
-    "month_day": (rf"(?iu){S.LEFT}{_MONTH}\.?{_GAP}{_DAY}{_NTH},?{_GAP}([0-9]{{2,4}}){S.RIGHT}", 3, 0.98),
-    "no_year": (rf"(?iu){S.LEFT}{_DAY}\.{S.SPACE}*{_MONTH}{S.RIGHT}(?!{S.SPACE}*[0-9])", 2, 0.7),
-    "numeric": (S.LEFT + r"([0-9]{1,2})([./-])([0-9]{1,2})\2([0-9]{2,4})" + S.RIGHT, 4, 0.9),
+    "iso": (S.LEFT + r"([0-9]{4})-([0-9]{2})-([0-9]{2})(?![0-9-])", 0.99),
+    "slashed": (S.LEFT + r"([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})" + S.RIGHT, 0.95),
+    "day_month": (rf"(?i){S.LEFT}{_DAY}\.?{_NTH}{_GAP}{_MONTH}\.?,?{_GAP}([0-9]{{2,4}}){S.RIGHT}", 0.98),
+    "month_day": (rf"(?i){S.LEFT}{_MONTH}\.?{_GAP}{_DAY}{_NTH},?{_GAP}([0-9]{{2,4}}){S.RIGHT}", 0.98),
+    "no_year": (rf"(?i){S.LEFT}{_DAY}\.{_SPACE}*{_MONTH}{S.RIGHT}(?!{_SPACE}*[0-9])", 0.7),
+    "numeric": (S.LEFT + r"([0-9]{1,2})([./-])([0-9]{1,2})\2([0-9]{2,4})" + S.RIGHT, 0.9),
+}
+#: What a text holds that has a date of a form, looked for first as the forms, names of months above all, are slow to look for.
+HOLDS = {
+    "iso": "[0-9]-[0-9]",
+    "slashed": "[0-9]/[0-9]",
+    "day_month": rf"[0-9]\.?(?:[SsNnRrTt\u017f][TtDdHh])?{_GAP}[^\W0-9_]",
+    "month_day": rf"{_SPACE}[0-9]{{1,2}}(?:[SsNnRrTt\u017f][TtDdHh])?,?{_GAP}[0-9]{{2}}",
+    "no_year": rf"[0-9]\.{_SPACE}*[^\W0-9_]",
+    "numeric": "[0-9][./-][0-9]",
 }
-#: What any date that begins with its month holds.
-DAY_AND_YEAR = rf"(?i)\p{{L}}{{3}}\.?{_GAP}[0-9]{{1,2}}{_NTH},?{_GAP}[0-9]{{2}}"
+COMPILED = {form: (re.compile(HOLDS[form]), re.compile(pattern), sure) for form, (pattern, sure) in FORMS.items()}
+FIELDS = {"value": pa.date32(), "raw": pa.string(), "start": pa.int32(), "end": pa.int32(), "confidence": pa.float64(), "ambiguous": pa.bool_(), "no": pa.int32()}
+DATES = "array<struct<value:date,raw:string,start:int,end:int,confidence:double,ambiguous:boolean,no:int>>"
+EPOCH = date(1970, 1, 1).toordinal()
 #: Confidence of a numeric date that can be read one way, by the text's convention, by the sender's, by neither; and the most of one whose year is inferred.
 SURE, VOTED, HINTED, GUESSED, INFERRED = 0.97, 0.8, 0.72, 0.55, 0.65
 #: Endings of domains, and beginnings of locales, that write the day or the month first.
@@ -48,75 +69,87 @@ def convention(locale: Column) -> Column:
     )
 
 
-def _month(name: Column) -> Column:
-    return F.create_map(*(F.lit(x) for pair in MONTH_OF.items() for x in pair))[F.lower(name)]
-
-
-def _year(digits: Column) -> Column:
+def _year(digits: str) -> int:
     """Two digits are of 1970 to 2069."""
-    n = digits.cast("int")
-    return F.when(F.length(digits) > 2, n).when(n < 70, 2000 + n).otherwise(1900 + n)
-
-
-def _hits(text: Column) -> Column:
-    """Matches of all forms by place: start, no, end, raw, y, mo, d, and a, b, sep of numbers alone."""
-    none = F.lit(None).cast("int")
-
-    def read(form: str, s: Column) -> dict[str, Column]:
-        g = lambda k: S.group(s, k)
-        n = lambda k: g(k).cast("int")
-        if form in ("iso", "slashed"):
-            return {"y": n(1), "mo": n(2), "d": n(3)}
-        if form == "day_month":
-            return {"y": _year(g(3)), "mo": _month(g(2)), "d": n(1)}
-        if form == "month_day":
-            return {"y": _year(g(3)), "mo": _month(g(1)), "d": n(2)}
-        if form == "no_year":
-            return {"mo": _month(g(2)), "d": n(1)}
-        return {"y": _year(g(4)), "a": n(1), "b": n(3), "sep": g(2)}
-
-    def of(no: int, form: str) -> Column:
-        pattern, groups, sure = FORMS[form]
-
-        def hit(s: Column) -> Column:
-            parts = {k: none for k in ("y", "mo", "d", "a", "b")} | {"sep": F.lit(None).cast("string")} | read(form, s)
-            return F.struct(s["start"].alias("start"), F.lit(no).alias("no"), s["end"].alias("end"), s["raw"].alias("raw"), F.lit(sure).alias("sure"), *(v.alias(k) for k, v in parts.items()))
-
-        some = F.when(text.rlike(DAY_AND_YEAR), text).otherwise("") if form == "month_day" else text  # the names of months are slow to look for
-        return F.transform(S.spans(some, pattern, groups), hit)
-
-    return F.array_sort(F.concat(*(of(no, form) for no, form in enumerate(FORMS))))
-
-
-def _votes(hits: Column) -> Column:
-    """Twice the votes for days first, less those for months first: of dates that read one way only, and half a vote of each other dotted one."""
-    vote = lambda h: F.when((h["a"] > 12) & (h["b"] <= 12), 2).when((h["b"] > 12) & (h["a"] <= 12), -2).when(h["sep"] == ".", 1).otherwise(0)
-    return F.aggregate(hits, F.lit(0), lambda n, h: n + F.coalesce(vote(h), F.lit(0)))
+    n = int(digits)
+    return n if len(digits) > 2 else 2000 + n if n < 70 else 1900 + n
+
+
+def _read(form: str, g: tuple[str, ...]) -> tuple:
+    """Year, month and day of a match, and the two first numbers and the separator of numbers alone."""
+    if form in ("iso", "slashed"):
+        return int(g[0]), int(g[1]), int(g[2]), None, None, None
+    if form == "day_month":
+        return _year(g[2]), MONTH_OF.get(g[1].lower()), int(g[0]), None, None, None
+    if form == "month_day":
+        return _year(g[2]), MONTH_OF.get(g[0].lower()), int(g[1]), None, None, None
+    if form == "no_year":
+        return None, MONTH_OF.get(g[1].lower()), int(g[0]), None, None, None
+    return _year(g[3]), None, None, int(g[0]), int(g[2]), g[1]
+
+
+def _vote(a: int, b: int, sep: str) -> int:
+    """Twice a vote for days first, less one for months first: of a date that reads one way only, and half a vote of each other dotted one."""
+    return 2 if a > 12 >= b else -2 if b > 12 >= a else int(sep == ".")
+
+
+def _found(text: str, hint: str | None, year: int | None) -> list[tuple]:
+    """(value as days since 1970, raw, start, end, confidence, ambiguous, no) of a text's dates."""
+    hits = []
+    for no, (form, (held, pattern, sure)) in enumerate(COMPILED.items()):
+        if held.search(text):
+            hits += [(m.start(), no, m.end(), m[0], sure, *_read(form, m.groups())) for m in pattern.finditer(text)]
+    if not hits:
+        return []
+    hits.sort(key=itemgetter(0, 1))
+    votes = sum([_vote(*h[8:]) for h in hits if h[8] is not None])
+    known, seen = [], set()
+    for start, no, end, raw, sure, y, mo, d, a, b, _ in hits:
+        ambiguous = False
+        if a is not None:
+            ambiguous = a <= 12 and b <= 12
+            months_first = b > 12 >= a or ambiguous and (votes < 0 if votes else hint == "mdy")
+            mo, d = (a, b) if months_first else (b, a)
+            sure = SURE if not ambiguous else VOTED if votes else GUESSED if hint is None else HINTED
+        elif y is None:
+            y, sure = year, min(sure, INFERRED)
+        if y is None or mo is None or not 1900 <= y <= 2999:
+            continue
+        try:
+            value = date(y, mo, d).toordinal() - EPOCH
+        except ValueError:
+            continue
+        if (value, raw) not in seen:
+            seen.add((value, raw))
+            known.append((value, raw, start, end, sure, ambiguous, no))
+    if len(known) < 2:
+        return known
+    reached, apart = -1, []
+    for x in sorted(known, key=lambda x: (x[2], -x[3], x[6])):
+        if x[3] > reached:
+            reached = x[3]
+            apart.append(x)
+    return apart
+
+
+def _dates_of(texts: pa.Array, hints: pa.Array, years: pa.Array) -> pa.Array:
+    """Dates of each text of a batch."""
+    found = [_found(t, h, y) if t else [] for t, h, y in zip(texts.to_pylist(), hints.to_pylist(), years.to_pylist())]
+    offsets = pa.array([0, *accumulate(map(len, found))], pa.int32())
+    columns = list(zip(*chain.from_iterable(found))) or [()] * len(FIELDS)
+    kinds = list(FIELDS.values())
+    values = [pa.array(columns[0], pa.int32()).cast(kinds[0]), *(pa.array(c, k) for c, k in zip(columns[1:], kinds[1:]))]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(values, names=list(FIELDS)))
 
 
 def dates(text: Column, locale: Column | None = None, reference_year: Column | None = None) -> Column:
     """array<struct<value, raw, start, end, confidence, ambiguous, no>> of the valid dates by place, each value and spelling once, without those that a longer one covers.
 
-    ``locale``: the sender's domain or a locale. ``reference_year``: that of dates without one, else this year."""
+    ``locale``: the sender's domain or a locale. ``reference_year``: that of dates without one, else this year.
+    Read in batches inside tasks, so it can't stand in the lambda of another expression."""
     hint = F.lit(None).cast("string") if locale is None else convention(locale)
     year = F.year(F.current_date()) if reference_year is None else reference_year
-
-    def resolved(hits: Column, votes: Column) -> Column:
-        def one(h: Column) -> Column:
-            numeric, one_way = h["a"].isNotNull(), (h["a"] > 12) | (h["b"] > 12)
-            months_first = F.when(h["a"] > 12, False).when(h["b"] > 12, True).when(votes != 0, votes < 0).otherwise(F.coalesce(hint == "mdy", F.lit(False)))
-            sure = F.when(~numeric, F.when(h["y"].isNull(), F.least(h["sure"], F.lit(INFERRED))).otherwise(h["sure"])).when(one_way, SURE).when(votes != 0, VOTED).when(hint.isNotNull(), HINTED).otherwise(GUESSED)
-            d = F.when(~numeric, h["d"]).when(months_first, h["b"]).otherwise(h["a"])
-            mo = F.when(~numeric, h["mo"]).when(months_first, h["a"]).otherwise(h["b"])
-            y = F.coalesce(h["y"], year)
-            value = F.when(y.between(1900, 2999), F.try_to_date(F.format_string("%04d-%02d-%02d", y, mo, d), "yyyy-MM-dd"))
-            return F.struct(value.alias("value"), h["raw"].alias("raw"), h["start"].alias("start"), h["end"].alias("end"), sure.alias("confidence"), (numeric & ~one_way).alias("ambiguous"), h["no"].alias("no"))
-
-        return F.filter(F.transform(hits, one), lambda x: x["value"].isNotNull())
-
-    some = F.when(text.rlike("[0-9]"), text).otherwise("")
-    known = T.let(T.let(some, _hits), lambda hits: F.when(F.size(hits) > 0, T.let(_votes(hits), lambda votes: resolved(hits, votes))).otherwise(resolved(F.slice(hits, 1, 0), F.lit(0))))
-    return S.apart(T.first_of_each(known, lambda x: F.struct(x["value"], x["raw"])), "no")
+    return F.arrow_udf(_dates_of, DATES)(F.when(text.rlike("[0-9]"), text), hint, year.cast("int"))
 
 
 def to_date(raw: Column, locale: Column | None = None, reference_year: Column | None = None) -> Column:
@@ -126,6 +159,11 @@ def to_date(raw: Column, locale: Column | None = None, reference_year: Column |
 
 # Queries
 
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders dealt anew: a file of few bytes a row is read by few tasks, and each row has much to do."""
+    return table(spark, d, "orders").select("o_orderkey", "o_orderdate").hint("rebalance")
+
+
 def _spelt(spark: SparkSession, d: str) -> DataFrame:
     """Orders as mails of many locales would date them, with a second date that settles the convention, or doesn't."""
     day = lambda f: F.date_format("o_orderdate", f)
@@ -144,7 +182,7 @@ def _spelt(spark: SparkSession, d: str) -> DataFrame:
         F.concat(d_, F.lit(". "), month(1), F.lit(" and "), d_, F.lit("."), F.month("o_orderdate").cast("string"), F.lit("."), y_, F.lit(" and 31.02.2024")),
     )
     k = (F.col("o_orderkey") % len(forms)).cast("int")
-    return table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.get(F.array(*forms), k).alias("said"), F.when(k == 8, "acme.us").alias("locale"))
+    return _orders(spark, d).select("o_orderkey", "o_orderdate", F.get(F.array(*forms), k).alias("said"), F.when(k == 8, "acme.us").alias("locale"))
 
 
 def _shown(found: Column) -> Column:
@@ -165,7 +203,7 @@ def t25_t28_dates(spark: SparkSession, d: str) -> DataFrame:
     y, m, day = F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")
     iso, dotted, slashed = F.format_string("%04d-%02d-%02d", y, m, day), F.format_string("%d.%d.%d", day, m, y), F.format_string("due %04d-%02d-%02dT10:00:00Z", y, m, day)
     raw = F.get(F.array(iso, dotted, slashed, F.lit("2023-02-30"), F.lit("soon")), (F.col("o_orderkey") % 5).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", F.date_format(to_date(raw), "yyyy-MM-dd").alias("date"))
+    return _orders(spark, d).select("o_orderkey", F.date_format(to_date(raw), "yyyy-MM-dd").alias("date"))
 
 
 def t27_locale_hint(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, detect, identifiers, json_text, money
@@ -96,6 +97,15 @@ def test_date_forms(spark):
     assert all(said[d["start"] : d["end"]] == d["raw"] for d in whole) and whole[-1]["ambiguous"] and whole[-1]["confidence"] == 0.8
 
 
+def test_dates_are_read_in_batches_of_rows_dealt_anew(spark):
+    found = dates._dates_of(pa.array(["8. Mai 2024, 5/6/2024", None, "none", "\U0001f600 31.02.2024 or 1.2.24"]), pa.array([None, "dmy", None, "mdy"], pa.string()), pa.array([2031] * 4, pa.int32()))
+    assert [[(str(d["value"]), d["raw"], d["start"], d["confidence"]) for d in x] for x in found.to_pylist()] == [[("2024-05-08", "8. Mai 2024", 0, 0.98), ("2024-06-05", "5/6/2024", 13, 0.55)], [], [], [("2024-02-01", "1.2.24", 16, 0.8)]]
+    assert dates._dates_of(pa.array([None], pa.string()), pa.array([None], pa.string()), pa.array([1], pa.int32())).to_pylist() == [[]]
+    for query in (dates.t24_date_forms, dates.t25_t28_dates):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in plan and "RebalancePartitions" in plan
+
+
 def test_conventions(spark):
     assert column(spark, ["mail.acme.de", "acme.us", "acme.com", "x.org", "x.io", "x.co.uk", "x.zz", "fr-CH", "en-US", "", None], dates.convention) == ["dmy", "mdy", None, None, None, "dmy", None, "dmy", "mdy", None, None]
     for locale, want in (("acme.com", ("2026-09-08", 0.55)), ("acme.de", ("2026-09-08", 0.72)), ("acme.us", ("2026-08-09", 0.72))):
