@@ -11,24 +11,34 @@ from ..sources.tables import table
 from . import spans as S
 from . import text as T
 
-SYMBOLS = "|".join(re.escape(s) for s in sorted((s for s in T.SYMBOLS if s not in T.NO_LEXEME), key=len, reverse=True)).replace("Fr", r"Fr\.?")
-CODES = "|".join(T.CODES)  # patterns of both
-_GROUP = r"[.,’‘'" + S.SPACE[1:]
+_LEXEMES = [*sorted((s for s in T.SYMBOLS if s not in T.NO_LEXEME), key=len, reverse=True), *T.CODES]
+_any = lambda lexemes: "|".join(re.escape(s) for s in lexemes).replace("Fr", r"Fr\.?")
+LEXEMES = _any(_LEXEMES)  # a pattern of all
+#: A currency of letters that is part of a longer word is none, as `AED3` in a key and `Fr` in `6261 From`. Words that begin with a currency and name it are left.
+_LETTER = r"[\p{L}_]"
+_ALONE = rf"(?<!{_LETTER}[0-9]{{0,40}})"
+_ENDS = rf"(?!(?!(?:OS?|onor|oner|onur|ona|one|anken|ancs?|oty|otych|ote)(?!{_LETTER})){_LETTER})"
+_SIGNS, _WORDS = _any(s for s in _LEXEMES if not s[0].isalpha()), _any(s for s in _LEXEMES if s[0].isalpha())
+_AFTER = rf"{_any(s for s in _LEXEMES if not s[-1].isalpha())}|(?:{_any(s for s in _LEXEMES if s[-1].isalpha())}){_ENDS}"
+_BEFORE = rf"{_SIGNS}|(?={_WORDS}){_ALONE}(?:{_WORDS})"
+#: Groups of thousands, parted by one kind of sign; the first begins a run of digits.
+_GROUPS = "(?:" + "|".join(rf"(?:{sep}[0-9]{{3}})+" for sep in (r"\.", ",", "[’‘']", S.SPACE)) + ")"
 #: Dots of a machine's address (four numbers up to 255, without leading zeros) group no thousands, wherever in it a number begins.
 _PART = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _PARTS = lambda n: rf"{_PART}(?:\.{_PART}){{{n - 1}}}(?![0-9]|[.,][0-9])"
 _NO_ADDRESS = rf"(?!{_PARTS(4)})(?!(?<={_PART}\.[0-9]{{0,2}}){_PARTS(3)})(?!(?<={_PART}\.{_PART}\.[0-9]{{0,2}}){_PARTS(2)})"
-_NUMBER = rf"{_NO_ADDRESS}[0-9]{{1,3}}(?:{_GROUP}[0-9]{{3}})+(?:[.,][0-9]{{1,4}})?|[0-9]+(?:[.,][0-9]{{1,4}})?"
+_NUMBER = rf"{_NO_ADDRESS}(?<![0-9])[0-9]{{1,3}}{_GROUPS}(?:[.,][0-9]{{1,4}})?|[0-9]+(?:[.,][0-9]{{1,4}})?"
 _COUNTED = _NUMBER.replace("|[0-9]+", "|[0-9]++")  # a currency can't stand within a run of digits
+_HYPHEN = r"(?<![\p{L}0-9])"  # a dash after a letter or digit is no sign
 _WIDE = r"[ \u00a0\u202f]"
 _FIRST = "".join(sorted({re.escape(s[0]) for s in (*T.SYMBOLS, *T.CODES)}))  # what an amount may begin with, so that most places are passed over at once
 #: A sign, then a currency at most three blanks before its number, or after it with no further number within two blanks, then a sign.
 MONEY = (
-    rf"(?=[-−(  ]*[0-9{_FIRST}])((?:[-−]|\()?[  ]*)(?:({SYMBOLS}|{CODES}){_WIDE}{{0,3}}({_NUMBER})"
-    rf"|({_COUNTED}){_WIDE}{{0,3}}({SYMBOLS}|{CODES})(?!{_WIDE}{{0,2}}[0-9]))([-−)]?)"
+    rf"(?=[-−(  ]*[0-9{_FIRST}])((?:{_HYPHEN}[-−]|\()?[  ]*)(?:({_BEFORE}){_WIDE}{{0,3}}({_NUMBER})"
+    rf"|({_COUNTED})(?:{_WIDE}{{1,3}}|(?![A-Za-z])|{_ALONE})({_AFTER})(?!{_WIDE}{{0,2}}[0-9]))([-−)]?)"
 )
 #: What any text with an amount holds. The look ahead passes over most places.
-HINT = rf"(?=[{_FIRST}])(?:{SYMBOLS}|{CODES})"
+HINT = rf"(?=[{_FIRST}])(?:{LEXEMES})"
 
 
 def all_amounts(text: Column) -> Column:
