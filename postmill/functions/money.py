@@ -13,7 +13,7 @@ from . import text as T
 
 _LEXEMES = [*sorted((s for s in T.SYMBOLS if s not in T.NO_LEXEME), key=len, reverse=True), *T.CODES]
 _any = lambda lexemes: "|".join(re.escape(s) for s in lexemes).replace("Fr", r"Fr\.?")
-LEXEMES = _any(_LEXEMES)  # a pattern of all
+SYMBOLS, CODES = _any(s for s in _LEXEMES if s not in T.CODES), _any(T.CODES)  # patterns of both
 #: A currency of letters that is part of a longer word is none, as `AED3` in a key and `Fr` in `6261 From`. Words that begin with a currency and name it are left.
 _LETTER = r"[\p{L}_]"
 _ALONE = rf"(?<!{_LETTER}[0-9]{{0,40}})"
@@ -38,7 +38,7 @@ MONEY = (
     rf"|({_COUNTED})(?:{_WIDE}{{1,3}}|(?![A-Za-z])|{_ALONE})({_AFTER})(?!{_WIDE}{{0,2}}[0-9]))([-−)]?)"
 )
 #: What any text with an amount holds. The look ahead passes over most places.
-HINT = rf"(?=[{_FIRST}])(?:{LEXEMES})"
+HINT = rf"(?=[{_FIRST}])(?:{SYMBOLS}|{CODES})"
 
 
 def all_amounts(text: Column) -> Column:
